@@ -17,20 +17,14 @@ of a size class follow a distributed numbering.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.graph import FAN_IN, MERGE_BOUND, components
 from millrace.operators.ranking import distributed_row_number
 from millrace.session import salted_join, stage
 
-#: Edges that one task may merge: about 300 MB of Python dictionary.
-MERGE_BOUND = 1_000_000
-#: Forests merged into one at each level.
-FAN_IN = 8
 #: Characters that count as blanks around a value.
 BLANKS = " \t\r\n"
 #: Default proportions of the splits, in percent.
@@ -60,81 +54,6 @@ def record_keys(records: DataFrame) -> DataFrame:
     )
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of one partition; one row (node, root) for each node that is no root."""
-    parent: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        root = x
-        while (p := parent.get(root, root)) != root:
-            root = p
-        while (p := parent.get(x, x)) != root:
-            parent[x] = root
-            x = p
-        return root
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                if b < a:
-                    a, b = b, a
-                parent.setdefault(a, a)
-                parent[b] = a
-    rows = [(x, r) for x in list(parent) if (r := find(x)) != x]
-    for i in range(0, len(rows), 50_000):
-        part = rows[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.string()), pa.array([r for _, r in part], pa.string())], ["a", "b"])
-
-
-def _local_forests(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").mapInArrow(_forest, "a string, b string")
-
-
-def _star_round(edges: DataFrame) -> DataFrame:
-    """A large-star and a small-star step over undirected edges (a, b)."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = salted_join(both, low, ["a"], ["b"]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = salted_join(down, least, ["a"], ["b"])
-    small = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-
-
-def components(edges: DataFrame, merge_bound: int = MERGE_BOUND, fan_in: int = FAN_IN, partitions: int | None = None) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b) that is not the smallest of its component.
-
-    Self edges and repeated edges are ignored, nulls are dropped, no edges give
-    no rows. The root is the smallest node of the component.
-    """
-    spark = edges.sparkSession
-    edges = stage(edges.where("a <> b").select("a", "b"), "edges")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = partitions or max(least, -(-edges.count() // max(1, merge_bound)) if merge_bound >= 1000 else least)
-    forest = stage(_local_forests(edges.repartition(width, "b")), "forest")
-    while True:
-        n = forest.count()
-        if n <= merge_bound:
-            # one task for at most merge_bound edges
-            return stage(_local_forests(forest.repartition(1)), "roots").select(F.col("a").alias("node"), F.col("b").alias("root"))
-        if width > max(1, n // max(1, merge_bound)) * 2 and width > 1:
-            width = max(1, -(-width // fan_in))
-            if n <= merge_bound * width:
-                merged = stage(_local_forests(forest.repartition(width, "b")), "forest")
-                if merged.count() < n * 0.9:
-                    forest = merged
-                    continue
-        stars = stage(_star_round(forest), "stars")
-        # done when no root is itself below another node and each node has one root
-        open_roots = stars.select(F.col("b").alias("a")).distinct().join(stars.select("a").distinct(), "a", "left_semi").limit(1).count()
-        twice = stars.groupBy("a").count().where("count > 1").limit(1).count()
-        if not open_roots and not twice:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        forest = stars
-
-
 def tied_records(records: DataFrame, merge_bound: int = MERGE_BOUND, fan_in: int = FAN_IN) -> DataFrame:
     """(qid, comp) for every record with a key: ``comp`` is the smallest qid of its set of tied records.
 
