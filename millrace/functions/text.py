@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Credentials that are redacted, in this order.
 SECRETS = (
@@ -65,7 +66,7 @@ def fold_case_space(text: Column) -> Column:
     return F.regexp_replace(collapse_space(F.lower(text)), "ß", "ss")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_casefold(texts: pd.Series) -> pd.Series:
     """NFKC, case folded, white space collapsed."""
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as X
 
@@ -44,7 +45,7 @@ def excluded(rows: DataFrame, rules: list[tuple[str, str, DataFrame]]) -> DataFr
     return rows.withColumn("reason", reason).drop(*[f"__r{i}" for i in range(len(rules))])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / total length of the longest matching blocks."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])

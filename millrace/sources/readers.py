@@ -118,7 +118,7 @@ def text_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataF
     glob = "*.{" + ",".join(s.lstrip(".") for s in suffixes) + "}"
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def decoded(b: pd.Series) -> pd.Series:
         return b.map(lambda v: bytes(v).decode("utf-8", "replace"))
 
