@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import table
-
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -29,11 +27,12 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    pass
+    from . import corpus, inference, retrieval, samples  # noqa: F401, PLC0415
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """Hybrid search: lexical and sparse runs fused by their score distributions."""
+    return queries()["hybrid_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
