@@ -87,9 +87,9 @@ def two_way_variance(df: DataFrame, row: str, col: str, value: str) -> DataFrame
     j = rm.crossJoin(cm).crossJoin(tot)  # one row each
     ssr, ssc = F.col("vr") * (F.col("r") - 1) * F.col("c"), F.col("vc") * (F.col("c") - 1) * F.col("r")
     msr, msc = F.col("vr") * F.col("c"), F.col("vc") * F.col("r")
-    mse = (F.col("sst") - ssr - ssc) / ((F.col("r") - 1) * (F.col("c") - 1))
+    mse = F.try_divide(F.col("sst") - ssr - ssc, (F.col("r") - 1) * (F.col("c") - 1))
     z = lambda c: F.round(F.greatest(F.lit(0.0), c), 6)
-    return j.select(z((msr - mse) / F.col("c")).alias("var_row"), z((msc - mse) / F.col("r")).alias("var_col"), z(mse).alias("var_resid"))
+    return j.select(z(F.try_divide(msr - mse, F.col("c"))).alias("var_row"), z(F.try_divide(msc - mse, F.col("r"))).alias("var_col"), z(mse).alias("var_resid"))
 
 
 def power_fit(df: DataFrame, x: str, y: str, exponents: tuple[float, ...] = tuple(i / 10 for i in range(1, 21))) -> DataFrame:

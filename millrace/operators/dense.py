@@ -139,7 +139,7 @@ def mean_distance(x: DataFrame, y: DataFrame) -> DataFrame:
     if rows:
         one = unit.mapInArrow(part(spark.sparkContext.broadcast(np.array(rows))), "s double, n long")
         total = one if total is None else total.union(one)
-    return total.agg((F.sum("s") / F.sum("n")).alias("d"))
+    return total.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))
 
 
 def energy_distance(x: DataFrame, y: DataFrame) -> DataFrame:

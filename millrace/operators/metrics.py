@@ -93,4 +93,4 @@ def retention(scores: DataFrame, system: str, teacher: str, groups: DataFrame) -
     s = m.where(F.col("system") == system).select("component", F.col("m").alias("s"))
     t = m.where(F.col("system") == teacher).select("component", F.col("m").alias("t"))
     j = groups.join(s, "component", "left").join(t, "component", "left")
-    return j.groupBy("group").agg(F.round(F.when(F.count_if(F.col("s").isNull() | F.col("t").isNull()) == 0, F.avg("s") / F.avg("t")), 9).alias("retention"))
+    return j.groupBy("group").agg(F.round(F.when(F.count_if(F.col("s").isNull() | F.col("t").isNull()) == 0, F.try_divide(F.avg("s"), F.avg("t"))), 9).alias("retention"))

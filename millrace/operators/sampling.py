@@ -75,7 +75,7 @@ def proportional(rows: DataFrame, stratum: str, key: str, target: int, seed: str
 def equal_budget(rows: DataFrame, stratum: str, key: str, budget: int, seed: str) -> DataFrame:
     """``budget`` rows: the same number of each stratum, what is left by the seeded order of all others."""
     n = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    k = n.agg(F.greatest(F.lit(1), F.floor(F.lit(budget) / F.count(F.lit(1)))).alias("per"))
+    k = n.agg(F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.count(F.lit(1)), F.lit(1)))).alias("per"))
     x = seeded_numbers(rows, [stratum], key, seed).crossJoin(F.broadcast(k)).withColumn("first", (F.col("rn") <= F.col("per")).cast("int"))
     y = x.withColumn("__h", H.order_key(seed, F.col(key)))
     y = distributed_row_number(y.withColumn("lead", 1 - F.col("first")), [], ["lead"], "__h", [key], "all_rn")

@@ -160,7 +160,7 @@ def prediction_interval(df: DataFrame, y: str, x: str, at: float, t_quantile: fl
     """One row: (predicted, low, high) of y at x by least squares, +- t * s * sqrt(1 + 1/n + (x - mean)^2 / sxx)."""
     d = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     g = d.agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.avg("x").alias("mx"))
-    s = F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("b") ** 2 * F.col("sxx")) / (F.col("n") - 2))
-    half = t_quantile * s * F.sqrt(1 + 1 / F.col("n") + (at - F.col("mx")) ** 2 / F.col("sxx"))
+    s = F.sqrt(F.try_divide(F.greatest(F.lit(0.0), F.col("syy") - F.col("b") ** 2 * F.col("sxx")), F.col("n") - 2))
+    half = t_quantile * s * F.sqrt(1 + 1 / F.col("n") + F.try_divide((at - F.col("mx")) ** 2, F.col("sxx")))
     p = F.col("a") + F.col("b") * at
     return g.select(F.round(p, 6).alias("predicted"), F.round(p - half, 6).alias("low"), F.round(p + half, 6).alias("high"))

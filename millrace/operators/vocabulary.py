@@ -114,7 +114,7 @@ def split_problems(dev: DataFrame, confirm: DataFrame) -> DataFrame:
     """(problem, value, n): repeated ids, texts and signatures, and those in both splits; empty if the splits are sound."""
 
     def seen(df: DataFrame) -> DataFrame:
-        return df.select(F.explode(F.array(F.struct(F.lit("id").alias("kind"), F.col("qid").alias("value")), F.struct(F.lit("text"), X.fold_case_space(F.col("text"))), F.struct(F.lit("signature"), X.lexical_signature(F.col("text"))), F.struct(F.lit("family"), F.col("family")))).alias("e")).select("e.kind", "e.value").where("value is not null and value <> ''")
+        return df.select(F.explode(F.array(F.struct(F.lit("id").alias("kind"), F.col("qid").alias("value")), *[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in (("text", X.fold_case_space(F.col("text"))), ("signature", X.lexical_signature(F.col("text"))), ("family", F.col("family")))])).alias("e")).select("e.kind", "e.value").where("value is not null and value <> ''")
 
     d, c = seen(dev), seen(confirm)
     rep = d.union(c).where("kind <> 'family'").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.concat(F.lit("repeated_"), "kind").alias("problem"), "value", "n")
