@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .hashing import key60
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often and wherever ``body`` uses it.
+
+    Inside lambdas an expression is evaluated again for every element; a bound
+    value is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kgrams(words: Column, k: int, short_whole: bool = False) -> Column:
     """Windows of k words joined by blanks, in order. Shorter lists give [], or themselves with ``short_whole``."""
-    n = F.size(words)
-    every = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")))
-    short = F.when(n > 0, F.array(F.array_join(words, " "))) if short_whole else F.lit(None)
-    return F.coalesce(every, short, F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        every = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(w, i, k), " ")))
+        short = F.when(n > 0, F.array(F.array_join(w, " "))) if short_whole else F.lit(None)
+        return F.coalesce(every, short, F.array().cast("array<string>"))
+
+    return let(words, windows)
 
 
 def gram_keys(words: Column, k: int = 8, short_whole: bool = True) -> Column:
@@ -23,8 +38,7 @@ def gram_keys(words: Column, k: int = 8, short_whole: bool = True) -> Column:
 
 def query_gram_keys(words: Column) -> Column:
     """Query side: 8-grams, and 4-grams too for texts of 4 to 7 words."""
-    few = F.size(words).between(4, 7)
-    return F.when(few, F.array_union(gram_keys(words), gram_keys(words, 4, False))).otherwise(gram_keys(words))
+    return let(words, lambda w: F.when(F.size(w).between(4, 7), F.array_union(gram_keys(w), gram_keys(w, 4, False))).otherwise(gram_keys(w)))
 
 
 def bottom(keys: Column, n: int = 32) -> Column:
@@ -44,8 +58,7 @@ def norm(a: Column) -> Column:
 
 def l2_normalized(a: Column, floor: float = 1e-12) -> Column:
     """Unit length, the norm being at least ``floor``."""
-    n = F.greatest(norm(a), F.lit(floor))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return let(F.greatest(norm(a), F.lit(floor)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

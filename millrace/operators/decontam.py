@@ -147,10 +147,13 @@ def copied_span(query: Column, source: Column, k: int = 5, excluded: Column | No
     span are left out by position, not by value.
     """
     q, s = A.kgrams(X.fingerprint_words(query), k), X.fingerprint_words(source)
-    grams = A.kgrams(s, k)
-    if excluded is not None:
-        e = X.fingerprint_words(excluded)
+    if excluded is None:
+        return F.coalesce(F.arrays_overlap(q, A.kgrams(s, k)), F.lit(False))
+
+    def outside(s: Column, e: Column) -> Column:
         n = F.size(e)
         starts = F.when((n > 0) & (F.size(s) >= n), F.filter(F.sequence(F.lit(1), F.size(s) - n + 1), lambda i: F.slice(s, i, n) == e)).otherwise(F.array().cast("array<int>"))
-        grams = F.filter(grams, lambda g, i: ~F.exists(starts, lambda a: (i + 1 >= a) & (i + k <= a + n - 1)))
+        return A.let(starts, lambda at: F.filter(A.kgrams(s, k), lambda g, i: ~F.exists(at, lambda a: (i + 1 >= a) & (i + k <= a + n - 1))))
+
+    grams = A.let(s, lambda s: A.let(X.fingerprint_words(excluded), lambda e: outside(s, e)))
     return F.coalesce(F.arrays_overlap(q, grams), F.lit(False))

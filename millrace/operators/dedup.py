@@ -56,8 +56,9 @@ def two_key_first(rows: DataFrame, a: str, b: str, order: list[str]) -> DataFram
 
 def gram_classes(rows: DataFrame, ident: str, grams: Column) -> tuple[DataFrame, DataFrame]:
     """(members (id, set_id), sets (set_id, grams, n)): equal gram sets are one; rows without grams are absent."""
-    g = rows.select(F.col(ident).alias("id"), F.array_sort(F.array_distinct(grams)).alias("grams")).where(F.size("grams") > 0)
-    g = stage(g.withColumn("set_id", F.md5(F.array_join(F.transform("grams", lambda x: x.cast("string")), ","))), "grams")
+    g = rows.select(F.col(ident).alias("id"), F.array_sort(F.array_distinct(grams)).alias("grams"))
+    # filtered after it is written, else the grams would be computed for the filter too
+    g = stage(g.withColumn("set_id", F.md5(F.array_join(F.transform("grams", lambda x: x.cast("string")), ","))), "grams").where(F.size("grams") > 0)
     sets = g.groupBy("set_id").agg(F.first("grams").alias("grams"), F.min("id").alias("first_id")).withColumn("n", F.size("grams"))
     return g.select("id", "set_id"), stage(sets, "sets")
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays as A
 from millrace.functions import text as X
 from millrace.operators import decisions, dense, fusion, judgments, lexical, metrics, mining
-from millrace.session import stage, table
+from millrace.session import spread, stage, table
 
 from . import sql as S
 from .registry import query
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def searches(spark: SparkSession, d: str) -> DataFrame:

@@ -125,3 +125,13 @@ def partitions_for(spark: SparkSession, total_bytes: float, each: int = 64 << 20
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has too few pieces for them, as one small file has; else unchanged.
+
+    Large inputs have far more pieces than cores, so they are never shuffled for it.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if 2 * have > want else df.repartition(want)
