@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import stage, table
+from millrace.session import spread, stage, table
 
 from . import leakage, look_alikes, mixing, neighbours, related_splits, stable_sample, term_frequency, tokens, top_items
 
@@ -70,19 +70,19 @@ def p6_draws(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.token_ids(table(spark, d, "documents"))
+    return tokens.token_ids(spread(table(spark, d, "documents")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leakage.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_item"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return look_alikes.same_looking(table(spark, d, "documents"))
+    return look_alikes.same_looking(spread(table(spark, d, "documents")))
 
 
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents")).select("doc_id", "text")
     return look_alikes.consistent_texts(docs).select("doc_id", F.col("form").alias("text"))
 
 
