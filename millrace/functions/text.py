@@ -61,6 +61,11 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def fold_case_space(text: Column) -> Column:
     """Case-folded with collapsed white space; full case folding needs Python only for characters where it differs from lower case."""
     return F.regexp_replace(collapse_space(F.lower(text)), "ß", "ss")

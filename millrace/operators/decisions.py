@@ -86,8 +86,8 @@ def label_states(items: DataFrame, a: str, b: str, k: int = 10, max_unknown: int
     x = x.withColumn("gain", (F.coalesce((F.col(a) <= k).cast("int"), F.lit(0)) - F.coalesce((F.col(b) <= k).cast("int"), F.lit(0))))
     fixed = x.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("gain"))), F.lit(0)).alias("base"), F.count("u").alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("u").isNotNull(), F.struct("u", "gain")))).alias("g"))  # the judged items of a query
     fixed = fixed.withColumn("ok", F.assert_true(F.col("n") <= max_unknown, F.lit("too many unknown labels"))).where("ok is null")
-    s = fixed.withColumn("state", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.col("n").cast("int")) - 1)))
-    add = F.aggregate(F.map_entries("g"), F.lit(0), lambda acc, e: acc + F.when(F.expr("shiftright(state, 0)").bitwiseAND(F.pow(F.lit(2), e.key).cast("long")) > 0, e.value).otherwise(0))
+    s = fixed.withColumn("state", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("n")).cast("long") - 1)))
+    add = F.aggregate(F.map_entries("g"), F.lit(0), lambda acc, e: acc + F.when(F.col("state").bitwiseAND(F.pow(F.lit(2), e.key).cast("long")) > 0, e.value).otherwise(0))
     return s.select("qid", "state", (F.col("base") + add).cast("long").alias("diff"))
 
 

@@ -161,7 +161,7 @@ def comment_blocks(spark: SparkSession, d: str) -> DataFrame:
     return harvest.comment_blocks(documents(spark, d), "doc_id", "text")
 
 
-@query(rf"""WITH l AS (SELECT doc_id, trim(unnest(string_split_regex(text, '\r\n|\r|\n'))) AS s, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
+@query(rf"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split_regex(text, '\r\n|\r|\n')), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS s, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
 x AS (SELECT *, lag(s) OVER w AS b, lead(s) OVER w AS a, max(CASE WHEN s <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 h AS (SELECT doc_id AS id, pos::INT AS pos, s AS heading FROM x WHERE s <> '' AND len({S.plain_words("s")}) <= 12 AND NOT regexp_matches(s, '[.!?"'')\]”’]$') AND NOT contains(s, '. ') AND NOT contains(s, '; ') AND regexp_matches(s, '^[\p{{Lu}}\p{{Nd}}]') AND b = '' AND a = '' AND above = 1
   AND lower(s) NOT IN ('references', 'see also', 'external links', 'notes', 'further reading', 'bibliography', 'sources', 'citations')),
