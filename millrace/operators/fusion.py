@@ -10,6 +10,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import salted_join
+
 
 def ranked(run: DataFrame, group: str = "qid", item: str = "doc_id") -> DataFrame:
     """The run with ``rank`` from 1 within each query."""
@@ -74,9 +76,10 @@ def dbsf(runs: Mapping[str, DataFrame], prefetch: int = 100) -> DataFrame:
 
 def min_max(parts: DataFrame, eps: float, floor_zero: bool = False) -> DataFrame:
     """``norm``: (score - lo) / (hi - lo + eps) within each route and query; lo is 0 with ``floor_zero``."""
-    w = Window.partitionBy("route", "qid")
-    lo = F.lit(0.0) if floor_zero else F.min("score").over(w)
-    return parts.withColumn("norm", (F.col("score") - lo) / (F.max("score").over(w) - lo + eps))
+    # a query may hold very many rows: its bounds are aggregated and joined back, not windowed
+    bounds = parts.groupBy("route", "qid").agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
+    lo = F.lit(0.0) if floor_zero else F.col("__lo")
+    return salted_join(parts, bounds, ["route", "qid"], ["doc_id"]).withColumn("norm", (F.col("score") - lo) / (F.col("__hi") - lo + eps)).drop("__lo", "__hi")
 
 
 def convex(a: DataFrame, b: DataFrame, w: float = 0.5, eps: float = 1e-9, floor_zero: bool = False) -> DataFrame:
