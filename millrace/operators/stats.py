@@ -105,10 +105,10 @@ def shared_bootstrap(pairs: DataFrame, dataset: str, unit: str, replicates: int
 
 def family_bootstrap(pairs: DataFrame, stratum: str, family: str, replicates: int = 200, seed: str = "f") -> DataFrame:
     """(rep, delta): families are resampled inside strata, all their queries with them; strata weigh the same."""
-    fam = pairs.groupBy(stratum, family).agg(F.sum(F.col("a") - F.col("b")).alias("s"), F.count(F.lit(1)).alias("c"))
+    fam = pairs.groupBy(stratum, family).agg(F.sum(F.col("a") - F.col("b")).alias("__s"), F.count(F.lit(1)).alias("__c"))
     units = numbered(fam, stratum, family)
     plan = draw_plan(units, stratum, replicates, seed)
-    m = plan.join(units, [stratum, "k"]).groupBy("rep", stratum).agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("m"))
+    m = plan.join(units, [stratum, "k"]).groupBy("rep", stratum).agg((F.sum(F.col("__s") * F.col("times")) / F.sum(F.col("__c") * F.col("times"))).alias("m"))
     return m.groupBy("rep").agg(F.round(F.avg("m"), 12).alias("delta"))
 
 
