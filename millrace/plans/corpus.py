@@ -354,8 +354,7 @@ def exposure(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT doc_id, unnest(list_transform(list_concat({_WHOLE[0]}, {_WHOLE[1]}), lambda g: {S.key60("g")})) AS k FROM (SELECT doc_id, {S.words("text")} AS w FROM documents))
 SELECT DISTINCT doc_id AS id, item_id AS short_id FROM p JOIN s USING (k)""")
 def short_containment(spark: SparkSession, d: str) -> DataFrame:
-    head = F.array_join(F.slice(X.fingerprint_words(F.col("text")), 1, 6), " ")
-    return decontam.contains_short(documents(spark, d), items(spark, d).select(F.col("item_id").alias("short_id"), head.alias("text")), "doc_id")
+    return decontam.contains_short(documents(spark, d), items(spark, d).select(F.col("item_id").alias("short_id"), "text"), "doc_id")
 
 
 def copied_spans_sql() -> str:

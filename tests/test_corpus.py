@@ -192,3 +192,14 @@ def test_sketch_sizes(spark):
     x = docs(spark, [lines(200, 9)]).select(A.bottom(A.gram_keys(X.fingerprint_words(F.col("text"))), 32).alias("s")).first().s
     assert len(x) == 32
     assert defaultdict(int) == {}
+
+
+def test_short_containment_takes_whole_items(spark, tmp_path):
+    from millrace.plans.registry import queries
+
+    seven = "one two three four five six seven"
+    items = [("i3", "red green blue"), ("i4", "Red, green blue black"), ("i7", seven), ("i8", seven + " eight")]
+    docs = [(1, "say one two three four five six now"), (2, f"say {seven} now"), (3, f"say {seven} eight"), (4, "a red green blue black b"), (5, "")]
+    spark.createDataFrame([(*x, "query") for x in items], "item_id string, text string, role string").write.parquet(str(tmp_path / "eval_item.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(queries()["short_containment"](spark, str(tmp_path))) == [(2, "i7"), (3, "i7"), (4, "i4")]
