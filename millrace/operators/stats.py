@@ -1,22 +1,33 @@
 """Paired inference. Draws come from hashes of (seed, replicate, unit), so results do not depend on the layout.
 
 Each replicate of a bootstrap resamples n units of a stratum with replacement:
-slot j of replicate r takes unit number hash(seed, r, stratum, j) mod n. Slots
-are numbered within the stratum and counted, so a replicate joins units by
-number; nothing is gathered per replicate.
+slot j of replicate r takes unit number hash(seed, r, stratum, j) mod n.
+``paired_bootstrap`` takes the hash from md5, as its SQL does; the others take
+it from ``picks``, which costs some nanoseconds a draw.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing as H
+from millrace.session import bounded_broadcast
 
 from .ranking import distributed_row_number
 
+#: Replicates of the engine being matched: bootstraps, sign flips, weighted contrast.
+BOOTSTRAP, FLIPS, CONTRAST = 10_000, 100_000, 200_000
+#: Unit rows up to which each worker holds all values; above it, draws are joined with the units.
+HELD_ROWS = 2_000_000
+
 
 def align(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value", strict: bool = True) -> DataFrame:
     """(keys, a, b). With ``strict`` a key on one side only is an error, else it is left out. Repeated keys are an error."""
@@ -42,10 +53,79 @@ def draw_plan(units: DataFrame, stratum: str, replicates: int, seed: str) -> Dat
     return slots.select("rep", stratum, pick.alias("k")).groupBy("rep", stratum, "k").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _macro_deltas(pairs: DataFrame, plan: DataFrame, stratum: str, unit: str) -> DataFrame:
-    x = numbered(pairs, stratum, unit).select(stratum, "k", (F.col("a") - F.col("b")).alias("d"))
-    m = plan.join(x, [stratum, "k"]).groupBy("rep", stratum).agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("m"))
-    return m.groupBy("rep").agg(F.round(F.avg("m"), 12).alias("delta"))
+def md5_picks(seed: str, rep: int, stratum: str, n: int, part: int = 1 << 14) -> Iterator[np.ndarray]:
+    """Unit numbers of the n slots as in ``draw_plan``."""
+    lead = f"{seed}|{rep}|{stratum}|"
+    for at in range(0, n, part):
+        digests = b"".join([hashlib.md5(f"{lead}{j}".encode()).digest() for j in range(at, min(n, at + part))])
+        yield ((np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)) % np.uint64(n)).astype(np.int64)
+
+
+def picks(seed: str, rep: int, stratum: str, n: int, part: int = 1 << 13) -> Iterator[np.ndarray]:
+    """Unit numbers of the n slots, two from each splitmix64 that starts at the md5 of (seed, rep, stratum): 32 bits scaled to n, which must be below 2^31."""
+    golden, base = 0x9E3779B97F4A7C15, int.from_bytes(hashlib.md5(f"{seed}|{rep}|{stratum}".encode()).digest()[:8], "little")
+    steps, half = np.arange(1, min(part, (n + 1) // 2) + 1, dtype="<u8") * np.uint64(golden), (n + 1) // 2
+    for at in range(0, half, part):
+        x = steps[: half - at] + np.uint64((base + at * golden) % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        y = x.view("<u4")[: n - 2 * at].astype(np.uint64)
+        y *= np.uint64(n)
+        y >>= np.uint64(32)
+        yield y.view(np.int64)
+
+
+def resampled(units: DataFrame, stratum: str, label: str, values: list[str], replicates: int, seed: str, held: int = HELD_ROWS, draws: Callable[..., Iterator[np.ndarray]] = picks) -> DataFrame:
+    """(rep, stratum, label, n, values): sums of the values over the slots of each replicate, for each label of a stratum.
+
+    ``units`` is (stratum, k, n, label, values), each k from 0 to n - 1 once for each label.
+    """
+    spark = units.sparkSession
+    reps = spark.range(0, replicates, 1, max(1, min(replicates // 50, 4 * spark.sparkContext.defaultParallelism)))
+    units = units.select(F.col(stratum).cast("string").alias("g"), F.col(label).cast("string").alias("l"), "k", "n", *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+    names = [f"v{i}" for i in range(len(values))]
+    head = units.limit(held + 1).toArrow()  # bounded
+    if head.num_rows <= held:
+        found = defaultdict(dict)
+        table = head.sort_by([("g", "ascending"), ("l", "ascending"), ("k", "ascending")])
+        g, lab = np.array(table["g"].to_pylist(), dtype=object), np.array(table["l"].to_pylist(), dtype=object)
+        v = np.stack([table[c].to_numpy() for c in names], axis=1) if len(g) else np.zeros((0, len(names)))
+        cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (lab[1:] != lab[:-1])) + 1), len(g)] if len(g) else [0]
+        for i, j in zip(cuts, cuts[1:]):
+            found[g[i]][lab[i]] = np.ascontiguousarray(v[i:j].T)
+        blocks = spark.sparkContext.broadcast(dict(found))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys, sums = [], []
+                for rep in b.column(0).to_pylist():
+                    for s, labels in blocks.value.items():
+                        n = next(iter(labels.values())).shape[1]
+                        total = {x: np.zeros(len(names)) for x in labels}
+                        for idx in draws(seed, rep, s, n):
+                            for x, one in labels.items():
+                                total[x] += [row.take(idx, mode="clip").sum() for row in one]
+                        keys += [(rep, s, x, n) for x in labels]
+                        sums += total.values()
+                if keys:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*keys), (pa.int64(), pa.string(), pa.string(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in np.array(sums).T]], ["rep", "g", "l", "n", *names])
+
+        out = reps.mapInArrow(run, ", ".join(["rep long, g string, l string, n long", *[f"{c} double" for c in names]]))
+    else:
+        sizes = units.groupBy("g").agg(F.max("n").alias("n"))
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for rep, s, n in zip(*[c.to_pylist() for c in b.columns]):
+                    for idx in draws(seed, rep, s, n):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), rep)), pa.array([s] * len(idx), pa.string()), pa.array(idx)], ["rep", "g", "k"])
+
+        slots = reps.crossJoin(bounded_broadcast(sizes)).select("id", "g", "n").mapInArrow(draw, "rep long, g string, k long")
+        out = slots.join(bounded_broadcast(units), ["g", "k"]).groupBy("rep", "g", "l").agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+    return out.select("rep", F.col("g").alias(stratum), *([] if label == stratum else [F.col("l").alias(label)]), "n", *[F.col(c).alias(v) for c, v in zip(names, values)])
 
 
 def observed(pairs: DataFrame, stratum: str) -> DataFrame:
@@ -55,7 +135,9 @@ def observed(pairs: DataFrame, stratum: str) -> DataFrame:
 
 def bootstrap_deltas(pairs: DataFrame, stratum: str, unit: str, replicates: int, seed: str) -> DataFrame:
     """(rep, delta): macro difference of each replicate."""
-    return _macro_deltas(pairs, draw_plan(numbered(pairs, stratum, unit), stratum, replicates, seed), stratum, unit)
+    x = numbered(pairs, stratum, unit).select(stratum, "k", "n", (F.col("a") - F.col("b")).alias("d"))
+    m = resampled(x, stratum, stratum, ["d"], replicates, seed, draws=md5_picks).select("rep", (F.col("d") / F.col("n")).alias("m"))
+    return m.groupBy("rep").agg(F.round(F.avg("m"), 12).alias("delta"))
 
 
 def inverted_cdf(deltas: DataFrame, q: float, value: str = "delta") -> Column:
@@ -63,17 +145,19 @@ def inverted_cdf(deltas: DataFrame, q: float, value: str = "delta") -> Column:
     return F.expr(f"percentile_disc({q}) within group (order by {value})")
 
 
-def paired_bootstrap(pairs: DataFrame, stratum: str, unit: str, replicates: int = 200, seed: str = "b", quantile: float = 0.025) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, stratum: str, unit: str, replicates: int = BOOTSTRAP, seed: str = "b", quantile: float = 0.025) -> DataFrame:
     """One row: delta, its 95 % interval (linear), the one-sided lower and upper bound by order statistics, share of replicates at or below 0.
 
     The tail share is no p-value.
     """
+    if quantile * replicates < 1:
+        raise ValueError(f"{replicates} replicates have no order statistic at {quantile}")
     d = bootstrap_deltas(pairs, stratum, unit, replicates, seed)
     s = d.agg(F.round(F.percentile("delta", 0.025), 9).alias("ci_low"), F.round(F.percentile("delta", 0.975), 9).alias("ci_high"), F.round(inverted_cdf(d, quantile), 9).alias("lower"), F.round(inverted_cdf(d, 1 - quantile), 9).alias("upper"), F.round(F.avg((F.col("delta") <= 0).cast("double")), 9).alias("tail"))
     return observed(pairs, stratum).select(F.round("delta", 9).alias("delta")).crossJoin(s)  # one row each
 
 
-def sign_flip(pairs: DataFrame, stratum: str, unit: str, replicates: int = 200, seed: str = "s", unit_of: str | None = None) -> DataFrame:
+def sign_flip(pairs: DataFrame, stratum: str, unit: str, replicates: int = FLIPS, seed: str = "s", unit_of: str | None = None) -> DataFrame:
     """One row: (delta, p): (1 + replicates with a flipped macro at least as large in size) / (1 + replicates).
 
     With ``unit_of`` all rows of one underlying unit share their sign across strata.
@@ -81,7 +165,8 @@ def sign_flip(pairs: DataFrame, stratum: str, unit: str, replicates: int = 200,
     key = F.concat_ws("|", F.col(stratum).cast("string"), F.col(unit).cast("string")) if unit_of is None else F.col(unit_of).cast("string")
     reps = pairs.sparkSession.range(replicates).withColumnRenamed("id", "rep")
     x = pairs.select(stratum, key.alias("u"), (F.col("a") - F.col("b")).alias("d")).crossJoin(F.broadcast(reps))  # a fixed number
-    sign = 1 - 2 * (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), "u")), 1, 1), 16, 10).cast("int") % 2)
+    odd = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), "u")), 1, 1).isin(*"13579bdf")
+    sign = F.when(odd, -1).otherwise(1)
     m = x.groupBy("rep", stratum).agg(F.avg(F.col("d") * sign).alias("m")).groupBy("rep").agg(F.round(F.avg("m"), 12).alias("t"))
     o = observed(pairs, stratum)
     return m.crossJoin(F.broadcast(o)).groupBy(F.round("delta", 9).alias("delta")).agg(F.round((1 + F.count_if(F.abs("t") >= F.abs("delta"))) / (1 + F.count(F.lit(1))), 9).alias("p"))
@@ -93,26 +178,24 @@ def signature_strata(pairs: DataFrame, dataset: str, unit: str) -> DataFrame:
     return pairs.join(s, unit)
 
 
-def shared_bootstrap(pairs: DataFrame, dataset: str, unit: str, replicates: int = 200, seed: str = "d") -> DataFrame:
+def shared_bootstrap(pairs: DataFrame, dataset: str, unit: str, replicates: int = BOOTSTRAP, seed: str = "d") -> DataFrame:
     """(rep, delta): one draw for each underlying unit, used in every data set that holds it."""
     s = signature_strata(pairs, dataset, unit)
     units = numbered(s.select("signature", unit).distinct(), "signature", unit)
-    plan = draw_plan(units, "signature", replicates, seed)
-    x = s.join(units.select(unit, "signature", "k"), ["signature", unit]).select("signature", "k", dataset, (F.col("a") - F.col("b")).alias("d"))
-    m = plan.join(x, ["signature", "k"]).groupBy("rep", dataset).agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("m"))
+    x = s.join(units.select(unit, "signature", "k", "n"), ["signature", unit]).select("signature", "k", "n", dataset, (F.col("a") - F.col("b")).alias("d"))
+    m = resampled(x, "signature", dataset, ["d"], replicates, seed).groupBy("rep", dataset).agg((F.sum("d") / F.sum("n")).alias("m"))
     return m.groupBy("rep").agg(F.round(F.avg("m"), 12).alias("delta"))
 
 
-def family_bootstrap(pairs: DataFrame, stratum: str, family: str, replicates: int = 200, seed: str = "f") -> DataFrame:
+def family_bootstrap(pairs: DataFrame, stratum: str, family: str, replicates: int = BOOTSTRAP, seed: str = "f") -> DataFrame:
     """(rep, delta): families are resampled inside strata, all their queries with them; strata weigh the same."""
     fam = pairs.groupBy(stratum, family).agg(F.sum(F.col("a") - F.col("b")).alias("__s"), F.count(F.lit(1)).alias("__c"))
     units = numbered(fam, stratum, family)
-    plan = draw_plan(units, stratum, replicates, seed)
-    m = plan.join(units, [stratum, "k"]).groupBy("rep", stratum).agg((F.sum(F.col("__s") * F.col("times")) / F.sum(F.col("__c") * F.col("times"))).alias("m"))
+    m = resampled(units, stratum, stratum, ["__s", "__c"], replicates, seed).select("rep", (F.col("__s") / F.col("__c")).alias("m"))
     return m.groupBy("rep").agg(F.round(F.avg("m"), 12).alias("delta"))
 
 
-def weighted_contrast(pairs: DataFrame, units: DataFrame, replicates: int = 200, seed: str = "w", quantile: float = 0.05 / 12) -> DataFrame:
+def weighted_contrast(pairs: DataFrame, units: DataFrame, replicates: int = CONTRAST, seed: str = "w", quantile: float = 0.05 / 12) -> DataFrame:
     """One row: (delta, lower, previous) of (unit, qid, a, b), units being resampled within themselves, families weighing the same and units the same in a family.
 
     ``lower`` is the order statistic at ``quantile``, ``previous`` the one before it.
@@ -121,8 +204,7 @@ def weighted_contrast(pairs: DataFrame, units: DataFrame, replicates: int = 200,
     w = units.join(sizes, "family").crossJoin(F.broadcast(sizes.agg(F.count(F.lit(1)).alias("families"))))
     w = w.select("unit", (1.0 / (F.col("in_family") * F.col("families"))).alias("w"))
     d = numbered(pairs, "unit", "qid").select("unit", "k", (F.col("a") - F.col("b")).alias("d"), "n")
-    plan = draw_plan(d, "unit", replicates, seed)
-    m = plan.join(d, ["unit", "k"]).groupBy("rep", "unit").agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("m"))
+    m = resampled(d, "unit", "unit", ["d"], replicates, seed).select("rep", "unit", (F.col("d") / F.col("n")).alias("m"))
     reps = m.join(w, "unit").groupBy("rep").agg(F.round(F.sum(F.col("m") * F.col("w")), 12).alias("delta"))
     at = max(1, math.ceil(quantile * replicates - 1e-12))
     low = F.sort_array(F.collect_list("delta"))  # one value a replicate

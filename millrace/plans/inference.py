@@ -13,7 +13,7 @@ from . import sql as S
 from .registry import query
 from .retrieval import _scores, documents, scores_sql
 
-REPS = 50
+REPS = 50  # of the SQL; the queries take the numbers of the engine being matched
 
 
 @query("""WITH u AS (SELECT n_nationkey AS unit, n_regionkey AS family FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)), m AS (SELECT s_nationkey AS unit, avg(s_acctbal) AS m FROM supplier GROUP BY 1),
@@ -71,7 +71,7 @@ ob AS (SELECT avg(m) AS o FROM (SELECT avg(a - b) AS m FROM p GROUP BY domain))"
 
 @query(f"WITH {_boot_sql('b')} SELECT round(o, 6) AS delta, round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high, round(avg((delta <= 0)::INT), 6) AS tail FROM de, ob GROUP BY o")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    x = stats.paired_bootstrap(paired_scores(spark, d), "domain", "qid", REPS, "b")
+    x = stats.paired_bootstrap(paired_scores(spark, d), "domain", "qid", stats.BOOTSTRAP, "b")
     return x.select(*[F.round(c, 6).alias(c) for c in ("delta", "ci_low", "ci_high", "tail")])
 
 
@@ -79,27 +79,27 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 t AS (SELECT rep, round(avg(m), 12) AS t FROM f GROUP BY rep), o AS (SELECT round(avg(m), 12) AS o FROM (SELECT avg(a - b) AS m FROM p GROUP BY domain))
 SELECT round(o, 6) AS delta, round((1 + count(*) FILTER (WHERE abs(t) >= abs(o))) / (1 + count(*)), 6) AS p FROM t, o GROUP BY o""")
 def sign_flip(spark: SparkSession, d: str) -> DataFrame:
-    x = stats.sign_flip(paired_scores(spark, d), "domain", "qid", REPS, "s")
+    x = stats.sign_flip(paired_scores(spark, d), "domain", "qid", stats.FLIPS, "s")
     return x.select(F.round("delta", 6).alias("delta"), F.round("p", 6).alias("p"))
 
 
 @query()
 def shared_unit_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return stats.shared_bootstrap(paired_scores(spark, d), "domain", "qid", REPS)
+    return stats.shared_bootstrap(paired_scores(spark, d), "domain", "qid", stats.BOOTSTRAP)
 
 
 @query()
 def family_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     fam = table(spark, d, "query_spec").groupBy("qid").agg(F.min("source").alias("source"))
     p = paired_scores(spark, d).join(fam, "qid").withColumn("source", F.coalesce("source", F.lit("")))
-    return stats.family_bootstrap(p, "domain", "source", REPS)
+    return stats.family_bootstrap(p, "domain", "source", stats.BOOTSTRAP)
 
 
 @query()
 def weighted_contrast(spark: SparkSession, d: str) -> DataFrame:
     p = paired_scores(spark, d).withColumnRenamed("domain", "unit")
     units = p.select("unit").distinct().withColumn("family", F.when(F.col("unit") < "m", "first").otherwise("second"))
-    return stats.weighted_contrast(p, units, REPS)
+    return stats.weighted_contrast(p, units, stats.CONTRAST)
 
 
 @query(f"WITH {_PAIRS}, g AS (SELECT domain, var_samp(a - b) / count(*) AS v FROM p GROUP BY domain) SELECT round(sqrt(sum(v)) / count(*), 9) AS se, round(sqrt(sum(v)) / count(*) * (1.959963985 + 0.841621234), 9) AS mde FROM g")

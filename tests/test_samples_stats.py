@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import zipfile
@@ -262,3 +263,54 @@ def test_every_query_has_a_name_of_its_own():
 def test_stage_reads_back(spark):
     x = stage(ids(spark, 5), "t")
     assert x.count() == 5 and "millrace-" in x.inputFiles()[0]
+
+
+def test_resampling_queries_take_the_reference_replicates(spark, monkeypatch):
+    from millrace.plans import inference
+
+    p = spark.createDataFrame([(d, f"{d}{i}", (i * 7 % 11) / 10, 0.3) for d in ("a", "n") for i in range(4)], "domain string, qid string, a double, b double")
+    monkeypatch.setattr(inference, "paired_scores", lambda s, d: p)
+    asked = {}
+    for name in ("paired_bootstrap", "sign_flip", "shared_bootstrap", "weighted_contrast"):
+        real = getattr(stats, name)
+        monkeypatch.setattr(stats, name, lambda *x, _n=name, _r=real: asked.update({_n: next(v for v in x if isinstance(v, int))}) or _r(*x))
+    assert inference.shared_unit_bootstrap(spark, "").count() == 10_000
+    w = inference.weighted_contrast(spark, "").first()
+    assert w.lower < w.delta
+    f = inference.sign_flip(spark, "").first()
+    assert 1 / 100_001 <= f.p <= 1
+    inference.paired_bootstrap(spark, "")
+    assert asked == {"paired_bootstrap": 10_000, "sign_flip": 100_000, "shared_bootstrap": 10_000, "weighted_contrast": 200_000}
+    with pytest.raises(ValueError, match="no order statistic"):
+        stats.paired_bootstrap(p, "domain", "qid", 30)
+
+
+def test_resampling_equals_brute_force(spark):
+    data = paired(spark)
+    p = spark.createDataFrame(data, "s string, q string, a double, b double")
+    by = {s: [d for _, d in sorted((hashlib.md5(x[1].encode()).hexdigest(), x[2] - x[3]) for x in data if x[0] == s)] for s in ("s0", "s1", "s2")}
+    take = lambda s, r: [by[s][i] for part in stats.picks("w", r, s, len(by[s]), 7) for i in part]
+    w = {"s0": 0.25, "s1": 0.25, "s2": 0.5}
+    want = sorted(round(sum(w[s] * np.mean(take(s, r)) for s in by), 12) for r in range(60))
+    fam = spark.createDataFrame([("s0", "x"), ("s1", "x"), ("s2", "y")], "unit string, family string")
+    got = stats.weighted_contrast(p.withColumnsRenamed({"s": "unit", "q": "qid"}), fam, 60, quantile=0.05).first()
+    assert (got.lower, got.previous) == pytest.approx((want[2], want[1]), abs=2e-9)
+    u = stats.numbered(p, "s", "q").withColumn("d", F.col("a") - F.col("b"))
+    one, two = ({(r.rep, r.s): r.d for r in stats.resampled(u, "s", "s", ["d"], 9, "w", held).collect()} for held in (1000, 5))
+    assert len(one) == 27 and one == pytest.approx(two) and one[4, "s1"] == pytest.approx(sum(take("s1", 4)))
+    many = np.bincount(np.concatenate([x for r in range(400) for x in stats.picks("u", r, "s", 50)]), minlength=50)
+    assert many.sum() == 20_000 and len(many) == 50 and ((many - 400) ** 2 / 400).sum() < 94
+
+
+def test_md5_draws_equal_the_sql_definition(spark):
+    data = paired(spark)
+    p = spark.createDataFrame(data, "s string, q string, a double, b double")
+    by = {s: [d for _, d in sorted((hashlib.md5(x[1].encode()).hexdigest(), x[2] - x[3]) for x in data if x[0] == s)] for s in ("s0", "s1", "s2")}
+    key = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:15], 16)
+    want = [np.mean([np.mean([v[key("b", r, s, j) % len(v)] for j in range(len(v))]) for s, v in by.items()]) for r in range(8)]
+    got = [x.delta for x in stats.bootstrap_deltas(p, "s", "q", 8, "b").orderBy("rep").collect()]
+    assert got == pytest.approx(want, abs=1e-11)
+    sign = lambda *x: 1 - 2 * (int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[0], 16) % 2)
+    mean = lambda r: np.mean([np.mean([(x[2] - x[3]) * (sign("s", r, s, x[1]) if r >= 0 else 1) for x in data if x[0] == s]) for s in by])
+    f = stats.sign_flip(p, "s", "q", 30, "s").first()
+    assert f.p == pytest.approx((1 + sum(abs(mean(r)) >= abs(mean(-1)) - 1e-12 for r in range(30))) / 31, abs=1e-8)
