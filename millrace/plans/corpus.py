@@ -22,6 +22,9 @@ KEYWORDS = {
     "operations": {"restart": 2, "deploy": 2, "timeout": 2, "error": 1, "log": 1, "cluster": 1},
 }
 
+#: Records that may share a positive before it ties none of them, as in the engine being matched.
+HUB = 50
+
 
 def items(spark: SparkSession, d: str, role: str | None = None) -> DataFrame:
     x = table(spark, d, "eval_item")
@@ -395,7 +398,7 @@ e AS (SELECT DISTINCT a.n AS a, b.n AS b FROM g a JOIN g b USING (k)), q AS (SEL
 SELECT x AS node, min(y) AS root FROM r GROUP BY x""")
 def hub_pruned_families(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "query_spec").select("qid", F.explode_outer("positive_ids").alias("p"))
-    return graph.families(x, "qid", ["p"], hub=8)
+    return graph.families(x, "qid", ["p"], hub=HUB)
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY created_at DESC NULLS LAST, doc_id DESC) AS n FROM documents) SELECT artifact_id, doc_id FROM n WHERE n = 1""")

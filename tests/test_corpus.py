@@ -203,3 +203,12 @@ def test_short_containment_takes_whole_items(spark, tmp_path):
     spark.createDataFrame([(*x, "query") for x in items], "item_id string, text string, role string").write.parquet(str(tmp_path / "eval_item.parquet"))
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert rows(queries()["short_containment"](spark, str(tmp_path))) == [(2, "i7"), (3, "i7"), (4, "i4")]
+
+
+def test_families_are_tied_by_positives_of_up_to_50_records(spark, tmp_path):
+    from millrace.plans.registry import queries
+
+    rows_ = [(f"{p}{i:02}", [p]) for p, n in (("a", 9), ("b", 50), ("c", 51)) for i in range(n)] + [("d", [])]
+    spark.createDataFrame(rows_, "qid string, positive_ids array<string>").write.parquet(str(tmp_path / "query_spec.parquet"))
+    got = {r.node: r.root for r in queries()["hub_pruned_families"](spark, str(tmp_path)).collect()}
+    assert got == {q: q if q[0] in "cd" else q[0] + "00" for q, _ in rows_}
