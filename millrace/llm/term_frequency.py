@@ -43,9 +43,5 @@ def term_frequency(stats: DataFrame, min_docs: int = MIN_DOCS, max_share_percent
 
 
 def marked_terms(stats: DataFrame) -> DataFrame:
-    """(term, mark) of the terms that are rare or common, from the document counts alone."""
-    docs = _pairs(stats, "docs")
-    total = docs.where(F.col("e").isNotNull()).select("e").distinct().agg(F.count(F.lit(1)).alias("all_docs"))
-    d = docs.groupBy("term").agg(F.count("e").alias("docs"))
-    mark = F.when(F.col("docs") < MIN_DOCS, "rare").when(F.col("docs") * 100 > F.col("all_docs") * MAX_SHARE_PERCENT, "common")
-    return d.crossJoin(F.broadcast(total)).select("term", mark.alias("mark")).where("mark is not null")
+    """(term, mark) of the terms that are rare or common."""
+    return term_frequency(stats).where("mark is not null").select("term", "mark")

@@ -149,3 +149,9 @@ def test_bucket_items(spark, unit):
     q = [("q1", "general", "", "", 1, "one two"), ("q1", "general", "", "", 2, "one two three"), ("q4", "alias", "p", "a", 1, "x y"), ("q5", "alias", "p", "b", 1, None)]
     got = rows(M.bucket_items(spark.createDataFrame(q, "qid string, bucket string, alias_pair_id string, alias_view string, delivery int, text string"), unit))
     assert got == ([("alias", "p", 1), ("general", "q1", 1)] if unit == "records" else [("alias", "p", 2), ("general", "q1", 3)])
+
+
+def test_marked_terms_do_the_full_count(spark, tmp_path):
+    stats(spark, [("a", ["d1"], ["c1", "c1"])]).write.parquet(str(tmp_path / "t"))
+    plan = T.marked_terms(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert "contexts:array" in plan
