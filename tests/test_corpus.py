@@ -125,10 +125,28 @@ def test_chunks(spark):
     assert [r.text for r in got if r.id == 3] == ["plain"] and {r.id for r in got} == {0, 3}
 
 
-def test_paragraph_packer_carries_on():
+def test_paragraph_packer_carries_on(spark):
     text = " ".join(["a"] * 30) + "\n" + " ".join(["b"] * 300) + "\nend"
-    out = harvest._pack(text, 60, 220)
-    assert [len(c.split()) for c in out] == [220, 110]
+    out = harvest.packed_paragraphs(docs(spark, [text, None, "", " \n "]), low=60, high=220).orderBy("chunk").collect()
+    assert [len(c.text.split()) for c in out] == [220, 110] and [c.chunk for c in out] == [0, 1]
+
+
+@pytest.mark.parametrize("low, high", [(1, 5), (4, 9), (9, 9), (12, 7)])
+def test_paragraph_packer_places(spark, low, high):
+    """Word by word: a chunk closes when it is full, or at a paragraph's end when it is long enough."""
+    r = random.Random(low * 100 + high)
+    texts = ["\n".join(" ".join(f"{p}.{i}" for i in range(r.choice([0, 1, 2, 5, 30]))) for p in range(r.randrange(12))) for _ in range(40)]
+    want = []
+    for d, t in enumerate(texts):
+        now, n = [], 0
+        for para in t.split("\n"):
+            w = para.split()
+            for at, x in enumerate(w, 1):
+                now.append(x)
+                if len(now) == high or (at == len(w) and len(now) >= low):
+                    want.append((d, n, " ".join(now)))
+                    now, n = [], n + 1
+    assert rows(harvest.packed_paragraphs(docs(spark, texts), low=low, high=high)) == sorted(want, key=repr)
 
 
 def test_headings_leads_views(spark):
@@ -144,8 +162,8 @@ def test_headings_leads_views(spark):
 
 
 def test_definitions_and_aliases(spark):
-    found = harvest.definitions_in("We use channel state information (CSI) and the bank of England (BOE), not it (IT) or wrong words (XYZ).")
-    assert found == [("channel state information", "CSI"), ("bank of England", "BOE")]
+    found = harvest.definitions(docs(spark, ["We use channel state information (CSI) and the bank of England (BOE), not it (IT) or wrong words (XYZ)."]))
+    assert [tuple(r)[1:] for r in found.collect()] == [("channel state information", "CSI"), ("bank of England", "BOE")]
     d = docs(spark, ["The write ahead log (WAL) is flushed by the writer. Now the write ahead log grows quickly today.", "A write ahead log (WAL) again."])
     lex = harvest.alias_lexicon(harvest.definitions(d))
     assert rows(lex) == [("write ahead log", "WAL", 2)]
@@ -153,6 +171,15 @@ def test_definitions_and_aliases(spark):
     assert "Now the WAL grows quickly today." in {p.view_b for p in pairs} and all("(WAL)" not in p.view_a for p in pairs)
 
 
+def test_definitions_at_the_edges(spark):
+    texts = [
+        "(CSI) first", "state information (CSI)", "a b (AB)", "Power of the Mind (POM)", "Power of the Mind (PM)", "Power of the (PT)", "of the map (OTM)",
+        "graph 1st node (GN)", "deep neural networks (DNNs)", "net (NNET) neural net (NN)", None, "", "x" * 300 + " quick sort ( QS )", "Résumé Text (RT)", "one two (OT)(OT)", "long Abbreviations Are Refused Xxx Yyy Zzz Www Vvv (AARXYZWVU)", "Bank of the Mind (BM)", "Bank of the a Mind (BM)",
+    ]
+    got = [tuple(r) for r in harvest.definitions(docs(spark, texts)).orderBy("id").collect()]
+    assert got == [(6, "of the map", "OTM"), (9, "neural net", "NN"), (12, "quick sort", "QS"), (13, "Résumé Text", "RT"), (14, "one two", "OT"), (16, "Bank of the Mind", "BM")]
+
+
 def test_comment_blocks_and_pages(spark):
     code = "fn a() {}\n// This comment explains in many words what the function below does\n// and goes on for a second line of text.\nlet x = 1;\n// single\n"
     got = harvest.comment_blocks(docs(spark, [code]), "doc_id", "text").collect()
