@@ -4,14 +4,21 @@ Folded for every text: width variants, accents written apart, characters that
 show nothing and other space characters. Look-alike letters are repaired by
 script, token by token: the dominant script of a token is found, and look-alikes
 of other scripts are substituted if the token mixes scripts and the result is a
-word of the corpus. Case, missing accents, raised digits, punctuation and line
-breaks stay as they are.
+word of the corpus. A token of look-alikes alone has no script of its own, so
+no vocabulary can tell which one it is of; such tokens take the dominant script
+of their text. Case, missing accents, raised digits, punctuation and line breaks
+stay as they are.
+
+Two texts have one form exactly if they look the same: a letter without
+look-alikes fixes the script of its token, so spellings of that token are
+repaired alike, and all other tokens are settled by what the whole text shows.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -20,13 +27,16 @@ from pyspark.sql import functions as F
 
 from millrace.session import salted_join, stage
 
-# Letters of other scripts that look like a Latin letter, by script.
+# Letters that look like a Latin letter of the same case, by script, from the public Unicode data on
+# confusable characters; those that are only similar (as Greek alpha, Cyrillic ghe) are left out.
 LOOK_ALIKES = {
-    "Cyrillic": dict(zip("АВЕЅІЈКМНОРСТУХԚԜҮаеѕіјорсухһԁԛԝӏѵ", "ABESIJKMHOPCTYXQWYaesijopcyxhdqwlv", strict=True)),
-    "Greek": dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονρϲϳ", "ABEZHIKMNOPTYXCJovpcj", strict=True)),
-    "Armenian": dict(zip("ՕՍօսհոցզ", "OUouhngq", strict=True)),
-    "Cherokee": dict(zip("ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCEHJKLMPRSTVWZ", strict=True)),
-    "LatinVariant": dict(zip("ɡɑⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ", "gaivxlcdmIVXLCDM", strict=True)),
+    "Cyrillic": dict(zip("АВЕЅІЈКМНОРСТУХԚԜҮѴԌӀаеѕіјорсухһԁԛԝӏѵүѡ", "ABESIJKMHOPCTYXQWYVGlaesijopcyxhdqwlvyw", strict=True)),
+    "Greek": dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϜϺονρϲϳ", "ABEZHIKMNOPTYXCJFMovpcj", strict=True)),
+    "Armenian": dict(zip("ՕՍՏօսհոցզ", "OUSouhngq", strict=True)),
+    "Cherokee": dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᎡᏚᏕᎢᏙᎳᏔᎩᎽᏃꮯꮁꮪꮩꮃꮓ", "ABCDEGHJKLMPRRSSTVWWYYZcrsvwz", strict=True)),
+    "Coptic": dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⳐⲟⲣⲥ", "HIKMNOPCTYXLopc", strict=True)),
+    "Lisu": dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ", strict=True)),
+    "LatinVariant": dict(zip("ɡɑⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯᴄᴏꜱᴜᴠᴡᴢ", "gaivxlcdmIVXLCDMcosuvwz", strict=True)),
 }
 # Characters that show nothing, beside those of category Cf, and those of Cf that do show.
 SHOW_NOTHING = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
@@ -40,10 +50,13 @@ SCRIPT_OF = {c: s for s, table in LOOK_ALIKES.items() for c in table}
 FROM_LATIN = {s: {x: c for c, x in reversed(table.items())} for s, table in LOOK_ALIKES.items() if s != "LatinVariant"}
 
 # words of the scripts that have look-alikes; letters of other scripts, as Han, end a token
-TOKEN = regex.compile(r"[\p{Script=Latin}\p{Script=Cyrillic}\p{Script=Greek}\p{Script=Armenian}\p{Script=Cherokee}\p{M}]+")
+_NAMES = tuple(n for n in LOOK_ALIKES if n != "LatinVariant")
+TOKEN = regex.compile(r"[\p{Script=Latin}" + "".join(rf"\p{{Script={n}}}" for n in _NAMES) + r"\p{M}]+")
 _SUSPECT = regex.compile("[" + "".join(TO_LATIN) + "]")
 _LATIN = regex.compile(r"\p{Script=Latin}")
-_SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Cyrillic", "Greek", "Armenian", "Cherokee")}
+_SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in _NAMES}
+_ASCII_WORDS = re.compile("[A-Za-z]+")
+_ASCII_FOLDED = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 #: Entries of a repair table that are sent to every task; a larger one is joined.
 TABLE_BOUND = 200_000
 
@@ -71,8 +84,8 @@ _JOIN = regex.compile(r"(?<![\p{Extended_Pictographic}️\U0001F3FB-\U0001F3FF؀
 
 def fold(text: str) -> str:
     """Width, accents, invisible characters and spaces in one form; all else unchanged."""
-    if text.isascii() and text.isprintable():
-        return text
+    if text.isascii():
+        return _ASCII_FOLDED.sub("", text)
     if "‌" in text or "‍" in text:
         text = _JOIN.sub("", text)
     return unicodedata.normalize("NFC", text.translate(FOLD))
@@ -97,10 +110,11 @@ def scripts(token: str) -> dict[str, int]:
 
 
 def repairs(token: str) -> list[str]:
-    """What a token of mixed scripts may stand for, the dominant script first; [] if it is of one script or can't be repaired.
+    """What a token of mixed scripts may stand for, the dominant script first; [] if it is of one script.
 
     Of equally frequent scripts Latin comes first, then by name. Letters that
-    have no look-alike in a script rule that script out.
+    have no look-alike in a script rule that script out. If every script is, the
+    token may only stand for itself with each look-alike as its Latin letter.
     """
     t = unicodedata.normalize("NFD", token)
     found = scripts(t)
@@ -121,7 +135,7 @@ def repairs(token: str) -> list[str]:
             made.append(to)
         else:
             out.append(unicodedata.normalize("NFC", "".join(made)))
-    return out
+    return out or [b for b in (bare_letters(token),) if b != token]
 
 
 def word_key(token: str) -> str:
@@ -142,14 +156,54 @@ def repaired(text: str, table: dict[str, str]) -> str:
     return TOKEN.sub(lambda m: table.get(m[0], m[0]), text)
 
 
+def _of_no_script(token: str) -> bool:
+    """Whether every letter of the token is a Latin letter or looks like one."""
+    return all(c in TO_LATIN or _LATIN.match(c) for c in unicodedata.normalize("NFD", token) if c.isalpha() or c in TO_LATIN)
+
+
 def comparable(text: str) -> str:
-    """The consistent form for comparing: tokens made of look-alikes alone are of no certain script and stand as Latin."""
-    if text.isascii() or not _SUSPECT.search(t := unicodedata.normalize("NFD", text)):
+    """The form for comparing passages of different texts: tokens made of look-alikes alone stand as Latin."""
+    if text.isascii() or not _SUSPECT.search(unicodedata.normalize("NFD", text)):
+        return text
+    return TOKEN.sub(lambda m: bare_letters(m[0]) if _of_no_script(m[0]) else m[0], text)
+
+
+def text_script(text: str) -> str:
+    """The script that a text shows: that of most letters without a Latin look-alike, unless letters that this script can't show are as many.
+
+    Depends only on what the text looks like; 'Latin' in case of doubt.
+    """
+    found: dict[str, int] = {}
+    latin: dict[str, int] = {}
+    for c in unicodedata.normalize("NFD", text):
+        if c in TO_LATIN or c.isascii():
+            x = TO_LATIN.get(c, c)
+            if x.isalpha():
+                latin[x] = latin.get(x, 0) + 1
+        elif c.isalpha():
+            s = next((n for n, p in _SCRIPTS.items() if p.match(c)), None)
+            if s is not None:
+                found[s] = found.get(s, 0) + 1
+    if not found:
+        return "Latin"
+    s = min(found, key=lambda n: (-found[n], n))
+    return s if found[s] > sum(n for x, n in latin.items() if x not in FROM_LATIN[s]) else "Latin"
+
+
+def settled(text: str) -> str:
+    """The consistent form of a repaired text: tokens made of look-alikes alone take the script of the text, or Latin letters where it lacks one."""
+    if text.isascii() or not _SUSPECT.search(unicodedata.normalize("NFD", text)):
         return text
+    table = FROM_LATIN.get(text_script(text), {})
+
     def one(m: regex.Match) -> str:
-        token = m[0]
-        letters = [c for c in unicodedata.normalize("NFD", token) if c.isalpha()]
-        return bare_letters(token) if all(c in TO_LATIN or c.isascii() for c in letters) else token
+        if not _of_no_script(m[0]):
+            return m[0]
+        bare = bare_letters(m[0])
+        letters = unicodedata.normalize("NFD", bare)
+        if table and all(c in table for c in letters if c.isalpha()):
+            return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in letters))
+        return bare
 
     return TOKEN.sub(one, text)
 
@@ -163,36 +217,37 @@ def _in_parts(b: pa.RecordBatch, more: list[pa.Array]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([b.column(0), *more], ["id", *[f"c{i}" for i in range(len(more))]])
 
 
-def _tokens(only_mixed: bool):
-    """mapInArrow function over folded texts: (token, result, rank) for mixed tokens, or the distinct words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
-        rows: list[tuple[str, str, int]] = []
-        for b in batches:
-            for t in b.column(1).to_pylist():
-                if t is None:
-                    continue
-                if only_mixed:
-                    new = [x for x in mixed_tokens(t) if x not in seen]
-                    seen.update(new)
-                    rows += [(x, r, i) for x in new for i, r in enumerate(repairs(x))]
-                else:
-                    new = {word_key(x) for x in TOKEN.findall(t)} - seen
-                    seen |= new
-                    rows += [(x, x, 0) for x in new]
-            if len(seen) > 500_000:  # the distinct below makes up for it
-                seen.clear()
-            if len(rows) > 10_000:
-                yield _rows(rows)
-                rows = []
-        yield _rows(rows)
-
-    return run
-
-
-def _rows(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([word_key(r[1]) for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["token", "result", "word", "rank"])
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function over folded texts: (token, result, word, rank) for what mixed tokens may stand for, and a null token for each distinct word."""
+    mixed: set[str] = set()
+    seen: set[str] = set()
+    rows: list[tuple[str | None, str | None, str, int]] = []
+    for b in batches:
+        for t in b.column(1).to_pylist():
+            if t is None:
+                continue
+            if t.isascii():
+                words = set(_ASCII_WORDS.findall(t))
+            else:
+                words = set(TOKEN.findall(t))
+                new = [x for x in mixed_tokens(t) if x not in mixed]
+                mixed.update(new)
+                rows += [(x, r, word_key(r), i) for x in new for i, r in enumerate(repairs(x))]
+            words = {word_key(x) for x in words} - seen
+            seen |= words
+            rows += [(None, None, x, 0) for x in words]
+        if len(seen) > 500_000:  # the distinct below makes up for it
+            seen.clear()
+        if len(mixed) > 500_000:
+            mixed.clear()
+        if len(rows) > 10_000:
+            yield _rows(rows)
+            rows = []
+    yield _rows(rows)
+
+
+def _rows(rows: list[tuple[str | None, str | None, str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.string()) for i in range(3)], pa.array([r[3] for r in rows], pa.int32())], ["token", "result", "word", "rank"])
 
 
 def folded_texts(texts: DataFrame, key: str) -> DataFrame:
@@ -208,58 +263,68 @@ def repair_table(folded: list[DataFrame]) -> DataFrame:
     corpus: an unmixed token somewhere (in any letter case), or what another
     mixed token also stands for.
     """
-    schema = "token string, result string, word string, rank int"
     both = folded[0].select(F.lit(0).alias("k"), "folded")
     for f in folded[1:]:
         both = both.union(f.select(F.lit(0).alias("k"), "folded"))
-    mixed = stage(both.mapInArrow(_tokens(True), schema).distinct(), "mixed")
-    words = both.mapInArrow(_tokens(False), schema).select("word").distinct()
-    known = words.join(mixed.select("word").distinct(), "word", "left_semi")
+    found = stage(both.mapInArrow(_tokens, "token string, result string, word string, rank int").distinct(), "tokens")
+    mixed = found.where("token is not null")
+    known = found.where("token is null").select("word").distinct()
     agreed = mixed.where("rank = 0").groupBy("word").agg(F.countDistinct("token").alias("n")).where("n > 1").select("word")
-    ok = mixed.join(known.union(agreed).distinct(), "word", "left_semi")
+    ok = mixed.join(known.join(mixed.select("word").distinct(), "word", "left_semi").union(agreed).distinct(), "word", "left_semi")
     return ok.groupBy("token").agg(F.min(F.struct("rank", "result")).alias("m")).select("token", "m.result")
 
 
-def _apply(table: dict[str, str] | None):
-    """mapInArrow function: (id, folded[, replacements]) -> (id, consistent form, form for comparing)."""
+def _apply(table, finish: Callable[[str], str]):
+    """mapInArrow function: (id, folded[, replacements]) -> (id, finished form); ``table`` is a broadcast table, or None where rows bring their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = None if table is None else table.value
         for b in batches:
-            own = [dict(x or []) for x in b.column(2).to_pylist()] if table is None else None
-            forms = [None if t is None else repaired(t, table if own is None else own[i]) for i, t in enumerate(b.column(1).to_pylist())]
-            yield from _in_parts(b, [pa.array(forms, pa.string()), pa.array([None if t is None else comparable(t) for t in forms], pa.string())])
+            own = [dict(x or []) for x in b.column(2).to_pylist()] if common is None else None
+            forms = [None if t is None else finish(repaired(t, common if own is None else own[i])) for i, t in enumerate(b.column(1).to_pylist())]
+            yield from _in_parts(b, [pa.array(forms, pa.string())])
 
     return run
 
 
 def _mixed_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        pairs = [(i, x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for x in mixed_tokens(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], b.column(0).type), pa.array([x for _, x in pairs], pa.string())], ["id", "token"])
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        pairs = [(*k, x) for k, t in zip(keys, b.column(2).to_pylist(), strict=True) if t for x in mixed_tokens(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.string())], ["h1", "h2", "token"])
 
 
-def consistent(folded: DataFrame, table: DataFrame, key: str, table_bound: int = TABLE_BOUND) -> DataFrame:
-    """(key, form, compare) of every folded text: repaired by ``table`` of (token, result).
+def with_repairs(folded: DataFrame, table: DataFrame, key: str, table_bound: int = TABLE_BOUND) -> tuple[DataFrame, object]:
+    """(rows (id, folded[, own]), broadcast table or None): what ``_apply`` needs to repair every row.
 
-    A table of at most ``table_bound`` entries goes to every task. A larger one
-    is joined to the mixed tokens of each text instead; then keys must be
-    unique. Both give the same forms.
+    A table of at most ``table_bound`` entries goes to every task. A larger one is
+    joined to the mixed tokens of each distinct text instead. Both give the same
+    forms, also for repeated rows and null keys.
     """
-    kind = folded.schema[key].dataType.simpleString()
     x = folded.select(F.col(key).alias("id"), "folded")
-    schema = f"id {kind}, c0 string, c1 string"
     head = table.limit(table_bound + 1).collect()  # bounded
     if len(head) <= table_bound:
-        done = x.mapInArrow(_apply({r.token: r.result for r in head}), schema)
-    else:
-        tokens = x.mapInArrow(_mixed_of, f"id {kind}, token string")
-        found = salted_join(tokens, table, ["token"], ["id"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "result"))).alias("own"))
-        done = x.join(found, "id", "left").select("id", "folded", "own").mapInArrow(_apply(None), schema)
-    return done.select(F.col("id").alias(key), F.col("c0").alias("form"), F.col("c1").alias("compare"))
+        return x, folded.sparkSession.sparkContext.broadcast({r.token: r.result for r in head})
+    hashed = x.withColumns({"h1": F.xxhash64("folded"), "h2": F.xxhash64(F.lit(1), "folded")})
+    tokens = hashed.select("h1", "h2", "folded").mapInArrow(_mixed_of, "h1 long, h2 long, token string").distinct()
+    own = salted_join(tokens, table, ["token"], ["h1"]).groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("token", "result"))).alias("own"))  # the tokens of one text
+    return salted_join(hashed, own, ["h1", "h2"], ["id"], "left").select("id", "folded", "own"), None
+
+
+def consistent(folded: DataFrame, table: DataFrame, key: str, table_bound: int = TABLE_BOUND, passages: bool = False) -> DataFrame:
+    """(key, form) of every folded text, repaired by ``table`` of (token, result).
+
+    With ``passages`` the form is one for comparing parts of different texts:
+    tokens of look-alikes alone stand as Latin whatever the rest of the text.
+    """
+    kind = folded.schema[key].dataType.simpleString()
+    x, common = with_repairs(folded, table, key, table_bound)
+    done = x.mapInArrow(_apply(common, comparable if passages else settled), f"id {kind}, c0 string")
+    return done.select(F.col("id").alias(key), F.col("c0").alias("form"))
 
 
 def consistent_texts(documents: DataFrame, *others: DataFrame, key: str = "doc_id", table_bound: int = TABLE_BOUND) -> DataFrame:
-    """(key, form, compare) of every document, ``others`` being further texts that count as corpus.
+    """(key, form) of every document, ``others`` being further texts that count as corpus.
 
     Null texts have null forms, empty ones stay empty, repeated rows stay.
     """
@@ -280,22 +345,25 @@ def same_looking(documents: DataFrame) -> DataFrame:
     """
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     forms = consistent_texts(docs)
-    # the string as it was, and as it compares, as fingerprints of 128 bits
+    # the string as it was, and its form, as fingerprints of 128 bits
     as_was = docs.select("doc_id", F.xxhash64("text").alias("s1"), F.xxhash64(F.lit(1), "text").alias("s2")).distinct()
-    same = forms.where(F.trim("compare", F.lit(" \t\r\n")) != "").select("doc_id", F.xxhash64("compare").alias("f1"), F.xxhash64(F.lit(1), "compare").alias("f2")).distinct()
+    same = forms.where(F.trim("form", F.lit(" \t\r\n")) != "").select("doc_id", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(1), "form").alias("f2")).distinct()
     return class_pairs(stage(same.join(as_was, "doc_id"), "classes"))
 
 
 def class_pairs(members: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b) of ``members`` (doc_id, f1, f2, s1, s2) with equal f and different s."""
+    """(doc_id_a, doc_id_b) of ``members`` (doc_id, f1, f2, s1, s2) with equal f and different s.
+
+    Only forms with several strings go on. Neither a form of very many strings
+    nor a string of very many copies is one task's: both joins are salted.
+    """
     classes = members.groupBy("f1", "f2", "s1", "s2").agg(F.count(F.lit(1)).alias("n"))
     many = classes.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("f1", "f2")
-    classes = stage(classes.join(many, ["f1", "f2"], "left_semi").select("f1", "f2", "s1", "s2"), "pairs")
-    a, b = classes, classes.select("f1", "f2", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    pairs = a.join(b, ["f1", "f2"]).where("s1 < t1 or s1 = t1 and s2 < t2").select("s1", "s2", "t1", "t2", "f1", "f2")
-    left = salted_join(members.select("doc_id", "f1", "f2", "s1", "s2"), pairs, ["f1", "f2", "s1", "s2"], ["doc_id"]).select(F.col("doc_id").alias("a"), "f1", "f2", "t1", "t2")
-    right = members.select(F.col("doc_id").alias("b"), "f1", "f2", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    both = left.join(right, ["f1", "f2", "t1", "t2"])
+    part = stage(salted_join(members.select("doc_id", "f1", "f2", "s1", "s2"), many, ["f1", "f2"], ["doc_id"], "left_semi"), "members")
+    classes = part.select("f1", "f2", "s1", "s2").distinct()
+    other = classes.select("f1", "f2", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    pairs = salted_join(classes, other, ["f1", "f2"], ["s1", "s2"]).where("s1 < t1 or s1 = t1 and s2 < t2").select("s1", "s2", "t1", "t2", "f1", "f2")
+    left = salted_join(part, pairs, ["f1", "f2", "s1", "s2"], ["doc_id"]).select(F.col("doc_id").alias("a"), "f1", "f2", "t1", "t2")
+    right = part.select(F.col("doc_id").alias("b"), "f1", "f2", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    both = salted_join(left, right, ["f1", "f2", "t1", "t2"], ["a"])
     return both.where("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
-
-

@@ -107,8 +107,6 @@ def disguise(t, r):
 
 @pytest.mark.parametrize("bound", [L.TABLE_BOUND, 0])
 def test_same_looking_finds_every_pair(spark, bound, monkeypatch):
-    monkeypatch.setattr(L, "TABLE_BOUND", bound)
-    monkeypatch.setattr(L.consistent, "__defaults__", (bound,))
     monkeypatch.setattr(L.consistent_texts, "__kwdefaults__", {"key": "doc_id", "table_bound": bound})
     r = random.Random(3)
     base = ["The scheduler drops a naïve request", "Это новая страница о поиске", "Ein schönes Beispiel für acc", "plain text stays", "版本v2中registry慢"]
@@ -125,6 +123,49 @@ def test_same_looking_finds_every_pair(spark, bound, monkeypatch):
     assert sorted(tuple(x) for x in L.same_looking(docs(spark, texts)).collect()) == want
 
 
+    forms = {x.doc_id: x.form for x in L.consistent_texts(docs(spark, texts)).collect()}
+    blank = {i for i, t in enumerate(texts) if t is None or not L.fold(t).strip()}
+    assert want == [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if not {i, j} & blank and forms[i] == forms[j] and texts[i] != texts[j]]
+
+
+@pytest.mark.parametrize("bound", [L.TABLE_BOUND, 0])
+def test_forms_of_repeated_rows_and_null_keys(spark, bound):
+    rows_ = [(1, "rеɡistry and сор"), (1, "rеɡistry and сор"), (1, "registry"), (None, "rеgistry"), (2, None), (3, "")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows_], "doc_id long, text string, id string")
+    got = sorted(((x.doc_id, x.form) for x in L.consistent_texts(frame, table_bound=bound).collect()), key=repr)
+    assert got == sorted([(1, "registry and cop"), (1, "registry and cop"), (1, "registry"), (None, "registry"), (2, None), (3, "")], key=repr)
+
+
+def test_look_alikes_are_confusable_by_unicode_data(spark):
+    """Against the data on confusable characters that comes with the JVM's Unicode library."""
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    other = {"Ԛ", "ӏ"}  # not in that data, or with another letter; of one shape in most fonts
+    for table in L.LOOK_ALIKES.values():
+        for c, x in table.items():
+            assert c in other or checker.getSkeleton(c) == checker.getSkeleton(x), (c, x)
+            assert L.TO_LATIN[c] == x
+
+
+def test_a_text_shows_one_script():
+    assert L.settled("сор") == L.settled("cop") == "cop"
+    assert L.settled("cop и сop страница") == L.settled("сор и cop страница") == "сор и сор страница"
+    assert L.settled("a plain text with сор and ꓮ") == "a plain text with cop and A"
+    assert L.repairs("дfaя") == [] and L.repairs("дfая") == ["дfaя"]
+
+
+def test_forms_are_equal_exactly_for_what_looks_the_same(spark):
+    r = random.Random(8)
+    pools = ["сор рос acc Аmok страница registry дfaя index ТОР", "one сорт of поиск в cope", "ᎪᏴ AB ꓐꓮ Ⲕ K ᴏ o"]
+    texts = [" ".join(r.sample(p.split(), r.randrange(1, 4))) for p in pools for _ in range(12)]
+    texts = [t for t in texts for _ in range(3)]
+    texts = [disguise(t, r) if i % 3 else t for i, t in enumerate(texts)]
+    skeleton = lambda t: L.TOKEN.sub(lambda m: L.bare_letters(m[0]), L.fold(t))
+    forms = {x.doc_id: x.form for x in L.consistent_texts(docs(spark, texts)).collect()}
+    for i in forms:
+        for j in forms:
+            assert (forms[i] == forms[j]) == (skeleton(texts[i]) == skeleton(texts[j])), (texts[i], texts[j])
+
+
 def test_same_looking_with_many_copies(spark):
     texts = ["same text"] * 300 + ["same text", "other", "other"]
     assert sorted(tuple(x) for x in L.same_looking(docs(spark, texts)).collect()) == [(i, 300) for i in range(300)]
@@ -146,15 +187,36 @@ def test_winnowing_keeps_a_fingerprint_of_every_long_span():
             assert set(K.winnow(a, k, w)[0].tolist()) & set(K.winnow(b2, k, w)[0].tolist())
 
 
-def held(text, item):
+@pytest.mark.parametrize("span", [1, 2, 3, 5, 8, 12, 20])
+def test_classes_guarantee_every_length(span):
+    got = K.classes(span)
+    assert got[0][0] == span and got[-1][0] == 1
+    assert all(k + w - 1 == least and k >= 1 and w >= 1 for least, k, w in got)
+
+
+def test_words_of_blocks_equal_words_of_each_text(monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 200)
+    r = random.Random(5)
+    texts = [noise(i) + " ".join(r.choice(["alpha", "Straße", "İx", "ŉa", "ΐ", "v2"]) for _ in range(r.randrange(40))) for i in range(60)] + ["", "x" * 900, "ab " * 300, "\n\n"]
+    got = {}
+    seen = {}
+    for first, chars, of, start, end, h in K.Words(K.letters()).of(texts):
+        for i, s, e, x in zip(of.tolist(), start.tolist(), end.tolist(), h.tolist(), strict=True):
+            got.setdefault(first + i, []).append(chars[s:e])
+            assert seen.setdefault(chars[s:e], x) == x
+    assert [got.get(i, []) for i in range(len(texts))] == [K.words_of(t) for t in texts]
+    assert len(set(seen.values())) == len(seen)
+
+
+def held(text, item, span=12):
     a, b = K.words_of(L.comparable(L.fold(text))), K.words_of(L.comparable(L.fold(item)))
-    n = min(12, len(b))
+    n = min(span, len(b))
     grams = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
     return bool(n) and any(tuple(a[i : i + n]) in grams for i in range(len(a) - n + 1))
 
 
-@pytest.mark.parametrize("block", [K.BLOCK_WORDS, 20])
-def test_leaks_match_brute_force(spark, block):
+@pytest.mark.parametrize("limit, span", [(1 << 23, 12), (0, 12), (1 << 23, 8), (1 << 23, 5), (1 << 23, 1)])
+def test_leaks_match_brute_force(spark, limit, span):
     r = random.Random(4)
     lex = ["alpha", "beta", "gamma", "delta", "índex", "straße", "v2", "Ω", "node", "tier"]
     items = [" ".join(r.choice(lex) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 7, 11, 12, 13, 30, 60)] + [None, "", "...", "alpha beta gamma node node node"]
@@ -167,9 +229,9 @@ def test_leaks_match_brute_force(spark, block):
             texts.append(" ".join(r.choice(lex) for _ in range(r.randrange(20))) + ", " + mid + "! " + " ".join(r.choice(lex) for _ in range(9)))
     texts += [None, "", "alpha", " ".join(lex) * 3000, " ".join(lex) * 3000]
     ev = spark.createDataFrame([(i + 100, t, "x") for i, t in enumerate(items + [items[5]])], "item_id long, text string, item string")
-    got = sorted(tuple(x) for x in K.leaks(docs(spark, texts), ev, block_words=block).collect())
+    got = sorted(tuple(x) for x in K.leaks(docs(spark, texts), ev, span, limit).collect())
     all_items = [*items, items[5]]
-    want = sorted((i, j + 100) for i, t in enumerate(texts) for j, e in enumerate(all_items) if t and e and held(t, e))
+    want = sorted((i, j + 100) for i, t in enumerate(texts) for j, e in enumerate(all_items) if t and e and held(t, e, span))
     assert got == want
     assert K.leaks(docs(spark, []), ev).count() == 0
     assert K.leaks(docs(spark, texts[:3]), ev.limit(0)).count() == 0
