@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import spread, stage, table
+from millrace.session import spread, table
 
 from . import leakage, look_alikes, mixing, neighbours, related_splits, stable_sample, term_frequency, tokens, top_items
 
@@ -47,26 +47,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
-    return term_frequency.term_frequency(table(spark, d, "term_stat"))
+    return term_frequency.term_frequency(table(spark, d, "term_stat")).drop("doc_reports", "context_reports")
+
+
+def p5_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Each element once for each shard that reported it."""
+    return term_frequency.term_frequency(table(spark, d, "term_stat")).select("term", "docs", "contexts", "doc_reports", "context_reports")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.overdrawn(table(spark, d, "query_spec"), table(spark, d, "run_cfg"))
 
 
-def _token_mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    items = stage(mixing.bucket_items(table(spark, d, "query_spec"), "tokens"), "items")
-    targets = mixing.run_targets(table(spark, d, "run_cfg"), "tokens", mixing.mean_tokens(items))
-    return items, mixing.mix_plan(items, targets)
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixed_runs(table(spark, d, "query_spec"), table(spark, d, "run_cfg"))
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_shares(_token_mix(spark, d)[1]).withColumnsRenamed({"mix": "run_id", "source": "bucket"})
+    return mixing.mix_shares(_mix(spark, d)[1]).withColumnsRenamed({"mix": "run_id", "source": "bucket"})
 
 
 def p6_draws(spark: SparkSession, d: str) -> DataFrame:
-    items, plan = _token_mix(spark, d)
-    return mixing.mix_draws(items, plan).withColumnsRenamed({"mix": "run_id", "source": "bucket"})
+    return mixing.mix_draws(*_mix(spark, d)).withColumnsRenamed({"mix": "run_id", "source": "bucket"})
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -87,5 +89,5 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_splits, p2_found, p2_neighbours, p3_found, p3_top, p4_sample, p5_found, p5_terms, p6_found, p6_shares, p6_draws, p7_ids, p8_found, p9_found, p9_forms]
+    found = [p1_found, p1_splits, p2_found, p2_neighbours, p3_found, p3_top, p4_sample, p5_found, p5_terms, p5_reports, p6_found, p6_shares, p6_draws, p7_ids, p8_found, p9_found, p9_forms]
     return {f.__name__: f for f in found}

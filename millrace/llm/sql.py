@@ -59,6 +59,15 @@ f AS (
   FROM (SELECT DISTINCT term FROM t) LEFT JOIN dd USING (term) LEFT JOIN cc USING (term) CROSS JOIN n)
 """
 
+_P5_REPORTS = f"""
+WITH t AS (SELECT shard, {_BARE.format("term")} AS term, docs, contexts FROM term_stat WHERE term IS NOT NULL),
+d AS (SELECT DISTINCT shard, term, unnest(docs) AS e FROM t), c AS (SELECT DISTINCT shard, term, unnest(contexts) AS e FROM t),
+dd AS (SELECT term, count(DISTINCT e) AS docs, count(e) AS doc_reports FROM d GROUP BY term),
+cc AS (SELECT term, count(DISTINCT e) AS contexts, count(e) AS context_reports FROM c GROUP BY term)
+SELECT term, coalesce(docs, 0) AS docs, coalesce(contexts, 0) AS contexts, coalesce(doc_reports, 0) AS doc_reports, coalesce(context_reports, 0) AS context_reports
+FROM (SELECT DISTINCT term FROM t) LEFT JOIN dd USING (term) LEFT JOIN cc USING (term)
+"""
+
 _P6 = f"""
 WITH q AS (SELECT DISTINCT {_BKT} AS bucket, qid FROM query_spec WHERE {_BKT} IN ('general', 'coverage') AND qid IS NOT NULL),
 v AS (SELECT DISTINCT alias_pair_id AS p, {_BARE.format("alias_view")} AS view FROM query_spec WHERE trim(alias_pair_id, e' \\t\\r\\n') <> '' AND {_BARE.format("alias_view")} IN ('a', 'b')),
@@ -120,5 +129,6 @@ def oracle_sql() -> dict[str, str]:
         "p4_sample": _P4,
         "p5_found": _P5 + "SELECT term, mark FROM f WHERE mark IS NOT NULL",
         "p5_terms": _P5 + "SELECT * FROM f",
+        "p5_reports": _P5_REPORTS,
         "p6_found": _P6,
     }

@@ -63,6 +63,25 @@ def test_sample_is_stable_as_deliveries_arrive(spark):
     assert sizes == sorted(sizes)
 
 
+def test_sample_keeps_its_records_whatever_comes_later(spark):
+    """Null, equal and earlier deliveries after the numbers were kept; then without an early record."""
+    first = [(f"q{i}", "a" if i % 5 else "b", 1 + i % 3) for i in range(640)]
+    kept = S.numbered_records(specs(spark, first))
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
+    before = {(t.source, t.qid) for t in S.sample_numbered(kept).collect()}
+    assert before == {(t.source, t.qid) for t in S.stable_sample(specs(spark, first)).collect()}
+    late = [("n1", "a", None), ("n2", " A", 0), ("n3", "b", 1), ("n4", "c", -5)] + [(f"z{i}", "a", i % 4 or None) for i in range(300)]
+    numbers = S.numbered_records(specs(spark, first[40:] + late), kept)
+    after = {(t.source, t.qid) for t in S.stable_sample(specs(spark, first[40:] + late), kept).collect()}
+    assert before <= after and len(after) > len(before)
+    got = numbers.collect()
+    assert {(t.source, t.qid): t.seq for t in kept.collect()}.items() <= {(t.source, t.qid): t.seq for t in got}.items()
+    for s in ("a", "b", "c"):
+        n = sorted(t.seq for t in got if t.source == s)
+        assert n == list(range(len(n)))
+    assert rows(S.numbered_records(specs(spark, []), kept)) == rows(kept)
+
+
 def test_sample_edge_cases(spark):
     assert S.stable_sample(specs(spark, [])).count() == 0
     n = rows(S.numbered_records(specs(spark, [(None, "a", 1), ("q", None, None), ("q", "unknown", 3)])))
@@ -73,6 +92,14 @@ def stats(spark, data):
     return spark.createDataFrame([(*r, "e") for r in data], "term string, docs array<string>, contexts array<string>, e string")
 
 
+def test_double_reports_count_once(spark):
+    data = [(1, "big", ["a", "b"], ["q"]), (1, " BIG", ["a", "b"], ["q", "p"]), (1, "big", ["a"], None), (2, "big", ["a", "a"], ["q"]), (None, "big", ["z"], []), (None, "big", ["z"], [])]
+    x = spark.createDataFrame([(*r, 1) for r in data], "shard int, term string, docs array<string>, contexts array<string>, e int")
+    r = T.term_frequency(x).first()
+    assert (r.docs, r.contexts, r.doc_reports, r.context_reports) == (3, 2, 4, 3)
+    assert (r.doc_occurrences, r.context_occurrences) == (9, 4)
+
+
 def test_term_frequency(spark):
     data = [(" Big ", ["a", "b", None, "a"], ["q"]), ("big", ["c", "a"], None), ("one", ["a"], []), ("none", None, ["q", "q"]), ("", [], None), (None, ["z"], ["q"])] + [("all", [f"d{i}"], ["q"]) for i in range(60)]
     got = {r.term: (r.docs, r.contexts, r.doc_occurrences, r.context_occurrences, r.mark) for r in T.term_frequency(stats(spark, data)).collect()}
@@ -101,18 +128,42 @@ def test_knapsack_reaches_the_best_sum(counts, budget):
     assert sum(n * k for n, k in took.items()) == reachable(counts, budget)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.dictionaries(st.integers(0, 12), st.integers(1, 9), max_size=5), st.integers(0, 400))
-def test_fill_never_passes_budget_or_cap(counts, budget):
-    passes, extra = M.fill(budget, counts, 4)
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(0, 40), st.integers(1, 9), max_size=6), st.integers(0, 900), st.integers(1, 4))
+def test_fill_reaches_the_best_size(counts, budget, cap):
+    uses = M.fill(budget, counts, cap)
+    assert all(0 <= k <= counts[n] * cap for n, k in uses.items())
+    drawn = sum(n * k for n, k in uses.items())
+    assert drawn == reachable({n: c * cap for n, c in counts.items() if n}, budget)
     total = sum(n * c for n, c in counts.items())
-    drawn = passes * total + sum(n * k for n, k in extra.items())
-    assert drawn <= budget and passes + bool(extra) <= 4
-    assert all(k <= counts[n] for n, k in extra.items())
-    if budget >= 4 * total and total:
-        assert drawn == 4 * total
-    elif 1 in counts and counts[1] >= 9:
-        assert drawn == budget
+    if 0 in counts and total:
+        assert uses[0] == counts[0] * min(cap, budget // total)
+
+
+@pytest.mark.parametrize("cap", [1, 4])
+def test_fill_reaches_the_best_size_of_large_histograms(cap):
+    r = random.Random(cap)
+    for _ in range(200):
+        counts = {r.randrange(1, 90): r.randrange(1, r.choice([3, 200])) for _ in range(r.randrange(1, 12))}
+        budget = r.randrange(cap * sum(n * c for n, c in counts.items()) + 5)
+        reach = 1
+        for n, c in counts.items():
+            left, k = c * cap, 1
+            while left:
+                k = min(k, left)
+                reach |= reach << n * k
+                left, k = left - k, 2 * k
+        best = (reach & ((1 << budget + 1) - 1)).bit_length() - 1
+        uses = M.fill(budget, counts, cap)
+        assert sum(n * k for n, k in uses.items()) == best and all(k <= cap * counts[n] for n, k in uses.items())
+
+
+def test_fill_keeps_the_proportions_of_the_lengths():
+    counts = {n: 1000 for n in range(5, 60)}
+    total = sum(n * c for n, c in counts.items())
+    uses = M.fill(total // 3 + 7, counts, 1)
+    assert sum(n * k for n, k in uses.items()) == total // 3 + 7
+    assert all(abs(k - 1000 / 3) < 70 for k in uses.values())
 
 
 def test_mix_draws_what_the_plan_says(spark):
@@ -144,11 +195,30 @@ def test_overdrawn_cases(spark):
     assert rows(M.overdrawn(specs_.limit(0), runs.where("run_id = 'ok'"))) == [("ok", "alias"), ("ok", "coverage"), ("ok", "general")]
 
 
-@pytest.mark.parametrize("unit", ["records", "tokens"])
-def test_bucket_items(spark, unit):
-    q = [("q1", "general", "", "", 1, "one two"), ("q1", "general", "", "", 2, "one two three"), ("q4", "alias", "p", "a", 1, "x y"), ("q5", "alias", "p", "b", 1, None)]
-    got = rows(M.bucket_items(spark.createDataFrame(q, "qid string, bucket string, alias_pair_id string, alias_view string, delivery int, text string"), unit))
-    assert got == ([("alias", "p", 1), ("general", "q1", 1)] if unit == "records" else [("alias", "p", 2), ("general", "q1", 3)])
+def test_bucket_items_count_tokens(spark):
+    q = [("q1", "general", "", "", 1, "one two"), ("q1", "general", "", "", 2, "one two three"), ("q2", "coverage", None, None, 1, ""), ("q4", "alias", "p", "a", 1, "x y"), ("q5", "alias", "p", "b", 1, None), ("q6", "alias", "half", "b", 1, "x"), (None, "general", "", "", 1, "x")]
+    got = rows(M.bucket_items(spark.createDataFrame(q, "qid string, bucket string, alias_pair_id string, alias_view string, delivery int, text string")))
+    assert got == [("alias", "p", 2), ("coverage", "q2", 0), ("general", "q1", 3)]
+
+
+def test_overdrawn_comes_from_the_whole_mixture(spark, tmp_path):
+    """The report of p6_found is a filter on the plan by exact token lengths: its lengths, budgets and draws agree."""
+    r = random.Random(3)
+    q = [(f"q{i}", r.choice(["general", "coverage "]), "", "", 1, " ".join(r.choice(["alpha", "tokenisation", "x"]) for _ in range(r.randrange(9)))) for i in range(80)]
+    specs_ = spark.createDataFrame(q, "qid string, bucket string, alias_pair_id string, alias_view string, delivery int, text string")
+    runs = spark.createDataFrame([("r", 30, 9, 4, 5, 0), ("s", 99, 9, 4, 5, 0)], "run_id string, steps int, batch int, general_views int, coverage_views int, alias_pairs int")
+    items, plan = M.mixed_runs(specs_, runs)
+    length = {(x.source, x.id): x.length for x in items.collect()}
+    shares = {(x.mix, x.source): x for x in M.mix_shares(plan).collect()}
+    drawn = Counter()
+    for x in M.mix_draws(items, plan).collect():
+        assert 1 <= x.times <= 4
+        drawn[x.mix, x.source] += x.times * length[x.source, x.id]
+    for (m, s), x in shares.items():
+        have = Counter(n for (b, _), n in length.items() if b == s and n)
+        assert drawn[m, s] == x.drawn == reachable({n: 4 * c for n, c in have.items()}, x.budget)
+        assert x.overdrawn == (x.asked > 4 * sum(1 for b, _ in length if b == s))
+    assert rows(M.overdrawn(specs_, runs)) == sorted((m, s) for (m, s), x in shares.items() if x.overdrawn)
 
 
 def test_marked_terms_do_the_full_count(spark, tmp_path):
