@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from millrace.session import BROADCAST_BYTES, plan_bytes, salted_join, stage
 
-from .look_alikes import comparable, folded_texts, repair_table, repaired, with_repairs
+from .look_alikes import as_latin, comparable, folded_texts, remembered, repair_table, repaired, with_repairs
 
 SPAN = 12
 #: Words of a fingerprint at most.
@@ -169,13 +169,13 @@ def _fingerprints(used: list[tuple[int, int, int]], span: int, is_letter: bytes,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(is_letter)
+        words, latin = Words(is_letter), remembered(as_latin)
         common = None if repairs is None else repairs.value
         bits = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
         for b in batches:
             own = [dict(x or []) for x in b.column(2).to_pylist()] if common is None else None
             ids = b.column(0)
-            texts = [comparable(repaired(t, common if own is None else own[i])) if t else "" for i, t in enumerate(b.column(1).to_pylist())]
+            texts = [comparable(repaired(t, common if own is None else own[i]), latin) if t else "" for i, t in enumerate(b.column(1).to_pylist())]
             for first, chars, of, start, end, h in words.of(texts):
                 count = np.bincount(of) if len(of) else np.zeros(0, np.int64)
                 low = np.searchsorted(of, of, "left")

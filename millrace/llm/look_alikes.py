@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,7 +53,8 @@ FROM_LATIN = {s: {x: c for c, x in reversed(table.items())} for s, table in LOOK
 # words of the scripts that have look-alikes; letters of other scripts, as Han, end a token
 _NAMES = tuple(n for n in LOOK_ALIKES if n != "LatinVariant")
 TOKEN = regex.compile(r"[\p{Script=Latin}" + "".join(rf"\p{{Script={n}}}" for n in _NAMES) + r"\p{M}]+")
-_SUSPECT = regex.compile("[" + "".join(TO_LATIN) + "]")
+# look-alikes and the letters that are a look-alike with accents
+_SUSPECT = re.compile("[" + "".join(chr(i) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and any(c in TO_LATIN for c in unicodedata.normalize("NFD", chr(i)))) + "]")
 _LATIN = regex.compile(r"\p{Script=Latin}")
 _SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in _NAMES}
 _ASCII_WORDS = re.compile("[A-Za-z]+")
@@ -93,9 +95,9 @@ def fold(text: str) -> str:
 
 def bare_letters(token: str) -> str:
     """The token with every look-alike as its Latin letter: equal for tokens that look the same."""
-    if not _SUSPECT.search(t := unicodedata.normalize("NFD", token)):
+    if not _SUSPECT.search(token):
         return token
-    return unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, c) for c in t))
+    return unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", token)))
 
 
 def scripts(token: str) -> dict[str, int]:
@@ -142,16 +144,35 @@ def word_key(token: str) -> str:
     return token.casefold()
 
 
-def mixed_tokens(text: str) -> list[str]:
-    """The distinct tokens of folded text that mix scripts."""
-    if text.isascii() or not _SUSPECT.search(unicodedata.normalize("NFD", text)):
+def is_mixed(token: str) -> bool:
+    return len(scripts(unicodedata.normalize("NFD", token))) > 1
+
+
+def remembered(f: Callable, most: int = 200_000) -> Callable:
+    """``f`` of one string, computed once for each of the strings a task meets, up to a bound."""
+    known: dict[str, object] = {}
+
+    def once(x: str) -> object:
+        y = known.get(x, known)
+        if y is known:
+            if len(known) >= most:
+                known.clear()
+            known[x] = y = f(x)
+        return y
+
+    return once
+
+
+def mixed_tokens(text: str, mixed: Callable[[str], bool] = is_mixed) -> list[str]:
+    """The distinct tokens of folded text that mix scripts, look-alikes being among them."""
+    if text.isascii() or not _SUSPECT.search(text):
         return []
-    return sorted({t for t in TOKEN.findall(text) if not t.isascii() and len(scripts(unicodedata.normalize("NFD", t))) > 1})
+    return sorted(t for t in set(TOKEN.findall(text)) if not t.isascii() and mixed(t))
 
 
 def repaired(text: str, table: dict[str, str]) -> str:
     """Folded text with the tokens of ``table`` replaced."""
-    if text.isascii() or not table:
+    if text.isascii() or not table or not _SUSPECT.search(text):
         return text
     return TOKEN.sub(lambda m: table.get(m[0], m[0]), text)
 
@@ -161,11 +182,16 @@ def _of_no_script(token: str) -> bool:
     return all(c in TO_LATIN or _LATIN.match(c) for c in unicodedata.normalize("NFD", token) if c.isalpha() or c in TO_LATIN)
 
 
-def comparable(text: str) -> str:
+def as_latin(token: str) -> str:
+    """A token made of look-alikes and Latin letters alone with Latin letters, any other as it is."""
+    return bare_letters(token) if _of_no_script(token) else token
+
+
+def comparable(text: str, latin: Callable[[str], str] = as_latin) -> str:
     """The form for comparing passages of different texts: tokens made of look-alikes alone stand as Latin."""
-    if text.isascii() or not _SUSPECT.search(unicodedata.normalize("NFD", text)):
+    if text.isascii() or not _SUSPECT.search(text):
         return text
-    return TOKEN.sub(lambda m: bare_letters(m[0]) if _of_no_script(m[0]) else m[0], text)
+    return TOKEN.sub(lambda m: latin(m[0]), text)
 
 
 def text_script(text: str) -> str:
@@ -175,37 +201,45 @@ def text_script(text: str) -> str:
     """
     found: dict[str, int] = {}
     latin: dict[str, int] = {}
-    for c in unicodedata.normalize("NFD", text):
-        if c in TO_LATIN or c.isascii():
-            x = TO_LATIN.get(c, c)
-            if x.isalpha():
-                latin[x] = latin.get(x, 0) + 1
-        elif c.isalpha():
-            s = next((n for n, p in _SCRIPTS.items() if p.match(c)), None)
-            if s is not None:
-                found[s] = found.get(s, 0) + 1
+    for x, n in Counter(text).items():
+        for c in unicodedata.normalize("NFD", x):
+            if c in TO_LATIN or c.isascii():
+                c = TO_LATIN.get(c, c)
+                if c.isalpha():
+                    latin[c] = latin.get(c, 0) + n
+            elif c.isalpha():
+                s = next((name for name, p in _SCRIPTS.items() if p.match(c)), None)
+                if s is not None:
+                    found[s] = found.get(s, 0) + n
     if not found:
         return "Latin"
-    s = min(found, key=lambda n: (-found[n], n))
-    return s if found[s] > sum(n for x, n in latin.items() if x not in FROM_LATIN[s]) else "Latin"
+    s = min(found, key=lambda name: (-found[name], name))
+    return s if found[s] > sum(n for c, n in latin.items() if c not in FROM_LATIN[s]) else "Latin"
 
 
-def settled(text: str) -> str:
-    """The consistent form of a repaired text: tokens made of look-alikes alone take the script of the text, or Latin letters where it lacks one."""
-    if text.isascii() or not _SUSPECT.search(unicodedata.normalize("NFD", text)):
-        return text
-    table = FROM_LATIN.get(text_script(text), {})
+def as_script(script: str, token: str) -> str:
+    """A token made of look-alikes and Latin letters alone in letters of a script, or in Latin letters where the script lacks one; any other as it is."""
+    if not _of_no_script(token):
+        return token
+    bare, table = bare_letters(token), FROM_LATIN[script]
+    letters = unicodedata.normalize("NFD", bare)
+    if all(c in table for c in letters if c.isalpha()):
+        return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in letters))
+    return bare
 
-    def one(m: regex.Match) -> str:
-        if not _of_no_script(m[0]):
-            return m[0]
-        bare = bare_letters(m[0])
-        letters = unicodedata.normalize("NFD", bare)
-        if table and all(c in table for c in letters if c.isalpha()):
-            return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in letters))
-        return bare
 
-    return TOKEN.sub(one, text)
+def settled(text: str, known: dict[str, Callable[[str], str]] | None = None) -> str:
+    """The consistent form of a repaired text: tokens made of look-alikes alone take the script of the text.
+
+    ``known`` keeps what was found out about tokens, by script.
+    """
+    if text.isascii() or not _SUSPECT.search(text):
+        return text
+    known = {} if known is None else known
+    s = text_script(text)
+    if s not in known:
+        known[s] = remembered(as_latin if s == "Latin" else lambda t: as_script(s, t))
+    return TOKEN.sub(lambda m: known[s](m[0]), text)
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +255,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function over folded texts: (token, result, word, rank) for what mixed tokens may stand for, and a null token for each distinct word."""
     mixed: set[str] = set()
     seen: set[str] = set()
+    mixes = remembered(is_mixed)
     rows: list[tuple[str | None, str | None, str, int]] = []
     for b in batches:
         for t in b.column(1).to_pylist():
@@ -230,7 +265,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = set(_ASCII_WORDS.findall(t))
             else:
                 words = set(TOKEN.findall(t))
-                new = [x for x in mixed_tokens(t) if x not in mixed]
+                new = [x for x in mixed_tokens(t, mixes) if x not in mixed]
                 mixed.update(new)
                 rows += [(x, r, word_key(r), i) for x in new for i, r in enumerate(repairs(x))]
             words = {word_key(x) for x in words} - seen
@@ -274,11 +309,14 @@ def repair_table(folded: list[DataFrame]) -> DataFrame:
     return ok.groupBy("token").agg(F.min(F.struct("rank", "result")).alias("m")).select("token", "m.result")
 
 
-def _apply(table, finish: Callable[[str], str]):
+def _apply(table, passages: bool):
     """mapInArrow function: (id, folded[, replacements]) -> (id, finished form); ``table`` is a broadcast table, or None where rows bring their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = None if table is None else table.value
+        known: dict[str, Callable[[str], str]] = {}
+        latin = remembered(as_latin)
+        finish = (lambda t: comparable(t, latin)) if passages else (lambda t: settled(t, known))
         for b in batches:
             own = [dict(x or []) for x in b.column(2).to_pylist()] if common is None else None
             forms = [None if t is None else finish(repaired(t, common if own is None else own[i])) for i, t in enumerate(b.column(1).to_pylist())]
@@ -288,9 +326,10 @@ def _apply(table, finish: Callable[[str], str]):
 
 
 def _mixed_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mixes = remembered(is_mixed)
     for b in batches:
         keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        pairs = [(*k, x) for k, t in zip(keys, b.column(2).to_pylist(), strict=True) if t for x in mixed_tokens(t)]
+        pairs = [(*k, x) for k, t in zip(keys, b.column(2).to_pylist(), strict=True) if t for x in mixed_tokens(t, mixes)]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.string())], ["h1", "h2", "token"])
 
 
@@ -319,7 +358,7 @@ def consistent(folded: DataFrame, table: DataFrame, key: str, table_bound: int =
     """
     kind = folded.schema[key].dataType.simpleString()
     x, common = with_repairs(folded, table, key, table_bound)
-    done = x.mapInArrow(_apply(common, comparable if passages else settled), f"id {kind}, c0 string")
+    done = x.mapInArrow(_apply(common, passages), f"id {kind}, c0 string")
     return done.select(F.col("id").alias(key), F.col("c0").alias("form"))
 
 
