@@ -1,10 +1,12 @@
 """Connected components and families.
 
 Components come from a distributed union-find: every partition builds a local
-forest, forests are merged level by level, and only a forest of at most
-``merge_bound`` edges is merged in a single task. A larger one is contracted by
-star rounds (each node to the smallest neighbour), also with local forests in
-between, until every edge points at its root. Both ways give the same roots.
+forest, ``fan_in`` whole forests are merged into one level by level, and only a
+forest of at most ``merge_bound`` edges is merged in a single task. A larger one
+is contracted by star rounds (each node to the smallest neighbour), also with
+local forests in between, until every edge points at its root. Both ways give
+the same roots. Edges are spread by both their ends and forests are merged
+whole, so a node with very many edges is never one task's.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _local_forests(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").mapInArrow(_forest, "a string, b string")
+    """(a, b, part): the forest of each partition and the partition's number."""
+    return edges.select("a", "b").mapInArrow(_forest, "a string, b string").withColumn("part", F.spark_partition_id())
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
@@ -74,28 +77,29 @@ def components(edges: DataFrame, merge_bound: int = MERGE_BOUND, fan_in: int = F
     """
     spark = edges.sparkSession
     edges = stage(edges.where("a <> b").select("a", "b"), "edges")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = partitions or max(least, -(-edges.count() // max(1, merge_bound)) if merge_bound >= 1000 else least)
-    forest = stage(_local_forests(edges.repartition(width, "b")), "forest")
+    bound = max(1, merge_bound)
+    # about a bound of edges for each task, at least a thousand
+    width = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // max(1000, bound)))
+    forest = stage(_local_forests(edges.repartition(width, "a", "b")), "forest")
     while True:
         n = forest.count()
-        if n <= merge_bound:
+        if n <= bound:
             # one task for at most merge_bound edges
             return stage(_local_forests(forest.repartition(1)), "roots").select(F.col("a").alias("node"), F.col("b").alias("root"))
-        if width > max(1, n // max(1, merge_bound)) * 2 and width > 1:
-            width = max(1, -(-width // fan_in))
-            if n <= merge_bound * width:
-                merged = stage(_local_forests(forest.repartition(width, "b")), "forest")
-                if merged.count() < n * 0.9:
-                    forest = merged
-                    continue
+        fewer = -(-width // fan_in)
+        if fewer < width and n <= bound * fewer:
+            width = fewer
+            merged = stage(_local_forests(forest.repartition(width, F.floor(F.col("part") / fan_in))), "forest")
+            if merged.count() < n:
+                forest = merged
+                continue
         stars = stage(_star_round(forest), "stars")
         # done when no root is itself below another node and each node has one root
         open_roots = stars.select(F.col("b").alias("a")).distinct().join(stars.select("a").distinct(), "a", "left_semi").limit(1).count()
         twice = stars.groupBy("a").count().where("count > 1").limit(1).count()
         if not open_roots and not twice:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        forest = stars
+        forest = stage(_local_forests(stars.repartition(width, "a", "b")), "forest")
 
 
 def labelled(nodes: DataFrame, edges: DataFrame, merge_bound: int = MERGE_BOUND) -> DataFrame:

@@ -108,6 +108,21 @@ def test_components(spark, bound):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 20])
+def test_components_with_a_node_of_a_third_of_all_edges(spark, bound):
+    e = [(f"f{i:03d}", "s:hot") for i in range(200)] + [(f"g{i:03d}", f"g{i + 1:03d}") for i in range(120)] + [(f"h{i}", f"i{i}") for i in range(80)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(e, "a string, b string"), bound).collect()}
+    want = {f"f{i:03d}": "f000" for i in range(1, 200)} | {"s:hot": "f000"} | {f"g{i:03d}": "g000" for i in range(1, 121)} | {f"i{i}": f"h{i}" for i in range(80)}
+    assert got == want
+
+
+def test_no_task_gets_all_edges_of_a_node(spark):
+    edges = spark.createDataFrame([(f"f{i:04d}", "s:hot") for i in range(4000)], "a string, b string")
+    sizes = [r["count"] for r in edges.repartition(8, "a", "b").groupBy(F.spark_partition_id()).count().collect()]
+    forest = graph._local_forests(edges.repartition(8, "a", "b"))
+    assert max(r["count"] for r in forest.groupBy("part").count().collect()) <= max(sizes) + 1 < 1000
+
+
 def test_hub_keys_tie_nothing(spark):
     x = spark.createDataFrame([(f"q{i}", "hub") for i in range(10)] + [("q0", "p"), ("q1", "p")], "n string, k string")
     got = {r.node: r.root for r in graph.families(x, "n", ["k"], hub=5).collect()}
