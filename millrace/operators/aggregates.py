@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import stage
+
 
 def term_rollup(scores: DataFrame, metrics: list[str], term: str = "term") -> DataFrame:
     """(metric, macro, terms): the mean over terms of the means within a term; no rows in, an error."""
@@ -22,15 +24,39 @@ def quantiles(df: DataFrame, value: str, qs: tuple[float, ...] = (0.01, 0.05, 0.
 
 
 def order_statistic(df: DataFrame, value: str, q: float) -> DataFrame:
-    """(value, previous): the ceil(q * n)-th smallest value and the one before it; the inverted distribution function."""
+    """(value, previous): the ceil(q * n)-th smallest value and the one before it; the inverted distribution function.
+
+    Values are counted, cut into ranges of their order, and numbered by range with
+    offsets, so no task gets all distinct values.
+    """
+    spark = df.sparkSession
     n = df.agg(F.count(value).alias("n"))
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    # distinct values in order, their running counts by blocks of a range sort
-    total = counts.withColumn("cum", F.sum("c").over(Window.orderBy("v"))).crossJoin(F.broadcast(n))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = stage(counts.repartitionByRange(width, "v").withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = ranges.groupBy("part").agg(F.sum("c").alias("s")).withColumn("off", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+    cum = ranges.join(F.broadcast(offsets), "part").withColumn("cum", F.col("off") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))  # one row a range
+    total = cum.crossJoin(F.broadcast(n))  # one row
     at = F.greatest(F.lit(1), F.ceil(F.col("n") * q))
     return total.agg(F.min(F.when(F.col("cum") >= at, F.col("v"))).alias("value"), F.min(F.when(F.col("cum") >= at - 1, F.col("v"))).alias("previous"))
 
 
+def top_grams(rows: DataFrame, grams: Column, k: int) -> DataFrame:
+    """(pos, gram, n): the k most frequent grams of an array column, equal ones by gram; fewer than k distinct grams are an error."""
+    c = rows.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = c.orderBy(F.desc("n"), "gram").limit(k)
+    have = best.agg(F.count(F.lit(1)).alias("have"))
+    x = best.crossJoin(F.broadcast(have)).withColumn("ok", F.assert_true(F.col("have") == k, F.lit("fewer grams than asked for"))).where("ok is null")  # one row
+    return x.select(F.row_number().over(Window.orderBy(F.desc("n"), "gram")).alias("pos"), "gram", "n")  # k rows
+
+
+def storage_costs(stores: DataFrame, documents: int = 1_000_000) -> DataFrame:
+    """(store, dim, mb, gb_per_million): size of each store (store, rows, dim, width, extra) in decimal units, width bytes an element and extra bytes a row."""
+    per_row = F.col("dim") * F.col("width") + F.col("extra")
+    return stores.select("store", "dim", F.round(F.col("rows") * per_row / 1e6, 4).alias("mb"), F.round(documents * per_row / 1e9, 4).alias("gb_per_million"))
+
+
 def tally(df: DataFrame, key: Column, name: str) -> DataFrame:
     """(name, n, share) of each value, null being a value."""
     c = df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"))

@@ -76,7 +76,7 @@ def label_bounds(items: DataFrame, k: int = 10, max_unknown: int = 20) -> DataFr
     return g.select("qid", "known", "unknown", (F.col("known") * 10 / k).cast("decimal(18,6)").alias("low"), ((F.col("known") + F.col("unknown")) * 10 / k).cast("decimal(18,6)").alias("high"))
 
 
-def label_states(items: DataFrame, a: str, b: str, k: int = 10, max_unknown: int = 12) -> DataFrame:
+def label_states(items: DataFrame, a: str, b: str, k: int = 10, max_unknown: int = 20) -> DataFrame:
     """(qid, state, diff): every assignment of a query's unknown labels and the difference of hits between two rankings in the first k.
 
     ``items`` is (qid, doc_id, label, rank_a, rank_b). 2^unknown rows a query, at
@@ -94,3 +94,26 @@ def label_states(items: DataFrame, a: str, b: str, k: int = 10, max_unknown: int
 def contrast_bounds(states: DataFrame) -> DataFrame:
     """One row: the least and the greatest sum over queries, each taking one of its states."""
     return states.groupBy("qid").agg(F.min("diff").alias("lo"), F.max("diff").alias("hi")).agg(F.sum("lo").alias("low"), F.sum("hi").alias("high"))
+
+
+def kill_rule(evals: DataFrame, drop: float) -> DataFrame:
+    """(run, at, reason) of evaluations (run, step, kind, value): the first step at which a run is to be stopped; runs that go on are absent.
+
+    A value that is null or not finite stops at once; else two scheduled
+    evaluations in a row, each more than ``drop`` below the best one before of its own kind.
+    """
+    by = Window.partitionBy("run").orderBy("step")
+    kind = Window.partitionBy("run", "kind").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    v = F.col("value")
+    broken = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    x = evals.withColumn("broken", broken).withColumn("bad", F.coalesce(~broken & (v < F.max("value").over(kind) - drop), F.lit(False)))
+    x = x.withColumn("again", F.col("bad") & F.coalesce(F.lag("bad").over(by), F.lit(False)))
+    hit = x.where("broken or again").groupBy("run").agg(F.min(F.struct("step", "broken")).alias("m"))
+    return hit.select("run", F.col("m.step").alias("at"), F.when(F.col("m.broken"), "not finite").otherwise("two in a row").alias("reason"))
+
+
+def plateau_rule(evals: DataFrame, min_gain: float, from_cycle: int) -> DataFrame:
+    """(run, at): the first cycle from ``from_cycle`` on whose value gains less than ``min_gain`` over the best before, of (run, cycle, value) with cycles from 1."""
+    before = Window.partitionBy("run").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
+    x = evals.withColumn("gain", F.col("value") - F.max("value").over(before))
+    return x.where((F.col("cycle") >= from_cycle) & (F.col("gain") < min_gain)).groupBy("run").agg(F.min("cycle").alias("at"))

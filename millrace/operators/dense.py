@@ -1,14 +1,14 @@
 """Exact vector search and query encoding.
 
-Vectors are ``array<float>``. Exact search blocks the stated query set: each
-block of queries goes to every task once, every task scans its documents in
-Arrow batches with a matrix product and keeps the best k of each query, ties
-closed by id, before anything is shuffled.
+Vectors are ``array<float>``. Exact search blocks the stated query set: every
+task scans its documents once in Arrow batches, with a matrix product for each
+block of queries, and keeps the best k of each query, ties closed by id, before
+anything is shuffled. Several variants of the queries share that one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +17,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import arrays as A
+from millrace.functions import text as X
+from millrace.session import bounded_broadcast
 
-#: Queries in one block: with 1024 dimensions about 32 MB.
-QUERY_BLOCK = 8192
+#: Queries in one matrix product, and bytes of queries that one pass over the documents takes.
+QUERY_BLOCK, PASS_BYTES = 8192, 256 << 20
 SCORE_DIGITS = 9
 
 
-def _best_of(block, k: int, digits: int):
-    """mapInArrow function over (doc_id, vector): (q, doc_id, score) of the k best of the partition for each query."""
+def _blocks(spark: SparkSession, rows: Iterator, block: int, of) -> Iterator[tuple[list, list]]:
+    """Passes (broadcast blocks, rows) over a stated set of rows with vectors ``of`` each: at most PASS_BYTES of vectors in one pass."""
+    blocks: list = []
+    now: list = []
+    taken: list = []
+
+    def close() -> None:
+        if now:
+            blocks.append(spark.sparkContext.broadcast(np.array([of(r) for r in now], np.float64)))
+            taken.extend(now)
+            now.clear()
+
+    size = 0
+    for r in rows:
+        now.append(r)
+        size += 8 * len(of(r))
+        if len(now) >= block or size >= PASS_BYTES:
+            close()
+        if size >= PASS_BYTES:
+            yield blocks, taken
+            blocks, taken, size = [], [], 0
+    close()
+    if blocks:
+        yield blocks, taken
+
+
+def _best_of(blocks: list, k: int, digits: int):
+    """mapInArrow function over (doc_id, vector): (q, doc_id, score) of the k best of the partition for each query; q counts through the blocks."""
 
     def keep(q: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         o = np.lexsort((d, -s, q))
@@ -34,72 +62,85 @@ def _best_of(block, k: int, digits: int):
         return q[place < k], d[place < k], s[place < k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = block.value
-        have = None
+        queries = [b.value for b in blocks]
+        first = np.cumsum([0, *[len(q) for q in queries]])
+        have: list = [None] * len(queries)
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), dtype=object) if pa.types.is_string(b.column(0).type) else b.column(0).to_numpy(zero_copy_only=False)
             lists = b.column(1)
-            width = queries.shape[1]
+            width = queries[0].shape[1]
             ok = np.array([v is not None and len(v) == width for v in lists.to_pylist()]) if lists.null_count or len(lists.flatten()) != width * len(lists) else np.ones(len(lists), bool)
             m = lists.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
             ids = ids[ok]
-            if not len(ids):
-                continue
             for a in range(0, len(ids), 4096):
-                s = np.round(queries @ m[a : a + 4096].T, digits)
-                n = s.shape[1]
-                if n > k:  # everything at least as good as the k-th, so ties at the cut stay
-                    cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                    q, j = np.nonzero(s >= cut)
-                else:
-                    q, j = np.repeat(np.arange(len(s)), n), np.tile(np.arange(n), len(s))
-                new = q, ids[a : a + 4096][j], s[q, j]
-                have = keep(*new) if have is None else keep(*(np.concatenate([x, y]) for x, y in zip(have, new, strict=True)))
-        if have is not None:
-            for a in range(0, len(have[0]), 50_000):
-                q, d, s = (x[a : a + 50_000] for x in have)
-                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(d.tolist(), b.column(0).type), pa.array(s)], ["q", "doc_id", "score"])
+                part, names = m[a : a + 4096], ids[a : a + 4096]
+                for i, some in enumerate(queries):
+                    s = np.round(some @ part.T, digits)
+                    n = s.shape[1]
+                    if n > k:  # everything at least as good as the k-th, so ties at the cut stay
+                        cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                        q, j = np.nonzero(s >= cut)
+                    else:
+                        q, j = np.repeat(np.arange(len(s)), n), np.tile(np.arange(n), len(s))
+                    new = q, names[j], s[q, j]
+                    have[i] = keep(*new) if have[i] is None else keep(*(np.concatenate([x, y]) for x, y in zip(have[i], new, strict=True)))
+        for i, best in enumerate(have):
+            for a in range(0, len(best[0]) if best is not None else 0, 50_000):
+                q, d, s = (x[a : a + 50_000] for x in best)
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64) + first[i]), pa.array(d.tolist(), b.column(0).type), pa.array(s)], ["q", "doc_id", "score"])
 
     return run
 
 
-def knn(queries: DataFrame, docs: DataFrame, k: int = 10, exclude_self: bool = True, digits: int = SCORE_DIGITS, block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, doc_id, score, rank): the k documents of greatest inner product for each query.
+def knn(queries: DataFrame, docs: DataFrame, k: int = 10, exclude_self: bool = True, digits: int = SCORE_DIGITS, block: int = QUERY_BLOCK, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """(keys, doc_id, score, rank): the k documents of greatest inner product for each query.
 
-    ``queries`` is (qid, vector), a stated set that is taken in blocks of
-    ``block``; ``docs`` is (doc_id, vector) of any size. Equal rounded scores go
-    to the smaller id. Null vectors and those of another length take no part.
+    ``queries`` is (keys, vector), a stated set that is taken in blocks of
+    ``block``; ``docs`` is (doc_id, vector) of any size, read once for each
+    PASS_BYTES of queries. Equal rounded scores go to the smaller id. Null vectors
+    and those of another length take no part.
     """
     spark = docs.sparkSession
-    kind, id_type = queries.schema["qid"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    numbered = queries.where(F.col("vector").isNotNull()).select("qid", F.col("vector").cast("array<double>").alias("vector"))
-    parts, rows = [], []
-
-    def flush() -> None:
-        if not rows:
-            return
-        m = spark.sparkContext.broadcast(np.array([r.vector for r in rows], np.float64))
-        names = spark.createDataFrame([(i, r.qid) for i, r in enumerate(rows)], f"q long, qid {kind}")
-        best = docs.select("doc_id", "vector").mapInArrow(_best_of(m, k + int(exclude_self), digits), f"q long, doc_id {id_type}, score double")
-        parts.append(best.join(F.broadcast(names), "q").select("qid", "doc_id", "score"))  # at most ``block`` names
-        rows.clear()
-
-    for r in numbered.toLocalIterator():  # the query set, a block at a time
-        rows.append(r)
-        if len(rows) >= block:
-            flush()
-    flush()
-    if not parts:
-        return spark.createDataFrame([], f"qid {kind}, doc_id {id_type}, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    stated = queries.where(F.col("vector").isNotNull()).select(*keys, F.col("vector").cast("array<double>").alias("vector"))
+    out = None
+    for blocks, rows in _blocks(spark, stated.toLocalIterator(), block, lambda r: r.vector):
+        names = spark.createDataFrame([(i, *[r[c] for c in keys]) for i, r in enumerate(rows)], f"q long, {kinds}")
+        best = docs.select("doc_id", "vector").mapInArrow(_best_of(blocks, k + int(exclude_self), digits), f"q long, doc_id {id_type}, score double")
+        one = best.join(bounded_broadcast(names), "q").select(*keys, "doc_id", "score")
+        out = one if out is None else out.union(one)
+    if out is None:
+        return spark.createDataFrame([], f"{kinds}, doc_id {id_type}, score double, rank int")
     if exclude_self:
         out = out.where(F.col("qid").cast("string") != F.col("doc_id").cast("string"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def variants(made: Mapping[str, DataFrame]) -> DataFrame:
+    """(variant, qid, vector) of several encodings (qid, vector) of the queries."""
+    out = None
+    for name, df in made.items():
+        x = df.select(F.lit(name).alias("variant"), "qid", F.col("vector").cast("array<double>").alias("vector"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def encoded(makers: Mapping[str, Callable[[DataFrame], DataFrame]], texts: DataFrame) -> DataFrame:
+    """(variant, qid, vector): what each maker makes of the queries (qid, text); a maker that loses or repeats a query is an error."""
+    n = texts.select("qid").distinct().agg(F.count(F.lit(1)).alias("__n"))
+    x = variants({name: make(texts) for name, make in makers.items()})
+    whole = x.groupBy("variant").agg(F.count(F.lit(1)).alias("__r"), F.count_distinct("qid").alias("__d")).crossJoin(F.broadcast(n))  # one row
+    whole = whole.withColumn("ok", F.assert_true((F.col("__r") == F.col("__n")) & (F.col("__d") == F.col("__n")), F.lit("a maker does not give each query one vector"))).where("ok is null")
+    return x.join(F.broadcast(whole.select("variant")), "variant")  # as many rows as makers
+
+
+def knn_variants(queries: DataFrame, docs: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
+    """(variant, qid, doc_id, score, rank): exact search of every variant in one pass over the documents."""
+    return knn(queries, docs, k, exclude_self, keys=("variant", "qid"))
+
+
 def nn_cosine(queries: DataFrame, pool: DataFrame, ks: tuple[int, ...] = (1, 5), exclude_self: bool = True) -> DataFrame:
     """(k, mean_cosine): mean over queries of the mean cosine to the k nearest of the pool."""
     unit = lambda df, c: df.select(c, A.l2_normalized(F.col("vector")).alias("vector"))
@@ -111,34 +152,31 @@ def nn_cosine(queries: DataFrame, pool: DataFrame, ks: tuple[int, ...] = (1, 5),
 def mean_distance(x: DataFrame, y: DataFrame) -> DataFrame:
     """One row: the mean over pairs of sqrt(2 - 2 cos), ``x`` being a stated set against all of ``y``.
 
-    Only sums leave the tasks.
+    ``y`` is read once for each PASS_BYTES of ``x``; only sums leave the tasks.
     """
     spark = y.sparkSession
-    width = 4096
-    rows, total = [], None
+    unit = lambda df: df.where("vector is not null").select(A.l2_normalized(F.col("vector")).alias("v"))
+    total = None
 
-    def part(block):
+    def part(blocks: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s, n, q = 0.0, 0, block.value
+            s, n = 0.0, 0
+            stated = [b.value for b in blocks]
             for b in batches:
                 m = np.array(b.column(0).to_pylist(), np.float64).reshape(b.num_rows, -1)
-                if len(m):
-                    s += float(np.sqrt(np.maximum(0.0, 2 - 2 * (q @ m.T))).sum())
+                for q in stated if len(m) else []:
+                    for i in range(0, len(m), 4096):
+                        s += float(np.sqrt(np.maximum(0.0, 2 - 2 * (q @ m[i : i + 4096].T))).sum())
                     n += q.shape[0] * len(m)
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([n], pa.int64())], ["s", "n"])
 
         return run
 
-    unit = y.select(A.l2_normalized(F.col("vector")).alias("v"))
-    for r in x.select(A.l2_normalized(F.col("vector")).alias("v")).toLocalIterator():
-        rows.append(r.v)
-        if len(rows) == width:
-            one = unit.mapInArrow(part(spark.sparkContext.broadcast(np.array(rows))), "s double, n long")
-            total = one if total is None else total.union(one)
-            rows = []
-    if rows:
-        one = unit.mapInArrow(part(spark.sparkContext.broadcast(np.array(rows))), "s double, n long")
+    for blocks, _ in _blocks(spark, unit(x).toLocalIterator(), QUERY_BLOCK, lambda r: r.v):
+        one = unit(y).mapInArrow(part(blocks), "s double, n long")
         total = one if total is None else total.union(one)
+    if total is None:
+        total = spark.createDataFrame([], "s double, n long")
     return total.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))
 
 
@@ -181,6 +219,70 @@ def lookup_encode(tokens: DataFrame, lookup: DataFrame, mode: str = "sqrt", fall
     return enc.union(lost.crossJoin(F.broadcast(fallback.select("vector").limit(1))))
 
 
+def gram_rows(tokens: DataFrame, grams: DataFrame) -> DataFrame:
+    """(qid, token): the tokens of (qid, tokens) and, for every run of tokens that is in ``grams`` (gram, token), its row too, at each place it occurs.
+
+    A gram is its tokens joined by blanks, of any length. Runs meet the grams by an equi-join; of lengths that no gram has there are none.
+    """
+    plain = tokens.select("qid", F.explode("tokens").alias("token"))
+    lengths = [r[0] for r in grams.select(F.size(F.split("gram", " ")).alias("n")).distinct().collect()]  # a few lengths
+    text = tokens.select("qid", F.transform("tokens", lambda t: t.cast("string")).alias("t"))
+    found = None
+    for n in sorted(lengths):
+        x = text.select("qid", F.explode(A.kgrams(F.col("t"), n)).alias("gram"))
+        found = x if found is None else found.union(x)
+    if found is None:
+        return plain
+    return plain.union(found.join(bounded_broadcast(grams.select("gram", "token")), "gram").select("qid", "token"))
+
+
+def character_rows(texts: DataFrame, grams: DataFrame) -> DataFrame:
+    """(qid, token) for every place where a character gram of ``grams`` (gram, token) occurs inside a word of (qid, text), in lower case."""
+    lengths = sorted(r[0] for r in grams.select(F.length("gram").alias("n")).distinct().collect())  # a few lengths
+    w = texts.select("qid", F.explode(X.words(F.lower("text"))).alias("w"))
+    found = None
+    for n in lengths:
+        at = F.when(F.length("w") >= n, F.sequence(F.lit(1), F.length("w") - n + 1))
+        x = w.select("qid", "w", F.explode(at).alias("i")).select("qid", F.substr("w", F.col("i"), F.lit(n)).alias("gram"))
+        found = x if found is None else found.union(x)
+    if found is None:
+        return texts.join(grams, F.lit(False)).select("qid", "token")
+    return found.join(bounded_broadcast(grams.select("gram", "token")), "gram").select("qid", "token")
+
+
+def segment_rows(sequences: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """(qid, tokens): the sequences of ids (qid, tokens) after a fixed list of merges (left, right, new), in the order of the list.
+
+    As in byte-pair encoding: the first merge of the list that applies somewhere is
+    made first, from left to right. Null sequences are empty.
+    """
+    rank = {(a, b): (i, new) for i, (a, b, new) in enumerate(merges)}
+    kind = sequences.schema["qid"].dataType.simpleString()
+
+    def merged(ids: list[int]) -> list[int]:
+        while len(ids) > 1:
+            best = min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None)
+            if best is None:
+                break
+            a, b, new = merges[best[0]]
+            out, i = [], 0
+            while i < len(ids):
+                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
+                    out.append(new)
+                    i += 2
+                else:
+                    out.append(ids[i])
+                    i += 1
+            ids = out
+        return ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merged(x or []) for x in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["qid", "tokens"])
+
+    return sequences.select("qid", F.col("tokens").cast("array<long>").alias("tokens")).mapInArrow(run, f"qid {kind}, tokens array<long>")
+
+
 def prf(queries: DataFrame, docs: DataFrame, k: int = 3, alpha: float = 0.4, beta: float = 0.6) -> DataFrame:
     """(qid, vector): alpha * query + beta * mean of its k best documents, of unit length."""
     near = knn(queries, docs, k).select("qid", "doc_id").join(docs, "doc_id").select("qid", F.posexplode("vector").alias("i", "x"))

@@ -10,6 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import hashing as H
 from millrace.session import salted_join
 
 
@@ -108,6 +109,21 @@ def select_setting(macro: DataFrame) -> DataFrame:
     return macro.orderBy(F.desc("macro"), F.desc(F.col("w") == 1.0), "grid_pos").limit(1)
 
 
+def split_half(scores: DataFrame, prefer: Column | None = None) -> DataFrame:
+    """(fitted_on, grid_pos, fitted, scored) of (grid_pos, qid, value): the setting that is best on one half of the queries, and its mean on the other.
+
+    Halves are the parity of the hash of a query's id. Means weigh queries the
+    same; equal settings go to the preferred, then to the smaller position.
+    """
+    x = scores.withColumn("half", H.half(F.col("qid").cast("string")))
+    m = x.groupBy("half", "grid_pos").agg(F.round(F.avg("value"), 9).alias("m"))
+    first = F.coalesce(prefer.cast("int"), F.lit(0)) if prefer is not None else F.lit(0)
+    best = m.groupBy("half").agg(F.max_by(F.struct("grid_pos", "m"), F.struct("m", first.alias("p"), (-F.col("grid_pos")).alias("o"))).alias("b"))
+    other = m.select((1 - F.col("half")).alias("half"), F.col("grid_pos").alias("g"), F.col("m").alias("scored"))
+    j = best.select("half", F.col("b.grid_pos").alias("grid_pos"), F.col("b.m").alias("fitted"))
+    return j.join(other, (j.half == other.half) & (F.col("grid_pos") == F.col("g")), "left").select(j.half.alias("fitted_on"), "grid_pos", "fitted", "scored")
+
+
 def collapse_passages(scores: DataFrame, passages: DataFrame, excluded_artifacts: DataFrame | None = None, excluded_hashes: DataFrame | None = None, passage_depth: int = 500, artifact_depth: int = 100) -> DataFrame:
     """(qid, artifact_id, passage_id, score, rank): the best passage of each artifact.
 

@@ -6,7 +6,7 @@ layout, and repeatable in SQL. They are not the draws of any other generator.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import hashing as H
 
-from .ranking import distributed_row_number
+from .ranking import distributed_row_number, range_numbers
 
 
 def held_out(rows: DataFrame, source: str, qid: str, one_in: int = 50) -> DataFrame:
@@ -91,12 +91,13 @@ def k_folds(rows: DataFrame, group: str, folds: int, seed: str) -> DataFrame:
 def chronological_split(rows: DataFrame, stratum: str, time: str, ident: str, confirm: int = 3, block: int = 10, seed: str = "c") -> DataFrame:
     """``part``: newest first in blocks of ``block``, ``confirm`` hashed positions of each block go to 'confirmation', the rest to 'development'.
 
-    Strata are reported lists of bounded size, as one query stands for a family.
+    A stratum may be of any size: its rows are numbered by ranges of time with
+    offsets. Rows without a time come last.
     """
-    w = Window.partitionBy(stratum).orderBy(F.desc_nulls_last(time), F.desc(ident))
-    x = rows.withColumn("__b", F.floor((F.row_number().over(w) - 1) / block))
+    order = [F.col(stratum), F.desc_nulls_last(time), F.desc(ident)]
+    x = range_numbers(rows, [stratum], order, "__rn").withColumn("__b", F.floor((F.col("__rn") - 1) / block))
     inside = Window.partitionBy(stratum, "__b").orderBy(H.order_key(seed, F.col(ident)), ident)
-    return x.withColumn("part", F.when(F.row_number().over(inside) <= confirm, "confirmation").otherwise("development")).drop("__b")
+    return x.withColumn("part", F.when(F.row_number().over(inside) <= confirm, "confirmation").otherwise("development")).drop("__b", "__rn")
 
 
 def alternate_families(rows: DataFrame, family: str, ident: str, cap: int = 3, seed: str = "a") -> DataFrame:
@@ -243,3 +244,51 @@ def bucket_plan(available: dict[str, int], shares: dict[str, float], size: int)
     for b in shares:
         plan[b] += min(available.get(b, 0) - plan[b], size - sum(plan.values()))
     return plan
+
+
+def drafted_queries(docs: DataFrame, quotas: Mapping[str, int], total: int, seed: str) -> DataFrame:
+    """(doc_id, kind, query) of candidates (doc_id, kind, phrase), one for a document: the quota of each kind in seeded order, topped up to ``total`` from all others in seeded order.
+
+    Of a document with several phrases the smallest (kind, phrase) counts; white
+    space in a phrase is collapsed. Kinds without a quota only top up.
+    """
+    one = docs.where(F.col("doc_id").isNotNull() & (F.trim("phrase") != "")).groupBy("doc_id").agg(F.min(F.struct("kind", "phrase")).alias("m")).select("doc_id", "m.kind", "m.phrase")
+    quota = F.when(F.lit(False), 0)
+    for k, n in quotas.items():
+        quota = quota.when(F.col("kind") == k, n)
+    x = seeded_numbers(one, ["kind"], "doc_id", seed).withColumn("lead", F.when(F.col("rn") <= quota.otherwise(0), 0).otherwise(1)).withColumn("h", H.order_key(seed, F.col("doc_id")))
+    r = distributed_row_number(x.drop("rn"), [], ["lead"], "h", ["doc_id"])
+    return r.where(F.col("rn") <= total).select("doc_id", "kind", F.trim(F.regexp_replace("phrase", r"\s+", " ")).alias("query"))
+
+
+def stream_state(rows: DataFrame, ident: str, drawn: int) -> dict[str, object]:
+    """What must be kept to go on with a shuffled stream after ``drawn`` rows: how many passes, the place in the pass, and the population it is of."""
+    p = rows.select(ident).distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.col(ident).cast("string")).cast("decimal(38,0)")).cast("string").alias("digest")).first()
+    if not p.n:
+        raise ValueError("the stream is empty")
+    return {"passes": drawn // p.n, "pos": drawn % p.n, "n": p.n, "digest": p.digest}
+
+
+def stream_batch(rows: DataFrame, ident: str, size: int, seed: str, state: Mapping[str, object]) -> tuple[DataFrame, dict[str, object]]:
+    """((step, ident), state after it): the next ``size`` rows of a stream that shows every row once in each pass, each pass in a new order.
+
+    Steps count from 0. A saved state of another population is refused, as its
+    place would name other rows. A batch may run over the end of a pass.
+    """
+    now = stream_state(rows, ident, 0)
+    if (now["n"], now["digest"]) != (state["n"], state["digest"]):
+        raise ValueError("the population changed since the state was saved")
+    n, first = int(state["n"]), int(state["passes"]) * int(state["n"]) + int(state["pos"])
+    ids, out = rows.select(ident).distinct(), None
+    for p in range(first // n, (first + size - 1) // n + 1 if size else first // n):
+        e = epoch_order(ids, ident, p, seed).withColumn("step", F.col("pos") + (p * n - first))
+        out = e if out is None else out.union(e)
+    batch = (ids.withColumn("step", F.lit(0).cast("long")).limit(0) if out is None else out.where(F.col("step").between(0, size - 1))).select("step", ident)
+    return batch, {"passes": (first + size) // n, "pos": (first + size) % n, "n": n, "digest": state["digest"]}
+
+
+def plan_table(available: DataFrame, shares: Mapping[str, float], size: int) -> DataFrame:
+    """(bucket, available, planned): ``bucket_plan`` of (bucket, available); a bucket without a row has nothing."""
+    have = {r.bucket: int(r.available) for r in available.where(F.col("bucket").isin(*shares)).collect()}  # one row a bucket
+    plan = bucket_plan(have, dict(shares), size)
+    return available.sparkSession.createDataFrame([(b, have.get(b, 0), n) for b, n in plan.items()], "bucket string, available long, planned long")

@@ -1,9 +1,10 @@
 """Paired inference. Draws come from hashes of (seed, replicate, unit), so results do not depend on the layout.
 
 Each replicate of a bootstrap resamples n units of a stratum with replacement:
-slot j of replicate r takes unit number hash(seed, r, stratum, j) mod n.
-``paired_bootstrap`` takes the hash from md5, as its SQL does; the others take
-it from ``picks``, which costs some nanoseconds a draw.
+slot j of replicate r takes the unit that a hash of (seed, r, stratum, j) names.
+The hash is two rounds of a 32-bit mixer with keys from an md5, a few
+nanoseconds a draw and the same in SQL. Sign flips take 32 replicates from each
+hash of (seed, block of replicates, unit).
 """
 
 from __future__ import annotations
@@ -11,14 +12,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import hashing as H
 from millrace.session import bounded_broadcast
 
 from .ranking import distributed_row_number
@@ -44,40 +45,65 @@ def numbered(pairs: DataFrame, stratum: str, unit: str) -> DataFrame:
     return x.join(x.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")), stratum)
 
 
-def draw_plan(units: DataFrame, stratum: str, replicates: int, seed: str) -> DataFrame:
-    """(rep, stratum, k, times): how often replicate ``rep`` takes unit ``k`` of a stratum. Save it to use one plan for several contrasts."""
-    sizes = units.groupBy(stratum).agg(F.max("n").alias("n"))
-    reps = units.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    slots = sizes.crossJoin(reps).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    pick = F.pmod(H.key60(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col(stratum).cast("string"), F.col("j").cast("string"))), F.col("n"))
-    return slots.select("rep", stratum, pick.alias("k")).groupBy("rep", stratum, "k").agg(F.count(F.lit(1)).alias("times"))
+def mixed32(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers that spreads every bit; in place."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
 
 
-def md5_picks(seed: str, rep: int, stratum: str, n: int, part: int = 1 << 14) -> Iterator[np.ndarray]:
-    """Unit numbers of the n slots as in ``draw_plan``."""
-    lead = f"{seed}|{rep}|{stratum}|"
+def keys32(*parts: object) -> tuple[np.uint32, np.uint32]:
+    """Two keys from the md5 of the parts."""
+    h = hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    return np.uint32(int(h[:8], 16)), np.uint32(int(h[8:16], 16))
+
+
+def picks(seed: str, rep: int, stratum: str, n: int, part: int = 1 << 14) -> Iterator[np.ndarray]:
+    """Unit numbers of the n slots of a stratum: 32 bits of each slot scaled to n, which must be below 2^31."""
+    one, two = keys32(seed, rep, stratum)
     for at in range(0, n, part):
-        digests = b"".join([hashlib.md5(f"{lead}{j}".encode()).digest() for j in range(at, min(n, at + part))])
-        yield ((np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)) % np.uint64(n)).astype(np.int64)
-
-
-def picks(seed: str, rep: int, stratum: str, n: int, part: int = 1 << 13) -> Iterator[np.ndarray]:
-    """Unit numbers of the n slots, two from each splitmix64 that starts at the md5 of (seed, rep, stratum): 32 bits scaled to n, which must be below 2^31."""
-    golden, base = 0x9E3779B97F4A7C15, int.from_bytes(hashlib.md5(f"{seed}|{rep}|{stratum}".encode()).digest()[:8], "little")
-    steps, half = np.arange(1, min(part, (n + 1) // 2) + 1, dtype="<u8") * np.uint64(golden), (n + 1) // 2
-    for at in range(0, half, part):
-        x = steps[: half - at] + np.uint64((base + at * golden) % 2**64)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x ^= x >> np.uint64(shift)
-            x *= np.uint64(factor)
-        x ^= x >> np.uint64(31)
-        y = x.view("<u4")[: n - 2 * at].astype(np.uint64)
+        x = np.arange(at, min(n, at + part), dtype=np.uint32)
+        x += one
+        x = mixed32(x)
+        x ^= two
+        y = mixed32(x).astype(np.uint64)
         y *= np.uint64(n)
         y >>= np.uint64(32)
         yield y.view(np.int64)
 
 
-def resampled(units: DataFrame, stratum: str, label: str, values: list[str], replicates: int, seed: str, held: int = HELD_ROWS, draws: Callable[..., Iterator[np.ndarray]] = picks) -> DataFrame:
+def draw_plan(units: DataFrame, stratum: str, replicates: int, seed: str) -> DataFrame:
+    """(rep, stratum, k, times): how often replicate ``rep`` takes unit ``k`` of a stratum. Save it to use one plan for several contrasts."""
+    spark = units.sparkSession
+    kind = units.schema[stratum].dataType.simpleString()
+    sizes = units.groupBy(stratum).agg(F.max("n").alias("n"))
+    reps = spark.range(0, replicates, 1, max(1, min(replicates // 50, 4 * spark.sparkContext.defaultParallelism)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep, s, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                times = np.zeros(n, np.int64)
+                for k in picks(seed, rep, s, n):
+                    times += np.bincount(k, minlength=n)
+                k = np.flatnonzero(times)
+                for i in range(0, len(k), 50_000):
+                    q = k[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), rep)), pa.array([s] * len(q), b.column(1).type), pa.array(q), pa.array(times[q])], ["rep", stratum, "k", "times"])
+
+    return reps.crossJoin(bounded_broadcast(sizes)).select("id", stratum, "n").mapInArrow(run, f"rep long, {stratum} {kind}, k long, times long")
+
+
+def planned_deltas(plan: DataFrame, pairs: DataFrame, stratum: str, unit: str) -> DataFrame:
+    """(rep, delta): macro difference of each replicate of a saved plan. A plan that was drawn for other units is an error."""
+    x = numbered(pairs, stratum, unit).select(stratum, "k", "n", (F.col("a") - F.col("b")).alias("d"))
+    g = plan.join(x, [stratum, "k"], "left").groupBy("rep", stratum).agg(F.sum(F.col("times") * F.col("d")).alias("__s"), F.sum("times").alias("__drawn"), F.max("n").alias("__n"), F.count_if(F.col("n").isNull()).alias("__lost"))
+    ok = F.assert_true((F.col("__lost") == 0) & (F.col("__drawn") == F.col("__n")), F.lit("the plan was drawn for other units"))
+    return g.withColumn("ok", ok).where("ok is null").groupBy("rep").agg(F.round(F.avg(F.col("__s") / F.col("__n")), 12).alias("delta"))
+
+
+def resampled(units: DataFrame, stratum: str, label: str, values: list[str], replicates: int, seed: str, held: int = HELD_ROWS) -> DataFrame:
     """(rep, stratum, label, n, values): sums of the values over the slots of each replicate, for each label of a stratum.
 
     ``units`` is (stratum, k, n, label, values), each k from 0 to n - 1 once for each label.
@@ -104,7 +130,7 @@ def resampled(units: DataFrame, stratum: str, label: str, values: list[str], rep
                     for s, labels in blocks.value.items():
                         n = next(iter(labels.values())).shape[1]
                         total = {x: np.zeros(len(names)) for x in labels}
-                        for idx in draws(seed, rep, s, n):
+                        for idx in picks(seed, rep, s, n):
                             for x, one in labels.items():
                                 total[x] += [row.take(idx, mode="clip").sum() for row in one]
                         keys += [(rep, s, x, n) for x in labels]
@@ -120,7 +146,7 @@ def resampled(units: DataFrame, stratum: str, label: str, values: list[str], rep
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for rep, s, n in zip(*[c.to_pylist() for c in b.columns]):
-                    for idx in draws(seed, rep, s, n):
+                    for idx in picks(seed, rep, s, n):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), rep)), pa.array([s] * len(idx), pa.string()), pa.array(idx)], ["rep", "g", "k"])
 
         slots = reps.crossJoin(bounded_broadcast(sizes)).select("id", "g", "n").mapInArrow(draw, "rep long, g string, k long")
@@ -136,7 +162,7 @@ def observed(pairs: DataFrame, stratum: str) -> DataFrame:
 def bootstrap_deltas(pairs: DataFrame, stratum: str, unit: str, replicates: int, seed: str) -> DataFrame:
     """(rep, delta): macro difference of each replicate."""
     x = numbered(pairs, stratum, unit).select(stratum, "k", "n", (F.col("a") - F.col("b")).alias("d"))
-    m = resampled(x, stratum, stratum, ["d"], replicates, seed, draws=md5_picks).select("rep", (F.col("d") / F.col("n")).alias("m"))
+    m = resampled(x, stratum, stratum, ["d"], replicates, seed).select("rep", (F.col("d") / F.col("n")).alias("m"))
     return m.groupBy("rep").agg(F.round(F.avg("m"), 12).alias("delta"))
 
 
@@ -157,19 +183,59 @@ def paired_bootstrap(pairs: DataFrame, stratum: str, unit: str, replicates: int
     return observed(pairs, stratum).select(F.round("delta", 9).alias("delta")).crossJoin(s)  # one row each
 
 
+#: Blocks of 32 replicates whose sums travel in one row.
+CHUNK = 128
+
+
+def flipped_sums(units: DataFrame, replicates: int, seed: str) -> DataFrame:
+    """(rep, t): the sum of ``x`` over all rows of (u, x), each with the sign of its ``u`` in that replicate.
+
+    Every task takes its rows through all replicates and sends one sum for each,
+    so the work is spread over rows and only sums are shuffled.
+    """
+    blocks = -(-replicates // 32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((blocks, 32))
+        keys = [keys32(seed, b) for b in range(blocks)]
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy().astype(np.uint32) for i in range(2))
+            x = batch.column(2).to_numpy()
+            total += x.sum()
+            for at in range(0, len(x), 4096):
+                p = slice(at, at + 4096)
+                for i, (one, two) in enumerate(keys):
+                    h = mixed32(a[p] ^ one)
+                    h ^= b[p]
+                    h ^= two
+                    bits = np.unpackbits(mixed32(h).astype("<u4", copy=False).view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+                    total[i] -= 2 * (x[p] @ bits.astype(np.float64))
+        for c in range(0, blocks, CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK]), pa.array([total[c : c + CHUNK].tobytes()])], ["chunk", "sums"])
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = sum(np.frombuffer(x) for x in pdf["sums"])
+        rep = key[0] * CHUNK * 32 + np.arange(len(t))
+        return pd.DataFrame({"rep": rep, "t": np.round(t, 12)})[rep < replicates]
+
+    h = F.md5("u")
+    half = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("long")
+    x = units.repartition(units.sparkSession.sparkContext.defaultParallelism, "u").select(half(1).alias("a"), half(9).alias("b"), "x")
+    return x.mapInArrow(run, "chunk long, sums binary").groupBy("chunk").applyInPandas(merge, "rep long, t double")
+
+
 def sign_flip(pairs: DataFrame, stratum: str, unit: str, replicates: int = FLIPS, seed: str = "s", unit_of: str | None = None) -> DataFrame:
     """One row: (delta, p): (1 + replicates with a flipped macro at least as large in size) / (1 + replicates).
 
     With ``unit_of`` all rows of one underlying unit share their sign across strata.
     """
     key = F.concat_ws("|", F.col(stratum).cast("string"), F.col(unit).cast("string")) if unit_of is None else F.col(unit_of).cast("string")
-    reps = pairs.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    x = pairs.select(stratum, key.alias("u"), (F.col("a") - F.col("b")).alias("d")).crossJoin(F.broadcast(reps))  # a fixed number
-    odd = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), "u")), 1, 1).isin(*"13579bdf")
-    sign = F.when(odd, -1).otherwise(1)
-    m = x.groupBy("rep", stratum).agg(F.avg(F.col("d") * sign).alias("m")).groupBy("rep").agg(F.round(F.avg("m"), 12).alias("t"))
-    o = observed(pairs, stratum)
-    return m.crossJoin(F.broadcast(o)).groupBy(F.round("delta", 9).alias("delta")).agg(F.round((1 + F.count_if(F.abs("t") >= F.abs("delta"))) / (1 + F.count(F.lit(1))), 9).alias("p"))
+    sizes = pairs.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    w = sizes.crossJoin(F.broadcast(sizes.agg(F.count(F.lit(1)).alias("strata")))).select(stratum, (F.col("n") * F.col("strata")).alias("share"))  # one row
+    x = pairs.join(bounded_broadcast(w), stratum).select(key.alias("u"), ((F.col("a") - F.col("b")) / F.col("share")).alias("x"))
+    t = flipped_sums(x, replicates, seed)
+    j = t.crossJoin(F.broadcast(observed(pairs, stratum)))  # one row
+    return j.groupBy(F.round("delta", 9).alias("delta")).agg(F.round((1 + F.count_if(F.abs("t") >= F.abs("delta"))) / (1 + F.count(F.lit(1))), 9).alias("p"))
 
 
 def signature_strata(pairs: DataFrame, dataset: str, unit: str) -> DataFrame:

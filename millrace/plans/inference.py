@@ -13,8 +13,6 @@ from . import sql as S
 from .registry import query
 from .retrieval import _scores, documents, scores_sql
 
-REPS = 50  # of the SQL; the queries take the numbers of the engine being matched
-
 
 @query("""WITH u AS (SELECT n_nationkey AS unit, n_regionkey AS family FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)), m AS (SELECT s_nationkey AS unit, avg(s_acctbal) AS m FROM supplier GROUP BY 1),
 f AS (SELECT family, avg(m) AS f FROM m JOIN u USING (unit) GROUP BY family) SELECT round(avg(f), 6) AS macro, count(*) AS families FROM f""")
@@ -61,38 +59,43 @@ def win_tie_loss(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.win_tie_loss(paired_scores(spark, d), "a", "b")
 
 
-def _boot_sql(seed: str) -> str:
-    return f"""{_PAIRS}, k AS (SELECT domain, a - b AS d, row_number() OVER (PARTITION BY domain ORDER BY md5(qid), qid) - 1 AS k, count(*) OVER (PARTITION BY domain) AS n FROM p),
-sz AS (SELECT domain, max(n) AS n FROM k GROUP BY domain), sl AS (SELECT domain, n, rep, unnest(range(0, n)) AS j FROM sz, (SELECT unnest(range(0, {REPS})) AS rep)),
-dr AS (SELECT rep, domain, {S.key60(f"'{seed}|' || rep || '|' || domain || '|' || j")} % n AS k FROM sl),
-m AS (SELECT rep, dr.domain, avg(d) AS m FROM dr JOIN k ON k.domain = dr.domain AND k.k = dr.k GROUP BY rep, dr.domain), de AS (SELECT rep, round(avg(m), 12) AS delta FROM m GROUP BY rep),
-ob AS (SELECT avg(m) AS o FROM (SELECT avg(a - b) AS m FROM p GROUP BY domain))"""
+_UNITS = f"""{_PAIRS}, k AS (SELECT domain, a - b AS d, row_number() OVER (PARTITION BY domain ORDER BY md5(qid), qid) - 1 AS k FROM p), sz AS (SELECT domain, count(*) AS n FROM k GROUP BY domain)"""
 
 
-@query(f"WITH {_boot_sql('b')} SELECT round(o, 6) AS delta, round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high, round(avg((delta <= 0)::INT), 6) AS tail FROM de, ob GROUP BY o")
+@query(f"""WITH {_UNITS}, dr AS ({S.picks("sz", stats.BOOTSTRAP, "b", "domain")}), m AS (SELECT rep, dr.domain, avg(d) AS m FROM dr JOIN k ON k.domain = dr.domain AND k.k = dr.k GROUP BY rep, dr.domain),
+de AS (SELECT rep, round(avg(m), 12) AS delta FROM m GROUP BY rep), ob AS (SELECT avg(m) AS o FROM (SELECT avg(a - b) AS m FROM p GROUP BY domain))
+SELECT round(o, 6) AS delta, round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high, round(avg((delta <= 0)::INT), 6) AS tail FROM de, ob GROUP BY o""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     x = stats.paired_bootstrap(paired_scores(spark, d), "domain", "qid", stats.BOOTSTRAP, "b")
     return x.select(*[F.round(c, 6).alias(c) for c in ("delta", "ci_low", "ci_high", "tail")])
 
 
-@query(f"""WITH {_PAIRS}, r AS (SELECT unnest(range(0, {REPS})) AS rep), f AS (SELECT rep, domain, avg((a - b) * (1 - 2 * (('0x' || substr(md5('s|' || rep || '|' || domain || '|' || qid), 1, 1))::INT % 2))) AS m FROM p, r GROUP BY rep, domain),
-t AS (SELECT rep, round(avg(m), 12) AS t FROM f GROUP BY rep), o AS (SELECT round(avg(m), 12) AS o FROM (SELECT avg(a - b) AS m FROM p GROUP BY domain))
+@query(f"""WITH {_PAIRS}, u AS (SELECT {S.half32("md5(domain || '|' || qid)", 1)} AS a, {S.half32("md5(domain || '|' || qid)", 9)} AS b, (a - b) / (count(*) OVER (PARTITION BY domain) * (SELECT count(DISTINCT domain) FROM p)) AS x FROM p),
+bl AS (SELECT block, {S.half32("h", 1)} AS one, {S.half32("h", 9)} AS two FROM (SELECT block, md5('s|' || block) AS h FROM (SELECT unnest(range(0, {-(-stats.FLIPS // 32)})) AS block))),
+h AS ({S.mixed32(f"SELECT block, w, xor(xor(h, b), two) AS h FROM ({S.mixed32('SELECT block, x AS w, b, two, xor(a, one) AS h FROM u, bl', 'h')})", "h")}),
+t AS (SELECT block * 32 + i AS rep, round(s, 12) AS t FROM (SELECT block, unnest(range(0, 32)) AS i, unnest([{", ".join(f"sum(w * (1 - 2 * ((h >> {i}) & 1)::INT))" for i in range(32))}]) AS s FROM h GROUP BY block) WHERE block * 32 + i < {stats.FLIPS}),
+o AS (SELECT round(avg(m), 12) AS o FROM (SELECT avg(a - b) AS m FROM p GROUP BY domain))
 SELECT round(o, 6) AS delta, round((1 + count(*) FILTER (WHERE abs(t) >= abs(o))) / (1 + count(*)), 6) AS p FROM t, o GROUP BY o""")
 def sign_flip(spark: SparkSession, d: str) -> DataFrame:
     x = stats.sign_flip(paired_scores(spark, d), "domain", "qid", stats.FLIPS, "s")
     return x.select(F.round("delta", 6).alias("delta"), F.round("p", 6).alias("p"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, sg AS (SELECT qid, string_agg(DISTINCT domain, '+' ORDER BY domain) AS sig FROM p GROUP BY qid), un AS (SELECT sig, qid, row_number() OVER (PARTITION BY sig ORDER BY md5(qid), qid) - 1 AS k FROM sg), sz AS (SELECT sig, count(*) AS n FROM un GROUP BY sig),
+dr AS ({S.picks("sz", stats.BOOTSTRAP, "d", "sig")}), m AS (SELECT rep, p.domain, avg(a - b) AS m FROM dr JOIN un ON un.sig = dr.sig AND un.k = dr.k JOIN p ON p.qid = un.qid GROUP BY rep, p.domain)
+SELECT rep, round(round(avg(m), 12), 9) AS delta FROM m GROUP BY rep""")
 def shared_unit_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return stats.shared_bootstrap(paired_scores(spark, d), "domain", "qid", stats.BOOTSTRAP)
+    return stats.shared_bootstrap(paired_scores(spark, d), "domain", "qid", stats.BOOTSTRAP).withColumn("delta", F.round("delta", 9))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, fa AS (SELECT domain, coalesce(s.source, '') AS source, sum(a - b) AS s, count(*) AS c FROM p JOIN (SELECT qid, min(source) AS source FROM query_spec GROUP BY qid) s USING (qid) GROUP BY 1, 2),
+un AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5(source), source) - 1 AS k FROM fa), sz AS (SELECT domain, count(*) AS n FROM un GROUP BY domain),
+dr AS ({S.picks("sz", stats.BOOTSTRAP, "f", "domain")}), m AS (SELECT rep, dr.domain, sum(s) / sum(c) AS m FROM dr JOIN un ON un.domain = dr.domain AND un.k = dr.k GROUP BY rep, dr.domain)
+SELECT rep, round(round(avg(m), 12), 9) AS delta FROM m GROUP BY rep""")
 def family_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     fam = table(spark, d, "query_spec").groupBy("qid").agg(F.min("source").alias("source"))
     p = paired_scores(spark, d).join(fam, "qid").withColumn("source", F.coalesce("source", F.lit("")))
-    return stats.family_bootstrap(p, "domain", "source", stats.BOOTSTRAP)
+    return stats.family_bootstrap(p, "domain", "source", stats.BOOTSTRAP).withColumn("delta", F.round("delta", 9))
 
 
 @query()

@@ -60,3 +60,22 @@ LEFT JOIN (
   SELECT r.qid, sum(CASE WHEN rank <= {k} THEN grade / log2(rank + 1) END) AS dcg, count(*) FILTER (WHERE rank <= {k}) AS n, count(*) AS n_deep, min(CASE WHEN rank <= {k} THEN rank END) AS first
   FROM {run} r JOIN {qrels} q ON q.qid = r.qid AND q.doc_id = r.doc_id WHERE rank <= {deep} AND grade > 0 GROUP BY r.qid) g ON g.qid = i.qid
 """
+
+
+def mixed32(source: str, x: str = "x") -> str:
+    """``stats.mixed32`` of column ``x`` of a query, other columns kept."""
+    out = source
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        out = f"SELECT * REPLACE ((xor({x}, {x} >> {shift}) * {factor}) & 4294967295 AS {x}) FROM ({out})"
+    return f"SELECT * REPLACE (xor({x}, {x} >> 16) AS {x}) FROM ({out})"
+
+
+def half32(md5: str, at: int) -> str:
+    return f"('0x' || substr({md5}, {at}, 8))::UBIGINT"
+
+
+def picks(sizes: str, reps: int, seed: str, stratum: str) -> str:
+    """(rep, stratum, k): the unit that each slot of each replicate takes; ``sizes`` is (stratum, n)."""
+    keys = f"SELECT rep, {stratum}, n, {half32('h', 1)} AS one, {half32('h', 9)} AS two FROM (SELECT rep, {stratum}, n, md5('{seed}|' || rep || '|' || {stratum}) AS h FROM {sizes}, (SELECT unnest(range(0, {reps})) AS rep))"
+    slots = f"SELECT rep, {stratum}, n, two, (unnest(range(0, n))::UBIGINT + one) & 4294967295 AS x FROM ({keys})"
+    return f"SELECT rep, {stratum}, ((x * n::UBIGINT) >> 32)::BIGINT AS k FROM ({mixed32(f'SELECT * REPLACE (xor(x, two) AS x) FROM ({mixed32(slots)})')})"

@@ -302,15 +302,38 @@ def test_resampling_equals_brute_force(spark):
     assert many.sum() == 20_000 and len(many) == 50 and ((many - 400) ** 2 / 400).sum() < 94
 
 
-def test_md5_draws_equal_the_sql_definition(spark):
+def mix(x):
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x = ((x ^ (x >> shift)) * factor) % 2**32
+    return x ^ (x >> 16)
+
+
+def halves(*parts):
+    h = hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    return int(h[:8], 16), int(h[8:16], 16)
+
+
+def test_draws_equal_the_sql_definition(spark):
     data = paired(spark)
     p = spark.createDataFrame(data, "s string, q string, a double, b double")
     by = {s: [d for _, d in sorted((hashlib.md5(x[1].encode()).hexdigest(), x[2] - x[3]) for x in data if x[0] == s)] for s in ("s0", "s1", "s2")}
-    key = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:15], 16)
-    want = [np.mean([np.mean([v[key("b", r, s, j) % len(v)] for j in range(len(v))]) for s, v in by.items()]) for r in range(8)]
+
+    def pick(r, s, j, n):
+        one, two = halves("b", r, s)
+        return mix(mix((j + one) % 2**32) ^ two) * n >> 32
+
+    want = [np.mean([np.mean([v[pick(r, s, j, len(v))] for j in range(len(v))]) for s, v in by.items()]) for r in range(8)]
     got = [x.delta for x in stats.bootstrap_deltas(p, "s", "q", 8, "b").orderBy("rep").collect()]
     assert got == pytest.approx(want, abs=1e-11)
-    sign = lambda *x: 1 - 2 * (int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[0], 16) % 2)
-    mean = lambda r: np.mean([np.mean([(x[2] - x[3]) * (sign("s", r, s, x[1]) if r >= 0 else 1) for x in data if x[0] == s]) for s in by])
-    f = stats.sign_flip(p, "s", "q", 30, "s").first()
-    assert f.p == pytest.approx((1 + sum(abs(mean(r)) >= abs(mean(-1)) - 1e-12 for r in range(30))) / 31, abs=1e-8)
+    plan = stats.draw_plan(stats.numbered(p, "s", "q"), "s", 8, "b")
+    assert [x.delta for x in stats.planned_deltas(plan, p, "s", "q").orderBy("rep").collect()] == pytest.approx(want, abs=1e-11)
+    with pytest.raises(Exception, match="drawn for other units"):
+        stats.planned_deltas(plan, p.where("q <> '%s'" % data[0][1]), "s", "q").collect()
+
+    def sign(r, u):
+        (one, two), (a, b) = halves("s", r // 32), halves(u)
+        return 1 - 2 * (mix(mix(a ^ one) ^ b ^ two) >> r % 32 & 1)
+
+    mean = lambda r: np.mean([np.mean([(x[2] - x[3]) * (sign(r, f"{s}|{x[1]}") if r >= 0 else 1) for x in data if x[0] == s]) for s in by])
+    f = stats.sign_flip(p, "s", "q", 70, "s").first()
+    assert f.p == pytest.approx((1 + sum(abs(mean(r)) >= abs(mean(-1)) - 1e-12 for r in range(70))) / 71, abs=1e-8)
