@@ -114,7 +114,7 @@ def word_count(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: a break after .!? and white space before a capital, digit, quote or bracket."""
-    return _empty_to_none(F.transform(F.split(collapse_space(text), SENTENCE_BREAK), F.trim))
+    return _empty_to_none(F.transform(F.split(collapse_space(text), SENTENCE_BREAK), lambda s: F.trim(s)))
 
 
 def redact(text: Column) -> Column:

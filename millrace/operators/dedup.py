@@ -114,11 +114,11 @@ def near_duplicate_classes(docs: DataFrame, ident: str = "doc_id", text: str = "
     return found.union(rest).distinct()
 
 
-def diversity_gate(rows: DataFrame, ident: str, text: str, shared: int = SHARED_GATE) -> DataFrame:
+def diversity_gate(rows: DataFrame, ident: str, text: str, shared: int = SHARED_GATE, share: float = SHORT_SHARE) -> DataFrame:
     """(id, status): 'exact' for repeats of an earlier text, 'near' for near duplicates of any earlier one, else 'kept'; earlier is a smaller id.
 
     Near: at least ``shared`` of 32 sketch keys of the 8-grams, or for texts under
-    39 words half of the smaller set of 4-grams. Earlier texts count even if they
+    39 words ``share`` of the smaller set of 4-grams. Earlier texts count even if they
     are near duplicates themselves.
     """
     w = X.fingerprint_words(F.col(text))
@@ -139,7 +139,7 @@ def diversity_gate(rows: DataFrame, ident: str, text: str, shared: int = SHARED_
     j, near, same = hits(order, A.bottom(A.gram_keys(F.col("w")), SKETCH), F.greatest(F.lit(1), F.col("n") - shared + 1), F.col("shared") >= shared)
     long_hits = j.where(near | (same & (F.col("n") >= shared))).select("id")
     short = order.where(F.size("w") < SHORT_WORDS)
-    j, near, same = hits(short, A.gram_keys(F.col("w"), SHORT_K), F.col("n"), F.col("shared") >= F.least("n", "m") * SHORT_SHARE)
+    j, near, same = hits(short, A.gram_keys(F.col("w"), SHORT_K), F.col("n"), F.col("shared") >= F.least("n", "m") * share)
     dup = long_hits.union(j.where(near | same).select("id")).distinct().withColumn("near", F.lit(True))
     known = order.select("id").join(dup, "id", "left").select("id", F.when(F.col("near"), "near").otherwise("kept").alias("status"))
     return known.union(x.where("id <> first").select("id", F.lit("exact")))

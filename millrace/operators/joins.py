@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,12 @@ def excluded(rows: DataFrame, rules: list[tuple[str, str, DataFrame]]) -> DataFr
     return rows.withColumn("reason", reason).drop(*[f"__r{i}" for i in range(len(rules))])
 
 
+def routed(rows: DataFrame, column: str, routes: Mapping[str, str], default: str | None = None) -> DataFrame:
+    """``form``: where the value of a column is sent by a fixed map; ``default`` for others and null."""
+    to = F.create_map(*[F.lit(x) for pair in routes.items() for x in pair])
+    return rows.withColumn("form", F.coalesce(F.try_element_at(to, F.col(column)), F.lit(default)))
+
+
 @F.pandas_udf(T.DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / total length of the longest matching blocks."""

@@ -6,9 +6,13 @@ without a judgement has grade 0; a query without a run scores 0.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import hashing as H
+
 
 def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, deep: int = 100, digits: int = 9) -> DataFrame:
     """(qid, ndcg, recall, recall_deep, mrr, precision, success) of every judged query with a positive grade.
@@ -44,6 +48,17 @@ def macro(scores: DataFrame, component: str, value: str, digits: int = 9) -> Dat
     return scores.groupBy(component).agg(F.avg(value).alias("m")).agg(F.round(F.avg("m"), digits).alias("macro"), F.count(F.lit(1)).alias("components"))
 
 
+def subset_macro(scores: DataFrame, component: str, value: str, named: Sequence[str], digits: int = 9) -> DataFrame:
+    """``macro`` over the named components that have scores; null with 0 components if none has."""
+    return macro(scores.where(F.col(component).isin(*named)), component, value, digits)
+
+
+def half_macros(scores: DataFrame, component: str, value: str, digits: int = 9) -> DataFrame:
+    """(half, macro, components): ``macro`` over the queries of each half, by the parity of the hash of the qid."""
+    m = scores.groupBy(H.half(F.col("qid").cast("string")).alias("half"), component).agg(F.avg(value).alias("m"))
+    return m.groupBy("half").agg(F.round(F.avg("m"), digits).alias("macro"), F.count(F.lit(1)).alias("components"))
+
+
 def family_macro(scores: DataFrame, units: DataFrame, value: str, digits: int = 9) -> DataFrame:
     """One row: families weigh the same, units the same within a family. ``units`` is (unit, family); a unit without scores or without a family is an error."""
     per_unit = scores.groupBy("unit").agg(F.avg(value).alias("m"))

@@ -171,6 +171,12 @@ def inverted_cdf(deltas: DataFrame, q: float, value: str = "delta") -> Column:
     return F.expr(f"percentile_disc({q}) within group (order by {value})")
 
 
+def one_sided_bounds(deltas: DataFrame, level: float = 0.975, margin: float = 0.005, digits: int = 6) -> DataFrame:
+    """One row: the order statistics of the deltas at 1 - level and level, and whether the upper one is below ``margin``."""
+    up = inverted_cdf(deltas, level)
+    return deltas.agg(F.round(inverted_cdf(deltas, round(1 - level, 12)), digits).alias("lower"), F.round(up, digits).alias("upper"), (up < margin).alias("equivalent"))
+
+
 def paired_bootstrap(pairs: DataFrame, stratum: str, unit: str, replicates: int = BOOTSTRAP, seed: str = "b", quantile: float = 0.025) -> DataFrame:
     """One row: delta, its 95 % interval (linear), the one-sided lower and upper bound by order statistics, share of replicates at or below 0.
 

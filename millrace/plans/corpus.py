@@ -48,7 +48,7 @@ def normalized_groups(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy(X.group_id(F.col("n")).alias("group_id")).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
-@query()
+@query(f"SELECT doc_id, len(s)::INT AS sentences, len(list_filter(s, lambda x: {S.is_claim('x')}))::INT AS claims FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents)")
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     s = X.sentences(F.col("text"))
     return documents(spark, d).select("doc_id", F.coalesce(F.size(s), F.lit(0)).alias("sentences"), F.coalesce(F.size(F.filter(s, X.is_claim)), F.lit(0)).alias("claims"))
@@ -58,6 +58,9 @@ _RED = "SELECT doc_id, {}, md5(t5) AS redacted FROM (" + "SELECT *, regexp_repla
 _RED = _RED.format("len(regexp_extract_all(t3, '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]{{16,}}')) AS bearer, len(regexp_extract_all(t4, '(?i)\\b(password|passwd|secret|api[_-]?key|token)\\s*[:=]\\s*[''\"]?[^\\s''\"]{{8,}}')) AS assigned_secret").replace("{{", "{").replace("}}", "}")
 
 
+_RED_TEXT = "SELECT doc_id, author, t5 FROM (" + _RED[_RED.index("FROM (") + 6 :].replace("SELECT doc_id, text, regexp", "SELECT doc_id, author, text, regexp", 1)
+
+
 @query(_RED)
 def redaction(spark: SparkSession, d: str) -> DataFrame:
     x = documents(spark, d).select("doc_id", X.redaction_counts(F.col("text")).alias("c"), F.md5(X.redact(F.col("text"))).alias("redacted"))
@@ -71,7 +74,9 @@ def quoted_lines(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", X.quoted_lines(F.col("text")).alias("quoted"), (F.size(X.lines(F.col("text"))) - X.quoted_lines(F.col("text"))).alias("kept"))
 
 
-@query()
+@query(rf"""WITH r AS ({_RED_TEXT}), b AS (SELECT doc_id, CASE WHEN ends_with(author, '[bot]') THEN regexp_replace(regexp_replace(t5, '(?is)<!--.*?-->', '', 'g'), '(?im)^[ \t\n\x0B\f\r]*(?:please fill|checklist|generated by|this is an automated)[^\n\r]*$', '', 'g') ELSE t5 END AS t FROM r),
+l AS (SELECT doc_id, array_to_string(list_transform(list_filter(string_split_regex(t, '\r\n|\r|\n'), lambda x: NOT regexp_matches(x, '^[ \t\n\x0B\f\r]*>')), lambda x: regexp_replace(x, '[ \t\n\x0B\f\r]+$', '')), chr(10)) AS b FROM b)
+SELECT doc_id, regexp_replace(b, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS body FROM l""")
 def clean_bodies(spark: SparkSession, d: str) -> DataFrame:
     bot = F.coalesce(F.col("author").endswith("[bot]"), F.lit(False))
     return documents(spark, d).select("doc_id", X.clean_body(F.col("text"), bot).alias("body"))
@@ -92,9 +97,7 @@ def placeholder_forms(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def placeholder_collisions(spark: SparkSession, d: str) -> DataFrame:
     """Normalised forms that several distinct texts of several artifacts share."""
-    x = documents(spark, d).where("text is not null").select("text", "artifact_id", X.placeholders(F.col("text")).alias("form"))
-    g = x.groupBy("form").agg(F.count_distinct("text").alias("texts"), F.count_distinct("artifact_id").alias("groups"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("form") != F.col("text")).alias("changed"))
-    return g.where("texts > 1 and groups > 1 and changed").select(F.md5("form").alias("form"), "texts", "groups", "n", (F.col("n") >= 5).alias("fails"))
+    return harvest.placeholder_collisions(documents(spark, d), "text", "artifact_id")
 
 
 @query(r"""SELECT doc_id, kind || ':' || unit_id AS stable_id, CASE WHEN regexp_matches(artifact_id, '^.+v[0-9]+$') THEN regexp_replace(artifact_id, 'v[0-9]+$', '') ELSE artifact_id END AS base_id,
@@ -109,7 +112,7 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).where("text is not null").select("doc_id", X.snippet(F.col("text"), F.lit("timeout"), 80).alias("snippet"))
 
 
-@query()
+@query("SELECT stratum, count(*) AS docs, min(doc_id) AS first_doc FROM (SELECT doc_id, CASE WHEN text IS NULL THEN NULL " + " ".join(f"WHEN regexp_matches(text, '{S.edged(p)}') THEN '{n}'" for n, p in X.STRATA) + " ELSE 'concept_howto' END AS stratum FROM documents) GROUP BY stratum")
 def strata(spark: SparkSession, d: str) -> DataFrame:
     x = documents(spark, d).select("doc_id", X.stratum(F.col("text")).alias("stratum"))
     return x.groupBy("stratum").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
@@ -146,12 +149,19 @@ def keyword_domains(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.keyword_domain(documents(spark, d).withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text", KEYWORDS)
 
 
-@query()
+@query(rf"""WITH m AS (SELECT doc_id AS id, unnest(string_split(regexp_replace(chr(10) || regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '\n(#{{1,6}}[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r])', chr(57344) || '\1', 'g'), chr(57344))) AS s, generate_subscripts(string_split(regexp_replace(chr(10) || regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '\n(#{{1,6}}[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r])', chr(57344) || '\1', 'g'), chr(57344)), 1) AS sec FROM documents WHERE text IS NOT NULL),
+n AS (SELECT id, sec, regexp_replace(s, '^\n', '') AS s FROM m), w AS (SELECT id, sec, s, {S.plain_words("s")} AS w, CASE WHEN regexp_matches(s, '^#{{1,6}}[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]') THEN trim(regexp_replace(string_split_regex(s, '\r\n|\r|\n')[1], '^[# ]+', '')) ELSE '' END AS heading FROM n WHERE regexp_replace(s, '[ \t\n\x0B\f\r]+', '', 'g') <> ''),
+c AS (SELECT id, sec, heading, 0 AS a, regexp_replace(s, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS text FROM w WHERE len(w) <= 384 UNION ALL SELECT id, sec, heading, a, array_to_string(list_slice(w, a + 1, a + 384), ' ') FROM (SELECT *, unnest(range(0, greatest(1, len(w) - 48), 336)) AS a FROM w WHERE len(w) > 384))
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY sec, a) - 1)::INT AS chunk, heading, text FROM c""")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return harvest.chunks(documents(spark, d))
 
 
-@query()
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: len({S.plain_words("x")})), lambda n: n > 0)) AS n, generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: len({S.plain_words("x")})), lambda n: n > 0), 1) AS i FROM documents WHERE text IS NOT NULL),
+st(doc_id, i, open, e, whole, rest, start) AS (SELECT DISTINCT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM p UNION ALL
+  SELECT st.doc_id, p.i, CASE WHEN (st.e + n - st.open) % 60 >= 20 THEN st.e + n ELSE st.e + n - (st.e + n - st.open) % 60 END, st.e + n, (st.e + n - st.open) // 60, (st.e + n - st.open) % 60, st.open FROM st JOIN p ON p.doc_id = st.doc_id AND p.i = st.i + 1),
+c AS (SELECT doc_id, start + unnest(range(0, whole)) * 60 AS at, 60 AS n FROM st WHERE whole > 0 UNION ALL SELECT doc_id, start + whole * 60, rest FROM st WHERE rest >= 20), w AS (SELECT doc_id, {S.plain_words("text")} AS w FROM documents)
+SELECT doc_id AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY c.at) - 1)::INT AS chunk, array_to_string(list_slice(w, c.at + 1, c.at + n), ' ') AS text FROM c JOIN w USING (doc_id)""")
 def packed_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return harvest.packed_paragraphs(documents(spark, d), low=20, high=60)
 
@@ -164,11 +174,13 @@ def comment_blocks(spark: SparkSession, d: str) -> DataFrame:
     return harvest.comment_blocks(documents(spark, d), "doc_id", "text")
 
 
-@query(rf"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split_regex(text, '\r\n|\r|\n')), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS s, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
+_HEADS = rf"""l AS (SELECT doc_id, regexp_replace(unnest(string_split_regex(text, '\r\n|\r|\n')), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS s, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
 x AS (SELECT *, lag(s) OVER w AS b, lead(s) OVER w AS a, max(CASE WHEN s <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 h AS (SELECT doc_id AS id, pos::INT AS pos, s AS heading FROM x WHERE s <> '' AND len({S.plain_words("s")}) <= 12 AND NOT regexp_matches(s, '[.!?"'')\]”’]$') AND NOT contains(s, '. ') AND NOT contains(s, '; ') AND regexp_matches(s, '^[\p{{Lu}}\p{{Nd}}]') AND b = '' AND a = '' AND above = 1
-  AND lower(s) NOT IN ('references', 'see also', 'external links', 'notes', 'further reading', 'bibliography', 'sources', 'citations')),
-n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM h) SELECT id, pos, heading FROM n WHERE n <= 12""")
+  AND lower(s) NOT IN ('references', 'see also', 'external links', 'notes', 'further reading', 'bibliography', 'sources', 'citations'))"""
+
+
+@query(f"WITH {_HEADS}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM h) SELECT id, pos, heading FROM n WHERE n <= 12")
 def headings(spark: SparkSession, d: str) -> DataFrame:
     return harvest.headings(documents(spark, d))
 
@@ -179,12 +191,20 @@ def leads(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", harvest.lead_sentence(F.col("lead")).alias("lead_sentence"), F.length("body").alias("body_chars"))
 
 
-@query()
+@query(f"""WITH {_HEADS}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM h), s AS (SELECT doc_id, {S.sentences("text")} AS s FROM documents),
+f AS (SELECT doc_id, 'title' AS rule, trim(title) AS text, len({S.plain_words("title")}) AS n FROM documents WHERE trim(title) <> '' UNION ALL SELECT id, 'heading', heading, len({S.plain_words("heading")}) FROM n WHERE n <= 12)
+SELECT doc_id, rule, CASE WHEN n BETWEEN 2 AND 5 THEN 'keyword' ELSE 'title' END AS form, text FROM f WHERE n BETWEEN 2 AND 12
+UNION ALL SELECT doc_id, 'claim', 'claim', unnest(list_slice(list_filter(list_slice(s, 1, 3), lambda x: {S.is_claim("x")}), 1, 1)) FROM s
+UNION ALL SELECT doc_id, 'ask', 'question', unnest(list_slice(list_filter(s, lambda x: ends_with(x, '?') AND len({S.plain_words("x")}) BETWEEN 3 AND 40), 1, 3)) FROM s""")
 def harvested(spark: SparkSession, d: str) -> DataFrame:
     return harvest.harvest(documents(spark, d), RANGES)
 
 
-@query()
+@query(rf"""WITH w AS (SELECT doc_id, title, {S.plain_words("text")} AS w, list_filter(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: starts_with(x, '#')) AS hd, ('0x' || substr(sha256('span' || chr(31) || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+o AS (SELECT *, floor(u * (len(w) - 48))::INT + 24 AS f FROM w),
+v AS (SELECT doc_id, 0 AS o, 'title' AS kind, title AS t FROM o UNION ALL SELECT doc_id, 1, 'heading', trim(regexp_replace(hd[1], '^[# ]+', '')) FROM o WHERE len(hd) > 0 UNION ALL SELECT doc_id, 2, 'span_head', array_to_string(list_slice(w, 1, 24), ' ') FROM o UNION ALL SELECT doc_id, 3, 'span_mid', array_to_string(list_slice(w, f + 1, f + 24), ' ') FROM o WHERE len(w) >= 60),
+g AS (SELECT doc_id, o, kind, {S.collapsed("t")} AS text FROM v WHERE len({S.plain_words("t")}) >= 3), d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {S.folded("text")} ORDER BY o) AS k FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS view FROM d WHERE k = 1) SELECT doc_id, view::INT AS view, kind, text FROM r WHERE view < 3""")
 def document_views(spark: SparkSession, d: str) -> DataFrame:
     return harvest.document_views(documents(spark, d))
 
@@ -200,7 +220,8 @@ def alias_carriers(spark: SparkSession, d: str) -> DataFrame:
     return harvest.carrier_pairs(docs, harvest.alias_lexicon(harvest.definitions(docs)))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, {S.sentences("text")} AS s, {S.key60("'pseudo|' || doc_id")} AS h FROM documents), k AS (SELECT doc_id, s[1] AS f, {S.plain_words("array_to_string(list_slice(s, (h % len(s)) + 1, len(s)), ' ')")} AS w, CASE WHEN (h >> 20) % 2 = 0 THEN 'short' ELSE 'long' END AS kind FROM s WHERE len(s) > 0)
+SELECT doc_id AS id, kind, CASE kind WHEN 'short' THEN f ELSE array_to_string(list_slice(w, 1, 320), ' ') END AS text FROM k WHERE CASE kind WHEN 'short' THEN len({S.plain_words("f")}) BETWEEN 4 AND 32 ELSE len(w) >= 64 END""")
 def pseudo_queries(spark: SparkSession, d: str) -> DataFrame:
     return harvest.pseudo_queries(documents(spark, d), "pseudo")
 
@@ -257,14 +278,45 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_duplicate_classes(documents(spark, d))
 
 
-@query()
+_GATE = f"""w AS (SELECT doc_id AS id, {S.words("text")} AS w FROM documents), f AS (SELECT *, min(id) OVER (PARTITION BY array_to_string(w, ' ')) AS first FROM w), o AS (SELECT id, w, list_sort({S.gram_keys("w")})[1:32] AS g FROM f WHERE id = first),
+gx AS (SELECT id, unnest(g) AS k FROM o), ln AS (SELECT DISTINCT id FROM (SELECT a.id FROM gx a JOIN gx b ON a.k = b.k AND b.id < a.id GROUP BY a.id, b.id HAVING count(*) >= 16)),
+sx AS (SELECT id, len(g) AS n, unnest(g) AS k FROM (SELECT id, {S.gram_keys("w", 4)} AS g FROM o WHERE len(w) < 39))"""
+
+
+def _gate_sql(share: str) -> str:
+    """CTE ``st`` (id, status)."""
+    return f"""{_GATE}, sn AS (SELECT DISTINCT id FROM (SELECT a.id FROM sx a JOIN sx b ON a.k = b.k AND b.id < a.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= least(a.n, b.n) * {share})),
+st AS (SELECT id, CASE WHEN id <> first THEN 'exact' WHEN id IN (SELECT id FROM ln) OR id IN (SELECT id FROM sn) THEN 'near' ELSE 'kept' END AS status FROM f)"""
+
+
+def _gate(spark: SparkSession, d: str, share: float = dedup.SHORT_SHARE) -> DataFrame:
+    return dedup.diversity_gate(documents(spark, d), "doc_id", "text", share=share)
+
+
+@query(f"""WITH {_gate_sql("0.5")}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE status = 'exact') AS exact, count(*) FILTER (WHERE status = 'near') AS near FROM st), r AS (SELECT *, n - exact AS d, near / greatest(n - exact, 1) AS rate FROM c)
+SELECT n, exact, near, round(rate, 5) AS rate, CASE WHEN rate > 0.25 THEN 'representatives' ELSE 'distinct' END AS action, CASE WHEN rate > 0.25 THEN d - near ELSE d END AS kept, CASE WHEN rate > 0.25 THEN d - near ELSE d END < 50000 AS dropped FROM r""")
 def diversity_gate(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.gate_report(dedup.diversity_gate(documents(spark, d), "doc_id", "text"), min_kept=500)
+    return dedup.gate_report(_gate(spark, d))
 
 
-@query()
+#: First texts at which the rate of near duplicates is read, and shares of common 4-grams at which it is told, as in the engine being matched.
+CURVE, SHARES = (200, 500, 1000, 2000), (0.4, 0.5, 0.6)
+
+
+@query(f"WITH {_gate_sql('0.5')}, i AS (SELECT status, row_number() OVER (ORDER BY id) AS i FROM st WHERE status <> 'exact') SELECT n::INT AS n, round(avg((status = 'near')::INT), 9) AS rate FROM i JOIN (SELECT unnest([200, 500, 1000, 2000]) AS n) ON i.i <= n GROUP BY n")
 def diversity_curve(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.diversity_curve(stage(dedup.diversity_gate(documents(spark, d), "doc_id", "text"), "gate"), [100, 300, 500])
+    return dedup.diversity_curve(stage(_gate(spark, d), "gate"), list(CURVE))
+
+
+@query(" UNION ALL ".join(f"SELECT {x}::DOUBLE AS share, (WITH {_gate_sql(str(x))} SELECT round(count(*) FILTER (WHERE status = 'near') / count(*) FILTER (WHERE status <> 'exact'), 9) FROM st) AS rate" for x in SHARES))
+def diversity_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of near duplicates by the share of 4-grams that short texts must have in common."""
+    out = None
+    for x in SHARES:
+        c = _gate(spark, d, x).agg((F.count_if(F.col("status") == "near") / F.count_if(F.col("status") != "exact")).alias("r"))
+        one = c.select(F.lit(x).alias("share"), F.round("r", 9).alias("rate"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 _QI = f"""pw AS (SELECT {S.words("text")} AS w FROM eval_item WHERE role = 'query'), 
@@ -348,7 +400,9 @@ def decontamination_cascade(spark: SparkSession, d: str) -> DataFrame:
     return decontam.cascade(units, q, rel, stage(banned, "banned"), stage(leaked, "leaked"))
 
 
-@query()
+@query(f"""WITH i AS (SELECT item_id, {S.words("text")} AS w FROM eval_item), d AS (SELECT DISTINCT {S.words("text")} AS w FROM documents), ex AS (SELECT item_id FROM i WHERE len(w) > 0 AND array_to_string(w, ' ') IN (SELECT array_to_string(w, ' ') FROM d)),
+a AS (SELECT item_id, unnest({S.query_gram_keys("w")}) AS k FROM i WHERE len(w) > 0), b AS (SELECT array_to_string(w, ' ') AS s, unnest({S.query_gram_keys("w")}) AS k FROM d WHERE len(w) > 0), ne AS (SELECT DISTINCT item_id FROM (SELECT item_id, s FROM a JOIN b USING (k) GROUP BY 1, 2 HAVING count(*) >= 4))
+SELECT label, count(*) AS items FROM (SELECT DISTINCT item_id, CASE WHEN item_id IN (SELECT item_id FROM ex) THEN 'exact' WHEN item_id IN (SELECT item_id FROM ne) THEN 'near' ELSE 'clean' END AS label FROM i) GROUP BY label""")
 def exposure(spark: SparkSession, d: str) -> DataFrame:
     return decontam.exposure(items(spark, d), documents(spark, d), "item_id").groupBy("label").agg(F.count(F.lit(1)).alias("items"))
 
@@ -409,3 +463,63 @@ def newest_of_family(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_titles(spark: SparkSession, d: str) -> DataFrame:
     return joins.fuzzy_pairs(documents(spark, d).where("title is not null"), "doc_id", X.title_shape(F.col("title")))
+
+
+_NAMED = """n AS (SELECT p_partkey AS id, string_split(p_type || ' ' || p_name, ' ') AS w, p_partkey % 3 AS form FROM part), t AS (SELECT id, form, w, upper(array_to_string(list_transform(w, lambda x: substr(x, 1, 1)), '')) AS short FROM n)"""
+_DENIED = ", ".join(f"'{x}'" for x in harvest.ABBREVIATION_DENY)
+
+
+def _named_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that define an abbreviation of a part's type and name: plainly, with function words, or wrongly."""
+    w = F.split(F.concat_ws(" ", "p_type", "p_name"), " ")
+    short = F.upper(F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), ""))
+    plain, loose = F.array_join(w, " "), F.concat(F.element_at(w, 1), F.lit(" of the "), F.array_join(F.slice(w, 2, F.size(w)), " "))
+    said = F.when(F.col("p_partkey") % 3 == 0, F.concat(plain, F.lit(" ("), short)).when(F.col("p_partkey") % 3 == 1, F.concat(loose, F.lit(" ( "), short)).otherwise(F.concat(plain, F.lit(" (Q"), short))
+    tail = F.concat(F.lit("). Later the "), plain, F.lit(" was moved to another shelf again."))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Order 7 holds one "), said, tail).alias("text"))
+
+
+@query(f"WITH {_NAMED} SELECT id, CASE form WHEN 0 THEN array_to_string(w, ' ') ELSE w[1] || ' of the ' || array_to_string(w[2:], ' ') END AS expansion, short AS abbreviation FROM t WHERE form < 2 AND lower(short) NOT IN ({_DENIED})")
+def definition_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.definitions(_named_parts(spark, d))
+
+
+_LEXICON = f"""{_NAMED}, x AS (SELECT DISTINCT id, lower(CASE form WHEN 0 THEN array_to_string(w, ' ') ELSE w[1] || ' of the ' || array_to_string(w[2:], ' ') END) AS expansion, short AS abbreviation FROM t WHERE form < 2 AND lower(short) NOT IN ({_DENIED})),
+lx AS (SELECT expansion, abbreviation, count(DISTINCT id) AS docs FROM x WHERE abbreviation IN (SELECT abbreviation FROM x GROUP BY 1 HAVING count(DISTINCT expansion) = 1) AND expansion IN (SELECT expansion FROM x GROUP BY 1 HAVING count(DISTINCT abbreviation) = 1) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_LEXICON} SELECT * FROM lx")
+def definition_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.alias_lexicon(harvest.definitions(_named_parts(spark, d)))
+
+
+_CODES = """c AS (SELECT o_orderkey AS id, o_orderstatus AS kind, o_custkey % 50 AS grp, md5(o_orderkey::VARCHAR) AS h, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS moment, o_orderkey % 4 AS form FROM orders)"""
+
+
+def _coded_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines that differ in ids, times and addresses only, but for their status."""
+    h = F.md5(F.col("o_orderkey").cast("string"))
+    part = lambda i, n: F.substring(h, i, n)
+    ident = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(13, 3), F.lit("-a"), part(16, 3), F.lit("-"), part(19, 12))
+    form = F.col("o_orderkey") % 4
+    what = F.when(form == 0, ident).when(form == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(form == 2, F.concat(F.lit("0x"), part(1, 10))).otherwise(h)
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("grp"), F.concat(F.lit("state "), "o_orderstatus", F.lit(" of "), what, F.lit(" noted")).alias("text"))
+
+
+@query(f"WITH {_CODES} SELECT id AS o_orderkey, 'state ' || kind || ' of <v_' || CASE form WHEN 0 THEN 'uuid' WHEN 1 THEN 'timestamp' WHEN 2 THEN 'address' ELSE 'hash' END || '> noted' AS form FROM c")
+def placeholder_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _coded_orders(spark, d).select("o_orderkey", X.placeholders(F.col("text")).alias("form"))
+
+
+@query(f"""WITH {_CODES}, f AS (SELECT 'state ' || kind || ' of <v_' || CASE form WHEN 0 THEN 'uuid' WHEN 1 THEN 'timestamp' WHEN 2 THEN 'address' ELSE 'hash' END || '> noted' AS form, CASE form WHEN 1 THEN moment ELSE h END AS v, grp FROM c)
+SELECT md5(form) AS form, count(DISTINCT v) AS texts, count(DISTINCT grp) AS groups, count(*) AS n, count(*) >= 5 AS fails FROM f GROUP BY f.form HAVING count(DISTINCT v) > 1 AND count(DISTINCT grp) > 1""")
+def placeholder_audit(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.placeholder_collisions(_coded_orders(spark, d), "text", "grp")
+
+
+@query(f"""WITH s AS (SELECT doc_id, {S.key60("array_to_string(w, ' ')")} AS k FROM (SELECT doc_id, {S.words("title")} AS w FROM documents) WHERE len(w) BETWEEN 4 AND 7), p AS (SELECT doc_id, unnest(list_transform(list_concat({_WHOLE[0]}, {_WHOLE[1]}), lambda g: {S.key60("g")})) AS k FROM (SELECT doc_id, {S.words("text")} AS w FROM documents))
+SELECT DISTINCT p.doc_id AS id, s.doc_id AS short_id FROM p JOIN s USING (k)""")
+def title_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of 4 to 7 words that a text holds whole."""
+    docs = documents(spark, d)
+    return decontam.contains_short(docs, docs.select(F.col("doc_id").alias("short_id"), F.col("title").alias("text")), "doc_id")

@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from . import corpus, inference, retrieval, samples  # noqa: F401, PLC0415
+    from . import corpus, files, inference, retrieval, rules, samples  # noqa: F401, PLC0415
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

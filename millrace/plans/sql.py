@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from millrace.functions import text as X
+
 
 def words(col: str) -> str:
     """``fingerprint_words``."""
@@ -79,3 +83,35 @@ def picks(sizes: str, reps: int, seed: str, stratum: str) -> str:
     keys = f"SELECT rep, {stratum}, n, {half32('h', 1)} AS one, {half32('h', 9)} AS two FROM (SELECT rep, {stratum}, n, md5('{seed}|' || rep || '|' || {stratum}) AS h FROM {sizes}, (SELECT unnest(range(0, {reps})) AS rep))"
     slots = f"SELECT rep, {stratum}, n, two, (unnest(range(0, n))::UBIGINT + one) & 4294967295 AS x FROM ({keys})"
     return f"SELECT rep, {stratum}, ((x * n::UBIGINT) >> 32)::BIGINT AS k FROM ({mixed32(f'SELECT * REPLACE (xor(x, two) AS x) FROM ({mixed32(slots)})')})"
+
+
+#: A boundary of words of letters, digits and _, before and after; other engines have none for all letters.
+EDGE = (r"(?:^|[^\p{L}\p{Nd}_])", r"(?:$|[^\p{L}\p{Nd}_])")
+_SPACE = r"[ \t\n\x0B\f\r]"
+
+
+def edged(pattern: str) -> str:
+    """A pattern for RE2 whose word boundaries stand at the ends of alternatives."""
+    out = re.sub(r"(^|\(\?i\)|\(\?:|\|)\\b", lambda m: m[1] + EDGE[0], pattern)
+    return out.replace(r"\b", EDGE[1]).replace("'", "''")
+
+
+def collapsed(col: str) -> str:
+    """``collapse_space``."""
+    return rf"trim(regexp_replace({col}, '{_SPACE}+', ' ', 'g'))"
+
+
+def sentences(col: str) -> str:
+    """``sentences``; a private character marks the breaks."""
+    marked = rf"""regexp_replace({collapsed(f"coalesce({col}, '')")}, '([.!?]) +([A-Z0-9"''(])', '\1' || chr(57344) || '\2', 'g')"""
+    return f"list_filter(list_transform(string_split({marked}, chr(57344)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+def is_claim(s: str) -> str:
+    first, verb = edged(X.FIRST_PERSON), edged(X.FINITE_VERB)
+    return f"(len({plain_words(s)}) BETWEEN 8 AND 40 AND NOT ends_with({s}, '?') AND NOT regexp_matches({s}, '{first}') AND regexp_matches({s}, '{verb}'))"
+
+
+def folded(col: str) -> str:
+    """``fold_case_space``."""
+    return f"replace({collapsed(f'lower({col})')}, 'ß', 'ss')"

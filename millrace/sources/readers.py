@@ -6,10 +6,13 @@ or a dangling reference raises when the rows are used, it is never skipped.
 
 from __future__ import annotations
 
-import io
+import hashlib
 import json
+import re
+import tempfile
+import urllib.parse
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,25 +95,65 @@ def question_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_lines(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """(member, line, value) of the members of zip files; each file is one task, members are streamed."""
+    """(member, line, value) of the members of zip files; each file is one task's, members are streamed.
+
+    Only the names of the files are rows: a task opens its archive by path,
+    copies it in pieces to a file of its own and reads members from there, so an
+    archive may be larger than a row or than memory.
+    """
+    conf = hadoop_settings(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for data in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for name in sorted(z.namelist()):
-                        if not name.endswith(suffix):
-                            continue
-                        with z.open(name) as f:
-                            rows = []
-                            for n, raw in enumerate(f):
-                                rows.append((name, n, raw.decode("utf-8").rstrip("\n")))
-                                if len(rows) == 10_000:
-                                    yield pd.DataFrame(rows, columns=["member", "line", "value"])
-                                    rows = []
-                            yield pd.DataFrame(rows, columns=["member", "line", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "member string, line long, value string")
+            for name in pdf["path"]:
+                with tempfile.TemporaryFile() as local:  # this task's only; gone with it
+                    for piece in read_pieces(name, conf):
+                        local.write(piece)
+                    local.seek(0)
+                    with zipfile.ZipFile(local) as z:
+                        for member in sorted(z.namelist()):
+                            if not member.endswith(suffix):
+                                continue
+                            with z.open(member) as f:
+                                rows = []
+                                for n, raw in enumerate(f):
+                                    rows.append((member, n, raw.decode("utf-8").rstrip("\n")))
+                                    if len(rows) == 10_000:
+                                        yield pd.DataFrame(rows, columns=["member", "line", "value"])
+                                        rows = []
+                                yield pd.DataFrame(rows, columns=["member", "line", "value"])
+
+    return file_list(spark, path).select("path").mapInPandas(run, "member string, line long, value string")
+
+
+def hadoop_settings(spark: SparkSession) -> dict[str, str]:
+    """What an executor needs to open a file of the cluster's file system."""
+    return {"fs": str(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS"))}
+
+
+def file_list(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of the files below a folder, one file a partition at most; contents are not read."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+    n = max(1, x.count())
+    return x.repartition(min(n, 10_000), "path")
+
+
+def file_system(path: str, settings: dict[str, str]):  # noqa: ANN201
+    """(file system, name in it) of a path, as an executor opens it; a path without a scheme is of the default file system."""
+    import pyarrow.fs as fs  # noqa: PLC0415
+
+    name = path if "://" in path or path.startswith("file:") else settings["fs"].rstrip("/") + path
+    if name.startswith("file:"):
+        return fs.LocalFileSystem(), urllib.parse.unquote(re.sub(r"^file:/+", "/", name))
+    return fs.FileSystem.from_uri(name)
+
+
+def read_pieces(path: str, settings: dict[str, str], size: int = 8 << 20) -> Iterator[bytes]:
+    """The bytes of a file in pieces."""
+    where, name = file_system(path, settings)
+    with where.open_input_stream(name, compression=None) as f:
+        while piece := f.read(size):
+            yield piece
 
 
 def text_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
@@ -137,6 +180,16 @@ def vectors(spark: SparkSession, path: str, ids: DataFrame | None = None) -> Dat
     return v if ids is None else v.join(ids.select("doc_id"), "doc_id", "left_semi")
 
 
+def verified_vectors(spark: SparkSession, path: str, manifest: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``vectors`` of files that are exactly those of a manifest (name, bytes, sha256); any other file, size or hash is an error before a row is read."""
+    from .sinks import file_manifest, verify_files  # noqa: PLC0415
+
+    bad = verify_files(file_manifest(spark, path, "*.parquet"), manifest).limit(5).collect()
+    if bad:
+        raise ValueError(f"the files differ from their manifest: {[(r.name, r.problem) for r in bad]}")
+    return vectors(spark, path, ids)
+
+
 def row_index(stores: DataFrame) -> DataFrame:
     """(store, doc_id, row_id): position over all stores in the order of store, then id; stable whatever the layout.
 
@@ -147,6 +200,66 @@ def row_index(stores: DataFrame) -> DataFrame:
     return r.select("store", "doc_id", (F.col("rn") - 1).alias("row_id"))
 
 
+def fetch(spark: SparkSession, client: Callable[[str, str | None], tuple[list[dict], str | None]], endpoints: Sequence[str], root: str) -> int:
+    """Fetch all pages of each endpoint into immutable files below ``root``; returns how many pages were fetched now.
+
+    ``client(endpoint, cursor)`` gives the rows of a page and the cursor of the
+    next one, None at the end; it may be a live client or stored answers. A page is
+    a file of JSON rows, named with its number, and beside it a receipt with the
+    hash of its bytes and the next cursor. A later call checks every page that is
+    there, goes on at the first that is missing and asks finished endpoints nothing.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    files = at("x").getFileSystem(conf)
+
+    def read(name: str) -> bytes | None:
+        if not files.exists(at(name)):
+            return None
+        f = files.open(at(name))
+        try:
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(f))
+        finally:
+            f.close()
+
+    def write(name: str, data: bytes) -> None:
+        part = at(f".{name.replace('/', '_')}.part")
+        f = files.create(part, True)
+        f.write(bytearray(data))
+        f.close()
+        files.mkdirs(at(name).getParent())
+        if not files.rename(part, at(name)):
+            raise OSError(f"{name} could not be written")
+
+    fetched = 0
+    for endpoint in endpoints:
+        base = hashlib.sha256(endpoint.encode()).hexdigest()[:24]
+        number, cursor = 1, None
+        while True:
+            page, slip = f"{base}-{number:06d}.json", f"_receipts/{base}-{number:06d}.json"
+            receipt = read(slip)
+            if receipt is not None:
+                known = json.loads(receipt)
+                data = read(page)
+                if data is None or hashlib.sha256(data).hexdigest() != known["sha256"] or known["endpoint"] != endpoint:
+                    raise ValueError(f"page {number} of {endpoint} is not what was fetched")
+            else:
+                rows, following = client(endpoint, cursor)
+                data = ("[" + ",".join(dumps(r) for r in rows) + "]").encode()
+                if read(page) is None:
+                    write(page, data)
+                known = {"endpoint": endpoint, "sha256": hashlib.sha256(data).hexdigest(), "next": following}
+                if hashlib.sha256(read(page)).hexdigest() != known["sha256"]:
+                    raise ValueError(f"page {number} of {endpoint} changed while it was fetched")
+                write(slip, dumps(known).encode())
+                fetched += 1
+            if known["next"] is None:
+                break
+            number, cursor = number + 1, known["next"]
+    return fetched
+
+
 def api_pages(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
     """Rows of stored API pages: each file one JSON array, with ``page_file``."""
     inner = schema if isinstance(schema, str) else schema.simpleString()

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import uuid
+import zlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import stage
+
+from .readers import file_list, file_system, hadoop_settings, read_pieces
+
 
 def save_run(run: DataFrame, path: str, system: str, dataset: str) -> DataFrame:
     """Write (qid, doc_id, score, rank) under system and dataset and return its manifest row.
@@ -48,11 +56,49 @@ def write_jsonl(df: DataFrame, path: str, order: Sequence[str] = (), compressed:
     write_once(x, path, "json", **({"compression": "gzip"} if compressed else {}))
 
 
+def write_tsv(df: DataFrame, path: str, compressed: bool = False) -> None:
+    """Lines of the columns with tabs between them, as strings. A line break in a value is an error, as is a tab in any but the last; null is an empty value."""
+    *lead, last = df.columns
+    ok = ~F.coalesce(F.col(last).cast("string"), F.lit("")).rlike("[\n\r]")
+    for c in lead:
+        ok &= ~F.coalesce(F.col(c).cast("string"), F.lit("")).rlike("[\t\n\r]")
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    x = df.select(line.alias("value"), F.assert_true(ok, F.lit("a value can't be written in a line")).alias("ok")).where("ok is null").select("value")
+    write_once(x, path, "text", **({"compression": "gzip"} if compressed else {}))
+
+
+def write_files(files: DataFrame, path: str) -> int:
+    """Write (name, content) as one file each, from the executors' rows through the driver's file system, some at a time; returns their number."""
+    spark = files.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    where = at("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = 0
+    for r in files.select("name", "content").toLocalIterator():  # a partition at a time
+        out = where.create(at(r.name), True)
+        out.write(bytearray(r.content))
+        out.close()
+        n += 1
+    return n
+
+
 def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(name, bytes, sha256) of the files below a folder, hashed by the executors; bookkeeping files left out."""
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    """(name, bytes, sha256) of the files below a folder, hashed in pieces by the executors; bookkeeping files left out."""
+    settings = hadoop_settings(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums = []
+            for path in pdf["path"]:
+                h = hashlib.sha256()
+                for piece in read_pieces(path, settings):
+                    h.update(piece)
+                sums.append(h.hexdigest())
+            yield pdf.assign(sha256=sums)
+
+    x = file_list(spark, root, pattern).mapInPandas(run, "path string, length long, sha256 string")
     name = F.regexp_replace(F.col("path"), r"^.*?" + _escaped(root), "")
-    return x.select(F.regexp_replace(name, "^/+", "").alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("name").rlike(r"(^|/)[._]"))
+    return x.select(F.regexp_replace(name, "^/+", "").alias("name"), F.col("length").alias("bytes"), "sha256").where(~F.col("name").rlike(r"(^|/)[._]"))
 
 
 def _escaped(root: str) -> str:
@@ -68,11 +114,70 @@ def verify_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return j.select("name", p.alias("problem")).where("problem is not null")
 
 
-def archive_corpus(docs: DataFrame, path: str) -> DataFrame:
-    """Compressed JSON lines, sorted by id in each part, and their manifest with row counts."""
-    x = docs.select(*sorted(docs.columns)).sortWithinPartitions("doc_id")
-    write_once(x, path, "json", compression="gzip")
-    return file_manifest(docs.sparkSession, path, "*.gz")
+def archive_corpus(docs: DataFrame, path: str, each: int = 100_000) -> DataFrame:
+    """Compressed JSON lines below ``path`` and their manifest (name, rows, bytes, sha256); equal corpora give equal files, byte by byte.
+
+    Rows go to a file by a hash of doc_id and lie in it in the order of doc_id,
+    then of the line itself; the number of files depends on the number of rows
+    only, about ``each`` in one. Each task writes whole files under their final
+    names, so a task that is run again writes the same.
+    """
+    spark = docs.sparkSession
+    n = max(1, -(-docs.count() // each))
+    settings = hadoop_settings(spark)
+    line = F.to_json(F.struct(*sorted(docs.columns)))
+    x = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n)).alias("file"), "doc_id", line.alias("line"))
+    x = x.repartition(min(n, 10_000), "file").sortWithinPartitions("file", "doc_id", "line").select("file", "line")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows, out = None, 0, None
+        done = []
+
+        def close() -> None:
+            if out is not None:
+                done.append((f"part-{now:06d}.jsonl.gz", rows, *out.finish()))
+
+        for pdf in batches:
+            for file, text in zip(pdf["file"], pdf["line"], strict=True):
+                if file != now:
+                    close()
+                    now, rows, out = file, 0, _Packed(f"{path}/part-{file:06d}.jsonl.gz", settings)
+                out.write(text.encode() + b"\n")
+                rows += 1
+        close()
+        yield pd.DataFrame(done, columns=["name", "rows", "bytes", "sha256"])
+
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if where.exists(made):
+        raise FileExistsError(f"{path} already exists")
+    where.mkdirs(made)
+    return stage(x.mapInPandas(run, "name string, rows long, bytes long, sha256 string"), "archive")
+
+
+class _Packed:
+    """A gzip file without name and time, hashed while it is written; it appears under its name when it is whole."""
+
+    def __init__(self, path: str, settings: dict[str, str]):
+        where, name = file_system(path, settings)
+        self.where, self.name, self.part = where, name, f"{name}.{uuid.uuid4().hex}.part"
+        self.out = where.open_output_stream(self.part, compression=None)
+        self.pack, self.sha, self.size = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha256(), 0
+
+    def _put(self, data: bytes) -> None:
+        if data:
+            self.sha.update(data)
+            self.size += len(data)
+            self.out.write(data)
+
+    def write(self, data: bytes) -> None:
+        self._put(self.pack.compress(data))
+
+    def finish(self) -> tuple[int, str]:
+        self._put(self.pack.flush())
+        self.out.close()
+        self.where.move(self.part, self.name)
+        return self.size, self.sha.hexdigest()
 
 
 def table_identity(df: DataFrame) -> DataFrame:
