@@ -6,13 +6,14 @@ layout, and repeatable in SQL. They are not the draws of any other generator.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing as H
+from millrace.session import bounded_broadcast, stage
 
 from .ranking import distributed_row_number, range_numbers
 
@@ -196,25 +197,40 @@ def micro_chunks(rows: DataFrame, batch: str, ident: str, length: str, cap: int)
 def budgeted_subset(rows: DataFrame, ident: str, positives: str, budget: int, seed: str) -> DataFrame:
     """Rows admitted in seeded order while the distinct positives fit a budget; a row that does not fit is passed over.
 
-    The rule depends on every earlier choice, so one task walks the candidates.
-    It is sent only rows that can matter: those with at most ``budget`` positives,
-    in seeded order, until the budget is met, and keeps at most ``budget`` ids.
+    A row that needs more new positives than the budget has left can never fit
+    later, and one that needs none always does, so only rows in between depend on
+    each other. They are taken in seeded order, a bounded number at a time; all
+    rows up to the last of them are then decided at once, and so on until nothing
+    in between is left. Rows without positives are left out, null positives are
+    none; at most ``budget`` positives and as many candidates come to the driver.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have: set = set()
-        for pdf in batches:
-            keep = []
-            for i, p in zip(pdf[ident], pdf[positives], strict=True):
-                new = {x for x in p if x is not None} - have
-                if len(have) + len(new) <= budget:
-                    have |= new
-                    keep.append(i)
-            yield pd.DataFrame({ident: keep})
-
-    kinds = dict(rows.dtypes)
-    ordered = rows.where(F.size(positives).between(1, budget)).select(ident, positives, H.order_key(seed, F.col(ident)).alias("h")).repartition(1).sortWithinPartitions("h", ident)
-    return ordered.mapInPandas(run, f"{ident} {kinds[ident]}")
+    spark = rows.sparkSession
+    kind = dict(rows.dtypes)[ident]
+    x = rows.where(F.col(ident).isNotNull() & (F.size(positives) > 0)).select(F.col(ident).alias("id"), F.array_distinct(F.filter(positives, lambda p: p.isNotNull())).alias("p"), H.order_key(seed, F.col(ident)).alias("h"))
+    x = stage(x, "candidates")
+    item = dict(x.dtypes)["p"]
+    have: set = set()
+    done, out = None, None  # (h, id) of the last row that is decided
+    while True:
+        known = F.lit(sorted(have)).cast(item) if have else F.array().cast(item)
+        new = F.size(F.array_except("p", known))
+        left = budget - len(have)
+        after = F.lit(True) if done is None else (F.col("h") > done[0]) | ((F.col("h") == done[0]) & (F.col("id") > done[1]))
+        some = x.where(after & new.between(1, left)).orderBy("h", "id").limit(max(1000, budget)).collect() if left else []  # bounded
+        taken = []
+        for r in some:
+            more = set(r.p) - have
+            if len(have) + len(more) <= budget:
+                have |= more
+                taken.append((r.id,))
+        upto = F.lit(True) if not some else (F.col("h") < some[-1].h) | ((F.col("h") == some[-1].h) & (F.col("id") <= some[-1].id))
+        one = x.where(after & upto & (new == 0)).select("id")
+        if taken:
+            one = one.union(spark.createDataFrame(taken, f"id {kind}"))
+        out = one if out is None else out.union(one)
+        if not some:
+            return out.select(F.col("id").alias(ident))
+        done = (some[-1].h, some[-1].id)
 
 
 def topped_up(docs: DataFrame, positives: DataFrame, size: int, seed: str) -> DataFrame:
@@ -229,7 +245,7 @@ def topped_up(docs: DataFrame, positives: DataFrame, size: int, seed: str) -> Da
 
 def two_pass_draw(docs: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """Full rows of n ids: ids are drawn first, so only they read the wide columns."""
-    return docs.join(F.broadcast(lowest_hash(docs, key, n, seed)), key, "left_semi")  # n ids
+    return docs.join(bounded_broadcast(lowest_hash(docs, key, n, seed)), key, "left_semi")
 
 
 def best_first(rows: DataFrame, form: str, score: str, order: list[str], quota: int) -> DataFrame:

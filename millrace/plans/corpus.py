@@ -226,6 +226,12 @@ def pseudo_queries(spark: SparkSession, d: str) -> DataFrame:
     return harvest.pseudo_queries(documents(spark, d), "pseudo")
 
 
+@query(rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(57344), 'g'), chr(57344)), lambda x: x), lambda x: x <> '') AS s FROM documents), w AS (SELECT doc_id, {S.plain_words("s[1]")} AS w FROM s)
+SELECT doc_id, CASE WHEN len(w) >= 4 THEN array_to_string(list_slice(w, 1, 32), ' ') END AS span FROM w""")
+def first_spans(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", X.first_span(F.col("text")).alias("span"))
+
+
 @query(f"""WITH o AS (SELECT artifact_id, created_at AS t, doc_id, row_number() OVER (PARTITION BY artifact_id ORDER BY created_at NULLS FIRST, doc_id) AS n FROM documents WHERE kind = 'issue_opening' AND artifact_id IS NOT NULL),
 a AS (SELECT d.artifact_id, d.doc_id, o.doc_id AS opening, row_number() OVER (PARTITION BY d.artifact_id ORDER BY d.created_at, d.doc_id) AS n FROM documents d JOIN o ON o.artifact_id = d.artifact_id AND o.n = 1
   WHERE d.kind IN ('issue_comment', 'review_comment') AND len({S.plain_words("d.text")}) >= 16 AND d.created_at > o.t)

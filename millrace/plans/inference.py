@@ -152,7 +152,8 @@ def price_regression(spark: SparkSession, d: str) -> DataFrame:
     return x.select("l_returnflag", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("se", 4).alias("se"))
 
 
-@query()
+@query("""WITH m AS (SELECT month(o_orderdate)::DOUBLE AS x, avg(o_totalprice) AS y FROM orders GROUP BY 1), g AS (SELECT (unnest(range(1, 21)) / 10)::DOUBLE AS exponent), u AS (SELECT exponent, pow(x, -exponent) AS u, y FROM m, g),
+f AS (SELECT exponent, regr_intercept(y, u) AS a, regr_slope(y, u) AS b, round(regr_syy(y, u) - regr_slope(y, u) * regr_slope(y, u) * regr_sxx(y, u), 9) AS sse FROM u GROUP BY exponent) SELECT exponent, round(a, 6) AS a, round(b, 6) AS b, round(sse, 6) AS sse FROM f ORDER BY f.sse, exponent LIMIT 1""")
 def learning_curve(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "orders").groupBy(F.month("o_orderdate").alias("m")).agg(F.avg("o_totalprice").alias("y"))
     return aggregates.power_fit(x, "m", "y")

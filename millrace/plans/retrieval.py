@@ -385,7 +385,12 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return mining.hard_negatives(system_run(spark, d, "dense"), qrels(spark, d), banned, 8)
 
 
-@query()
+@query(f"""WITH q AS ({S.QRELS}), f AS (SELECT qid, min(doc_id) AS doc_id FROM q WHERE doc_id IS NOT NULL GROUP BY qid), a AS ({S.RUN.format("dense")}), b AS ({S.RUN.format("lexical")}),
+t AS (SELECT * FROM (SELECT a.qid, a.doc_id, row_number() OVER (PARTITION BY a.qid ORDER BY score DESC, a.doc_id) AS slot FROM a JOIN f ON f.qid = a.qid WHERE a.doc_id <> f.doc_id) WHERE slot <= 4), g1 AS (SELECT qid, doc_id FROM f UNION ALL SELECT qid, doc_id FROM t),
+s AS (SELECT * FROM (SELECT b.qid, b.doc_id, row_number() OVER (PARTITION BY b.qid ORDER BY score DESC, b.doc_id) AS slot FROM b JOIN f ON f.qid = b.qid WHERE (b.qid, b.doc_id) NOT IN (SELECT qid, doc_id FROM g1)) WHERE slot <= 4), g2 AS (SELECT * FROM g1 UNION ALL SELECT qid, doc_id FROM s),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY {S.order_key("mix", "doc_id")}, doc_id) - 1 AS k FROM (SELECT DISTINCT doc_id FROM bank WHERE doc_id IS NOT NULL)), n AS (SELECT count(*) AS n FROM o), i AS (SELECT f.qid, unnest(range(0, 12)) AS i FROM f),
+u AS (SELECT i.qid, o.doc_id, i FROM i, n JOIN o ON o.k = ({S.key60("'mix|' || i.qid")} + i) % n), v AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY i, doc_id) AS slot FROM u WHERE (qid, doc_id) NOT IN (SELECT qid, doc_id FROM g2)) WHERE slot <= 3)
+SELECT qid, 'positive' AS source, 1::INT AS slot, doc_id FROM f UNION ALL SELECT qid, 'teacher', slot::INT, doc_id FROM t UNION ALL SELECT qid, 'second', slot::INT, doc_id FROM s UNION ALL SELECT qid, 'uniform', slot::INT, doc_id FROM v""")
 def candidate_mix(spark: SparkSession, d: str) -> DataFrame:
     pool = table(spark, d, "bank").where("doc_id is not null").select("doc_id").distinct()
     return mining.candidate_mix(qrels(spark, d), stage(system_run(spark, d, "dense"), "run"), stage(system_run(spark, d, "lexical"), "run"), stage(pool, "pool"), 4, 4, 3, "mix")

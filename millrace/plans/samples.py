@@ -15,7 +15,7 @@ from millrace.streaming import ingest
 
 from . import sql as S
 from .registry import query
-from .retrieval import _vector_run, documents
+from .retrieval import _KNN, _vector_run, documents
 
 
 @query("""WITH h AS (SELECT DISTINCT source, qid, sha256(coalesce(source || ':', '') || qid) AS h FROM query_spec WHERE qid IS NOT NULL),
@@ -124,13 +124,18 @@ def token_batches(spark: SparkSession, d: str) -> DataFrame:
     return sampling.token_batches(x, "source", "doc_id", "t", 20, 20000, {"tracker": 0.7, "manual": 0.3}, "tok")
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, n, floor((row_number() OVER (ORDER BY n, {S.order_key('len', 'doc_id')}, doc_id) - 1) / 32)::BIGINT AS b FROM l),
+o AS (SELECT b, row_number() OVER (ORDER BY {S.order_key('len', 'b')}, b) - 1 AS batch FROM (SELECT DISTINCT b FROM r)), i AS (SELECT batch, doc_id, n, row_number() OVER (PARTITION BY batch ORDER BY n, doc_id) AS i FROM r JOIN o USING (b)),
+s(batch, doc_id, i, chunk, k) AS (SELECT batch, doc_id, i, 0, 1 FROM i WHERE i = 1 UNION ALL SELECT i.batch, i.doc_id, i.i, CASE WHEN (k + 1) * n > 8000 THEN chunk + 1 ELSE chunk END, CASE WHEN (k + 1) * n > 8000 THEN 1 ELSE k + 1 END FROM s JOIN i ON i.batch = s.batch AND i.i = s.i + 1)
+SELECT batch, chunk, doc_id FROM s""")
 def micro_chunks(spark: SparkSession, d: str) -> DataFrame:
     x = sampling.length_batches(documents(spark, d).where("text is not null").select("doc_id", F.length("text").alias("n")), "n", "doc_id", 32, "len")
     return sampling.micro_chunks(x, "batch", "doc_id", "n", 8000)
 
 
-@query()
+@query(f"""WITH RECURSIVE q AS (SELECT qid, list_distinct(list_filter(max(positive_ids), lambda x: x IS NOT NULL)) AS p, row_number() OVER (ORDER BY {S.order_key('bud', 'qid')}, qid) AS i FROM query_spec WHERE qid IS NOT NULL GROUP BY qid HAVING len(max(positive_ids)) > 0),
+s(i, qid, have, ok) AS (SELECT 0::BIGINT, NULL::VARCHAR, []::VARCHAR[], false UNION ALL SELECT q.i, q.qid, CASE WHEN len(list_distinct(list_concat(have, p))) <= 200 THEN list_distinct(list_concat(have, p)) ELSE have END, len(list_distinct(list_concat(have, p))) <= 200 FROM s JOIN q ON q.i = s.i + 1)
+SELECT qid FROM s WHERE ok""")
 def budgeted_subset(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_spec").where("qid is not null").groupBy("qid").agg(F.max("positive_ids").alias("positive_ids"))
     return sampling.budgeted_subset(q, "qid", "positive_ids", 200, "bud")
@@ -178,7 +183,11 @@ def term_ranking(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.ranked_terms(_term_stats(spark, d), 100).select("pos", "term")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STATS}, c AS (SELECT *, CASE WHEN regexp_matches(term, '[0-9]') THEN 'numeric' ELSE 'general' END AS domain FROM st), e AS (SELECT *, (term = 'k8s')::INT AS pin FROM c WHERE (docs >= 2 AND contexts >= 2 OR term = 'k8s')
+  AND (term = 'k8s' OR docs >= 4 AND contexts >= 4 OR NOT (length(term) <= 6 AND (regexp_matches(term, '[0-9]') OR NOT regexp_matches(term, '[aeiouy]'))))),
+d AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY pin DESC, score DESC, docs DESC, term) AS n FROM e), i AS (SELECT *, row_number() OVER (ORDER BY pin DESC, score DESC, docs DESC, term) AS i FROM d WHERE n <= 80),
+s(i, term, domain, pin, g, m, took) AS (SELECT 0::BIGINT, '', '', 0, 0, 0, false UNION ALL SELECT i.i, i.term, i.domain, i.pin, g + (i.domain = 'general' AND g < 40 AND g + m < 60)::INT, m + (i.domain = 'numeric' AND m < 40 AND g + m < 60)::INT, g + m < 60 AND CASE i.domain WHEN 'general' THEN g < 40 ELSE m < 40 END FROM s JOIN i ON i.i = s.i + 1)
+SELECT (row_number() OVER (ORDER BY i))::INT AS pos, term, domain, CASE pin WHEN 1 THEN 'pinned' ELSE 'ranked' END AS reason FROM s WHERE took""")
 def vocabulary_selection(spark: SparkSession, d: str) -> DataFrame:
     s = _term_stats(spark, d).withColumn("domain", F.when(F.col("term").rlike("[0-9]"), "numeric").otherwise("general"))
     return vocabulary.select_terms(s, 2, 2, 60, 40, pinned=("k8s",))
@@ -191,7 +200,8 @@ def term_inventory(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.inventory(documents(spark, d), terms)
 
 
-@query()
+@query(f"""WITH q AS (SELECT qid, text, family, delivery FROM query_spec WHERE qid IS NOT NULL), v AS (SELECT delivery > 3 AS c, unnest(['id', 'text', 'signature', 'family']) AS kind, unnest([qid, {S.folded("text")}, array_to_string(list_sort(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._+#/:-]*'), lambda t: lower(t))), ' '), family]) AS value FROM q WHERE delivery IS NOT NULL),
+g AS (SELECT * FROM v WHERE value IS NOT NULL AND value <> '') SELECT 'repeated_' || kind AS problem, value, count(*) AS n FROM g WHERE kind <> 'family' GROUP BY kind, value HAVING count(*) > 1 UNION ALL SELECT 'shared_' || kind, value, 2 FROM g GROUP BY kind, value HAVING count(DISTINCT c) = 2""")
 def split_problems(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_spec").select("qid", "text", "family", "delivery").where("qid is not null")
     return vocabulary.split_problems(q.where("delivery <= 3"), q.where("delivery > 3"))
@@ -245,7 +255,7 @@ def row_index(spark: SparkSession, d: str) -> DataFrame:
     return readers.row_index(documents(spark, d).where("source is not null").select(F.col("source").alias("store"), F.col("unit_id").alias("doc_id")))
 
 
-@query()
+@query(f"WITH {_KNN} SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10")
 def run_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A run saved, its manifest checked and read back."""
     root = f"{shared_dir(spark)}/runs-{uuid4().hex[:12]}"
@@ -277,13 +287,13 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query()
+@query("SELECT DISTINCT unit_id FROM documents WHERE ingested_at IS NOT NULL AND unit_id IS NOT NULL")
 def stream_first_wins(spark: SparkSession, d: str) -> DataFrame:
     """One row of each unit from the ingestion log, as a stream."""
     return _streamed(spark, d, "documents", lambda s: ingest.first_wins(s.where("ingested_at is not null and unit_id is not null"), "unit_id", "ingested_at", "3650 days").select("unit_id"))
 
 
-@query()
+@query("SELECT doc_id, created_at FROM documents WHERE created_at <= TIMESTAMPTZ '2025-06-01 00:00:00+00'")
 def stream_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, "documents", lambda s: ingest.admitted(s, "created_at", "2025-06-01 00:00:00").select("doc_id", "created_at"))
 

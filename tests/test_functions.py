@@ -101,3 +101,10 @@ def test_let_evaluates_like_the_value(spark):
     r = random.Random(1)
     texts = [" ".join(r.choice("ab") for _ in range(r.randrange(6))) for _ in range(20)]
     assert col(spark, A.let(F.length("t"), lambda n: n + n), texts) == [2 * len(t) for t in texts]
+
+
+def test_sentences_keep_their_last_characters(spark):
+    t = "One has 10. Two ends in 1. Three is 2? It ends with 3"
+    x = spark.createDataFrame([(t,), (None,), ("a.b c! (d",)], "t string").select(X.sentences(F.col("t")).alias("s"), X.spans(F.col("t")).alias("p")).collect()
+    assert x[0].s == ["One has 10.", "Two ends in 1.", "Three is 2?", "It ends with 3"] == x[0].p
+    assert x[1].s is None and x[2].s == ["a.b c!", "(d"] and x[2].p == ["a.b c!", "(d"]
