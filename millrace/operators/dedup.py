@@ -63,30 +63,40 @@ def gram_classes(rows: DataFrame, ident: str, grams: Column) -> tuple[DataFrame,
     return g.select("id", "set_id"), stage(sets, "sets")
 
 
-def _prefixes(sets: DataFrame, keep: Column) -> DataFrame:
-    """(set_id, gram) of the ``keep`` rarest grams of each set, rare first, then by gram."""
-    posted = sets.select("set_id", F.explode("grams").alias("gram"))
+def _placed(sets: DataFrame) -> DataFrame:
+    """(set_id, gram, i, n): the grams of each set with their place, rare first, then by gram, and the set's size. Grams of one set alone count for the places but are left out, as they can't be shared."""
+    posted = sets.select("set_id", "n", F.explode("grams").alias("gram"))
     df = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    # every gram counts in the order, but a gram of one set alone can't be shared
-    all_df = salted_join(posted, df, ["gram"], ["set_id"])
     w = Window.partitionBy("set_id").orderBy("df", "gram")
-    cut = all_df.withColumn("r", F.row_number().over(w)).join(sets.select("set_id", keep.alias("keep")), "set_id").where("r <= keep and df > 1")
-    return cut.select("set_id", "gram")
+    return salted_join(posted, df, ["gram"], ["set_id"]).withColumn("i", F.row_number().over(w)).where("df > 1").select("set_id", "gram", "i", "n")
 
 
-def similar_sets(sets: DataFrame, prefix: Column, enough: Column, compatible: Column | None = None) -> DataFrame:
-    """(a, b, shared), a before b: pairs of sets that meet in a prefix and satisfy ``enough`` over (shared, n, m)."""
-    p = stage(_prefixes(sets, prefix), "prefix")
-    size = sets.select("set_id", "n")
-    q = p.join(size, "set_id")
-    left, right = q.select(F.col("set_id").alias("a"), "gram", "n"), q.select(F.col("set_id").alias("b"), "gram", F.col("n").alias("m"))
+def similar_sets(sets: DataFrame, prefix: Column, enough: Column, compatible: Column | None = None, least: Column | None = None, smaller_first: bool = False) -> DataFrame:
+    """(a, b, shared), a before b: pairs of sets that meet in a prefix and satisfy ``enough`` over (shared, n, m).
+
+    ``prefix`` is how many of the rarest grams of a set of n must hold a shared one.
+    ``least``, over (n, m), is the fewest grams that ``enough`` asks for: what
+    comes after the first shared gram of a pair must make up for the rest. With
+    ``smaller_first`` the prefix is that of the smaller set only, and meets all
+    grams of the larger one.
+    """
+    p = stage(_placed(sets), "grams")
+    head = p.where(F.col("i") <= prefix)
     cond = F.col("a") < F.col("b")
+    if smaller_first:
+        cond = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & cond)
     if compatible is not None:
         cond = cond & compatible
-    cand = left.join(right, "gram").where(cond).select("a", "b").distinct()
+    left = head.select(F.col("set_id").alias("a"), "gram", "n", "i")
+    right = (p if smaller_first else head).select(F.col("set_id").alias("b"), "gram", F.col("n").alias("m"), F.col("i").alias("j"))
+    met = salted_join(left, right, ["gram"], ["a"]).where(cond).groupBy("a", "b").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.first("n").alias("n"), F.first("m").alias("m"))
+    if least is not None:
+        met = met.where(1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= least)
+    cand = met.select("a", "b")
     ga, gb = sets.select(F.col("set_id").alias("a"), F.col("grams").alias("x"), "n"), sets.select(F.col("set_id").alias("b"), F.col("grams").alias("y"), F.col("n").alias("m"))
-    full = cand.join(ga, "a").join(gb, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return full.where(enough).select("a", "b", "shared", "n", "m")
+    full = salted_join(salted_join(cand, ga, ["a"], ["b"]), gb, ["b"], ["a"]).withColumn("shared", F.size(F.array_intersect("x", "y")))
+    ordered = F.col("a") < F.col("b")
+    return full.where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", F.when(ordered, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(ordered, F.col("m")).otherwise(F.col("n")).alias("m"))
 
 
 def near_duplicate_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -103,7 +113,8 @@ def near_duplicate_classes(docs: DataFrame, ident: str = "doc_id", text: str = "
     need = F.ceil(F.col("n") * similarity - 1e-9)
     lengths = (F.col("n") >= F.col("m") * similarity - 1e-9) & (F.col("m") >= F.col("n") * similarity - 1e-9)
     jaccard = F.col("shared") >= (F.col("n") + F.col("m") - F.col("shared")) * similarity - 1e-9
-    pairs = stage(similar_sets(sets, F.col("n") - need + 1, jaccard, lengths), "pairs")
+    fewest = F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9)
+    pairs = stage(similar_sets(sets, F.col("n") - need + 1, jaccard, lengths, fewest), "pairs")
     roots = labelled(sets.select(F.col("set_id").alias("node")), pairs)
     links = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("set_id")).agg(F.count(F.lit(1)).alias("links"))
     of_set = roots.withColumnRenamed("node", "set_id").join(sets.select("set_id", "first_id"), "set_id")
@@ -127,19 +138,20 @@ def diversity_gate(rows: DataFrame, ident: str, text: str, shared: int = SHARED_
     x = salted_join(x, first, ["key"], ["id"])
     order = stage(x.where("id = first").drop("first", "key"), "order")
 
-    def hits(source: DataFrame, grams: Column, prefix: Column, enough: Column) -> DataFrame:
+    def hits(source: DataFrame, grams: Column, prefix: Column, enough: Column, least: Column, smaller_first: bool = False) -> tuple[DataFrame, Column, Column]:
         members, sets = gram_classes(source, "id", grams)
-        pairs = similar_sets(sets, prefix, enough)
+        pairs = similar_sets(sets, prefix, enough, None, least, smaller_first)
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.join(sets.select(F.col("set_id").alias("b"), "first_id"), "b").groupBy(F.col("a").alias("set_id")).agg(F.min("first_id").alias("other"))
         known = sets.select("set_id", "first_id", "n").join(low, "set_id", "left")
         j = salted_join(members, known, ["set_id"], ["id"])
         return j, (F.col("other") < F.col("id")), (F.col("first_id") < F.col("id"))
 
-    j, near, same = hits(order, A.bottom(A.gram_keys(F.col("w")), SKETCH), F.greatest(F.lit(1), F.col("n") - shared + 1), F.col("shared") >= shared)
+    j, near, same = hits(order, A.bottom(A.gram_keys(F.col("w")), SKETCH), F.greatest(F.lit(1), F.col("n") - shared + 1), F.col("shared") >= shared, F.lit(shared))
     long_hits = j.where(near | (same & (F.col("n") >= shared))).select("id")
     short = order.where(F.size("w") < SHORT_WORDS)
-    j, near, same = hits(short, A.gram_keys(F.col("w"), SHORT_K), F.col("n"), F.col("shared") >= F.least("n", "m") * share)
+    fewest = F.ceil(F.least("n", "m") * share - 1e-9)
+    j, near, same = hits(short, A.gram_keys(F.col("w"), SHORT_K), F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1, F.col("shared") >= F.least("n", "m") * share, fewest, True)
     dup = long_hits.union(j.where(near | same).select("id")).distinct().withColumn("near", F.lit(True))
     known = order.select("id").join(dup, "id", "left").select("id", F.when(F.col("near"), "near").otherwise("kept").alias("status"))
     return known.union(x.where("id <> first").select("id", F.lit("exact")))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from millrace.functions import hashing as H
 from millrace.session import salted_join
 
+from .ranking import range_numbers
+
 
 def ranked(run: DataFrame, group: str = "qid", item: str = "doc_id") -> DataFrame:
     """The run with ``rank`` from 1 within each query."""
@@ -37,9 +39,12 @@ def _fused(parts: DataFrame, value: Column, depth: int | None = None) -> DataFra
     return ranked(out) if depth is None else truncate(out, depth)
 
 
-def _by_route(runs: Mapping[str, DataFrame]) -> DataFrame:
+def _by_route(runs: Mapping[str, DataFrame], depth: int | None = None) -> DataFrame:
+    """``pos`` of each row in its route and query; with ``depth`` only the first ones, which Spark cuts before the shuffle. Without, a query's run may be of any size."""
+    if depth is None:
+        return range_numbers(_union(runs), ["route", "qid"], [F.col("route"), F.col("qid"), F.desc("score"), F.col("doc_id")], "pos")
     w = Window.partitionBy("route", "qid").orderBy(F.desc("score"), "doc_id")
-    return _union(runs).withColumn("pos", F.row_number().over(w))
+    return _union(runs).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= depth)
 
 
 def _weight(weights: Mapping[str, float] | None, names: list[str]) -> Column:
@@ -72,7 +77,7 @@ def dbsf_normalized(parts: DataFrame, by: list[str]) -> DataFrame:
 
 def dbsf(runs: Mapping[str, DataFrame], prefetch: int = 100) -> DataFrame:
     """Distribution-based fusion: each run is cut to ``prefetch`` first, then normalised; an absent document adds 0."""
-    return _fused(dbsf_normalized(_by_route(runs).where(F.col("pos") <= prefetch), ["route", "qid"]), F.col("norm"))
+    return _fused(dbsf_normalized(_by_route(runs, prefetch), ["route", "qid"]), F.col("norm"))
 
 
 def min_max(parts: DataFrame, eps: float, floor_zero: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
+from millrace.session import salted_join
 
 
 def with_judgements(queries: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -62,18 +63,22 @@ def fuzzy_pairs(rows: DataFrame, ident: str, shape: Column, jaccard: float = 0.8
     """(a, b) of shapes, a before b: shapes of the same first two words whose words or characters are close.
 
     Works on distinct shapes, so copies make no pairs; rows of one shape are tied by
-    the shape itself. Within a block a length filter precedes the comparison:
-    neither measure can hold for shapes of too different word counts.
+    the shape itself. Within a block filters on length and on the letters that both
+    have precede the comparison of characters. Shapes are of lower-case letters,
+    digits and blanks, as ``title_shape`` gives them.
     """
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789 "
     s = rows.select(shape.alias("shape")).where(F.col("shape") != "").distinct().withColumn("w", F.split("shape", " "))
-    s = s.withColumns({"block": F.array_join(F.slice("w", 1, 2), " "), "n": F.length("shape")})
-    a, b = s.select(F.col("shape").alias("a"), F.col("w").alias("wa"), "block", F.col("n").alias("na")), s.select(F.col("shape").alias("b"), F.col("w").alias("wb"), "block", F.col("n").alias("nb"))
-    j = a.join(b, "block").where("a < b")
+    counts = F.array(*[F.length("shape") - F.length(F.replace("shape", F.lit(c), F.lit(""))) for c in letters])
+    s = s.withColumns({"block": F.array_join(F.slice("w", 1, 2), " "), "n": F.length("shape"), "l": counts})
+    a, b = (s.select(F.col("shape").alias(x), F.col("w").alias(f"w{x}"), "block", F.col("n").alias(f"n{x}"), F.col("l").alias(f"l{x}")) for x in "ab")
+    j = salted_join(a, b, ["block"], ["a"]).where("a < b")  # a common opening is no one task's
     jac = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
-    # the ratio is at most 2 * shorter / (na + nb)
-    close = 2 * F.least("na", "nb") / (F.col("na") + F.col("nb")) >= ratio
+    # matching blocks can't be longer than the letters that both have
+    common = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    close = 2 * common / (F.col("na") + F.col("nb")) >= ratio - 1e-12
     by_words = j.where(jac >= jaccard).select("a", "b")
-    by_chars = j.where((jac < jaccard) & close).where(match_ratio("a", "b") >= ratio).select("a", "b")
+    by_chars = j.where((jac < jaccard) & (2 * F.least("na", "nb") / (F.col("na") + F.col("nb")) >= ratio)).where(close).where(match_ratio("a", "b") >= ratio).select("a", "b")
     return by_words.union(by_chars)
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import hashing as H
 
+from .ranking import range_numbers
+
 
 def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, deep: int = 100, digits: int = 9) -> DataFrame:
     """(qid, ndcg, recall, recall_deep, mrr, precision, success) of every judged query with a positive grade.
@@ -86,8 +88,9 @@ def overlap(a: DataFrame, b: DataFrame, k: int = 10, digits: int = 9) -> DataFra
 def spearman(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     """(qid, shared, rho): rank correlation among the documents both runs hold, at least 2."""
     j = a.select("qid", "doc_id", F.col("rank").alias("ra")).join(b.select("qid", "doc_id", F.col("rank").alias("rb")), ["qid", "doc_id"])
-    w = Window.partitionBy("qid")
-    j = j.withColumn("xa", F.row_number().over(w.orderBy("ra"))).withColumn("xb", F.row_number().over(w.orderBy("rb")))
+    # a query's list may be of any size: ranks among the shared documents come from ranges
+    j = range_numbers(j, ["qid"], [F.col("qid"), F.col("ra"), F.col("doc_id")], "xa")
+    j = range_numbers(j, ["qid"], [F.col("qid"), F.col("rb"), F.col("doc_id")], "xb")
     return j.groupBy("qid").agg(F.count(F.lit(1)).alias("shared"), F.round(F.corr(F.col("xa").cast("double"), F.col("xb").cast("double")), digits).alias("rho")).where("shared >= 2")
 
 

@@ -8,15 +8,12 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
-from uuid import uuid4
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import harvest
-from millrace.session import shared_dir, stage, table
+from millrace.session import scratch, stage, table
 from millrace.sources import readers, sinks
 from millrace.streaming import ingest
 
@@ -27,10 +24,6 @@ from .retrieval import _KNN, documents
 _TEXTS = "(SELECT doc_id, text, kind FROM documents WHERE text IS NOT NULL)"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid4().hex[:12]}"
-
-
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).where("text is not null").select("doc_id", "text", "kind")
 
@@ -38,7 +31,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id::VARCHAR AS id, md5(text) AS text, kind AS form FROM {_TEXTS}")
 def jsonl_rows(spark: SparkSession, d: str) -> DataFrame:
     """Texts under one of three field names, by kind."""
-    path = _folder(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     x = _texts(spark, d)
     name = F.pmod("doc_id", F.lit(3))
     sinks.write_jsonl(x.select(F.col("doc_id").cast("string").alias("id"), F.col("kind").alias("form"), *[F.when(name == i, F.col("text")).alias(n) for i, n in enumerate(("text", "query", "question"))]), path)
@@ -48,7 +41,7 @@ def jsonl_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT index::INT AS index, md5(value) AS value FROM (SELECT row_number() OVER (ORDER BY n_name) - 1 AS index, n_name AS value FROM nation)")
 def json_array_rows(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "array")
+    path = scratch(spark, "array")
     names = table(spark, d, "nation").agg(F.to_json(F.sort_array(F.collect_list("n_name"))).alias("value"))  # 25 rows
     names.coalesce(1).write.text(path)
     return readers.json_array(spark, path).select("index", F.md5("value").alias("value"))
@@ -64,14 +57,14 @@ def _flat(c: str):
 @query(f"SELECT doc_id::VARCHAR AS id, md5(kind || chr(9) || {_FLAT}) AS text FROM {_TEXTS}")
 def tsv_rows(spark: SparkSession, d: str) -> DataFrame:
     """Compressed lines of two columns; the second may hold tabs itself."""
-    path = _folder(spark, "tsv")
+    path = scratch(spark, "tsv")
     sinks.write_tsv(_texts(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.concat_ws("\t", "kind", _flat("text")).alias("text")), path, compressed=True)
     return readers.tsv(spark, path).select("id", F.md5("text").alias("text"))
 
 
 @query("SELECT DISTINCT qid, unnest(positive_ids) AS doc_id, 1 AS grade FROM query_spec WHERE qid IS NOT NULL AND len(list_filter(positive_ids, lambda x: x IS NULL)) = 0")
 def answer_judgements(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "answers")
+    path = scratch(spark, "answers")
     q = table(spark, d, "query_spec").where("qid is not null and positive_ids is not null").where(F.forall("positive_ids", lambda x: x.isNotNull()))
     q.select("qid", F.col("positive_ids").alias("answer_pids")).write.json(path)
     return readers.question_answers(spark, path).distinct()
@@ -80,7 +73,7 @@ def answer_judgements(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT (o_orderkey % 4)::VARCHAR || '.json' AS member, md5('{\"key\":' || o_orderkey || '}') AS value FROM orders")
 def zip_rows(spark: SparkSession, d: str) -> DataFrame:
     """Lines of archive members, one archive for each part of the table."""
-    path = _folder(spark, "zip")
+    path = scratch(spark, "zip")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
@@ -97,7 +90,7 @@ def zip_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_name || '.md' AS name, '.md' AS suffix, 'About ' || n_name AS text FROM nation WHERE n_nationkey % 2 = 0")
 def text_file_rows(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "files")
+    path = scratch(spark, "files")
     n = table(spark, d, "nation")
     name = F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, ".md").otherwise(".bin"))
     sinks.write_files(n.select(name.alias("name"), F.concat(F.lit("About "), "n_name").cast("binary").alias("content")), path)
@@ -123,7 +116,7 @@ def judgements_of_pages(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id AS doc_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings WHERE label < 3")
 def gathered_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of given ids, after the files are checked against their manifest."""
-    path = _folder(spark, "vectors")
+    path = scratch(spark, "vectors")
     e = table(spark, d, "embeddings")
     sinks.write_once(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), path)
     manifest = stage(sinks.file_manifest(spark, path, "*.parquet"), "manifest")
@@ -134,7 +127,7 @@ def gathered_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'part' AS name, 'changed' AS problem UNION ALL SELECT 'more', 'extra'")
 def file_problems(spark: SparkSession, d: str) -> DataFrame:
     """What a check of files against their manifest finds after one was changed and one added."""
-    path = _folder(spark, "checked")
+    path = scratch(spark, "checked")
     sinks.write_files(spark.createDataFrame([("part", bytearray(b"one")), ("other", bytearray(b"two"))], "name string, content binary"), path)
     manifest = stage(sinks.file_manifest(spark, path), "manifest")
     sinks.write_files(spark.createDataFrame([("part", bytearray(b"won")), ("more", bytearray(b"x"))], "name string, content binary"), path)
@@ -145,8 +138,8 @@ def file_problems(spark: SparkSession, d: str) -> DataFrame:
 def archive_twice(spark: SparkSession, d: str) -> DataFrame:
     """Two archives of one corpus in other layouts: the same files, byte by byte."""
     docs = documents(spark, d).select("doc_id", "text", "kind")
-    one = sinks.archive_corpus(docs, _folder(spark, "archive"))
-    two = sinks.archive_corpus(docs.repartition(5, "kind"), _folder(spark, "archive"))
+    one = sinks.archive_corpus(docs, scratch(spark, "archive"))
+    two = sinks.archive_corpus(docs.repartition(5, "kind"), scratch(spark, "archive"))
     j = one.join(two.select("name", F.col("sha256").alias("other"), F.lit(1).alias("h")), "name", "full")
     return j.agg(F.bool_and(F.coalesce(F.col("sha256") == F.col("other"), F.lit(False))).alias("same"), F.sum("rows").alias("rows"))
 
@@ -154,7 +147,7 @@ def archive_twice(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
 def fetched_pages(spark: SparkSession, d: str) -> DataFrame:
     """The nations of each region as an API would give them, two a page by cursor, fetched into files in two runs."""
-    path = _folder(spark, "pages")
+    path = scratch(spark, "pages")
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name").orderBy("r_name", "n_name").collect()  # 25 rows
     remote = {r: [x.n_name for x in n if x.r_name == r] for r in sorted({x.r_name for x in n})}
 
@@ -197,7 +190,7 @@ def admitted_table(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT unit_id, length(unit_id) AS n FROM documents WHERE unit_id IS NOT NULL")
 def encoded_once(spark: SparkSession, d: str) -> DataFrame:
     """The units of a log encoded in two runs of a stream, each unit once."""
-    log, cache, ck = (_folder(spark, n) for n in ("log", "cache", "ck"))
+    log, cache, ck = (scratch(spark, n) for n in ("log", "cache", "ck"))
     x = documents(spark, d).select("doc_id", "unit_id")
     step = ingest.encode_new(cache, "unit_id", lambda new: new.select("unit_id", F.length("unit_id").alias("n")))
     for part in (0, 1):
@@ -210,13 +203,13 @@ def encoded_once(spark: SparkSession, d: str) -> DataFrame:
 def run_manifests(spark: SparkSession, d: str) -> DataFrame:
     from .retrieval import _vector_run
 
-    return sinks.save_run(_vector_run(spark, d, 10), _folder(spark, "runs"), "knn", "labels").select("rows", "queries", "depth")
+    return sinks.save_run(_vector_run(spark, d, 10), scratch(spark, "runs"), "knn", "labels").select("rows", "queries", "depth")
 
 
 @query(f"SELECT 'documents' AS \"table\", count(*) AS rows FROM documents WHERE doc_id IS NOT NULL AND {S.key60('doc_id::VARCHAR')} % 2 = 0")
 def transaction(spark: SparkSession, d: str) -> DataFrame:
     """A table that is written once: a second attempt is refused and leaves it as it was."""
-    path = _folder(spark, "once")
+    path = scratch(spark, "once")
     from millrace.functions import hashing as H
 
     half = documents(spark, d).select("doc_id").where(F.pmod(H.key60(F.col("doc_id").cast("string")), F.lit(2)) == 0)

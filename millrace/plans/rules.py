@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays as A
 from millrace.functions import text as X
 from millrace.operators import aggregates, ann, decisions, dense, fusion, integrity, joins, judgments, lexical, metrics, mining, sampling, stats, vocabulary
-from millrace.session import shared_dir, stage, table
+from millrace.session import scratch, stage, table
 from millrace.sources import readers, sinks
 
 from . import sql as S
@@ -197,7 +197,7 @@ def lexical_negatives(spark: SparkSession, d: str) -> DataFrame:
 def kept_run(spark: SparkSession, d: str) -> DataFrame:
     """A run kept under the identity of its inputs: built once, read from then on."""
     identity = sinks.table_identity(table(spark, d, "embeddings")).first().identity
-    root = f"{shared_dir(spark)}/kept"
+    root = scratch(spark, "kept")
     sinks.cached(spark, root, identity, lambda: _vector_run(spark, d, 10), "knn")
     return sinks.cached(spark, root, identity, lambda: 1 / 0, "knn")
 
@@ -209,9 +209,7 @@ def index_exhaustive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> ann.Index:
-    from uuid import uuid4
-
-    return ann.build(vectors(spark, d).select("doc_id", "vector"), f"{shared_dir(spark)}/index-{uuid4().hex[:12]}", 16)
+    return ann.build(vectors(spark, d).select("doc_id", "vector"), scratch(spark, "index"), 16)
 
 
 @query()

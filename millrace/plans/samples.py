@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import integrity, sampling, vocabulary
-from millrace.session import shared_dir, stage, table
+from millrace.session import scratch, stage, table
 from millrace.sources import readers, sinks
 from millrace.streaming import ingest
 
@@ -124,6 +122,15 @@ def token_batches(spark: SparkSession, d: str) -> DataFrame:
     return sampling.token_batches(x, "source", "doc_id", "t", 20, 20000, {"tracker": 0.7, "manual": 0.3}, "tok")
 
 
+@query(f"""WITH r AS (SELECT CASE WHEN source = 'tracker' THEN 'tracker' ELSE 'other' END AS role, doc_id, coalesce(len({S.plain_words("text")}), 0) AS t FROM documents),
+b AS (SELECT role, doc_id, coalesce(sum(t) OVER (PARTITION BY role ORDER BY {S.order_key('tok', 'doc_id')}, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+s AS (SELECT role, doc_id, floor(before / (20000.0 * CASE role WHEN 'tracker' THEN 0.7 ELSE 0.3 END / 20)) + 1 AS step FROM b) SELECT role, doc_id, step::BIGINT AS step FROM s WHERE step <= 20""")
+def role_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches by tokens over all documents, the tracker against all others."""
+    x = documents(spark, d).select(F.when(F.col("source") == "tracker", "tracker").otherwise("other").alias("role"), "doc_id", X.word_count(F.col("text")).alias("t"))
+    return sampling.token_batches(x, "role", "doc_id", "t", 20, 20000, {"tracker": 0.7, "other": 0.3}, "tok")
+
+
 @query(f"""WITH RECURSIVE l AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, n, floor((row_number() OVER (ORDER BY n, {S.order_key('len', 'doc_id')}, doc_id) - 1) / 32)::BIGINT AS b FROM l),
 o AS (SELECT b, row_number() OVER (ORDER BY {S.order_key('len', 'b')}, b) - 1 AS batch FROM (SELECT DISTINCT b FROM r)), i AS (SELECT batch, doc_id, n, row_number() OVER (PARTITION BY batch ORDER BY n, doc_id) AS i FROM r JOIN o USING (b)),
 s(batch, doc_id, i, chunk, k) AS (SELECT batch, doc_id, i, 0, 1 FROM i WHERE i = 1 UNION ALL SELECT i.batch, i.doc_id, i.i, CASE WHEN (k + 1) * n > 8000 THEN chunk + 1 ELSE chunk END, CASE WHEN (k + 1) * n > 8000 THEN 1 ELSE k + 1 END FROM s JOIN i ON i.batch = s.batch AND i.i = s.i + 1)
@@ -258,7 +265,7 @@ def row_index(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_KNN} SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10")
 def run_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A run saved, its manifest checked and read back."""
-    root = f"{shared_dir(spark)}/runs-{uuid4().hex[:12]}"
+    root = scratch(spark, "runs")
     m = sinks.save_run(_vector_run(spark, d, 10), root, "knn", "labels").first()
     return sinks.load_run(spark, f"{root}/dataset=labels/system=knn", m.digest, 10)
 
@@ -275,7 +282,7 @@ def table_identities(spark: SparkSession, d: str) -> DataFrame:
 def _streamed(spark: SparkSession, d: str, name: str, make) -> DataFrame:
     """Run a stream over what is at hand and read what it wrote."""
     schema = table(spark, d, name).schema
-    root = f"{shared_dir(spark)}/stream-{uuid4().hex[:12]}"
+    root = scratch(spark, "stream")
     src = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d) if not _is_folder(spark, f"{d}/{name}.parquet") else ingest.append_log(spark, f"{d}/{name}.parquet", schema)
     q = make(src).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()

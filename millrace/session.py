@@ -67,11 +67,16 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     carry the real size for the planner. They are removed by
     ``release_staged`` or when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str = "t") -> str:
+    """A new path in the shared folder, not made yet, that goes with the staged tables: for runs, streams and archives that need a folder of their own."""
+    path = f"{shared_dir(spark)}/millrace-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release_staged() -> int:
@@ -95,9 +100,25 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Nodes of a plan after which the planner's size is a guess that may be too low.
+_GUESSED = ("Generate", "Join", "Expand", "MapInArrow", "MapInPandas", "FlatMapGroups", "CoGroup")
+#: Bytes in memory for one byte of a written table, at most.
+UNPACKED = 8
+
+
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if the estimated size is at most ``limit`` bytes."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    """Hint a broadcast only if the size is at most ``limit`` bytes.
+
+    The planner's estimate counts where it can't be too low. After rows are
+    exploded or joined it is a guess; such a side is written first and its real
+    size is taken, ``UNPACKED`` times as it is compressed.
+    """
+    estimate = plan_bytes(df)
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    if not any(n in tree for n in _GUESSED):
+        return F.broadcast(df) if estimate <= limit else df
+    written = stage(df, "side")
+    return F.broadcast(written) if plan_bytes(written) * UNPACKED <= limit else written
 
 
 def row_salt(salts: int, *cols: str | Column) -> Column:
