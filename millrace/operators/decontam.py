@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays as A
 from millrace.functions import hashing as H
 from millrace.functions import text as X
-from millrace.session import bounded_broadcast
+from millrace.session import BROADCAST_BYTES, UNPACKED, bounded_broadcast, stage
 
 from .dedup import SHARED_DECONTAM, SHARED_SCREEN, SKETCH
 
@@ -25,31 +25,33 @@ def _words(rows: DataFrame, ident: str, text: str) -> DataFrame:
     return rows.select(F.col(ident).alias("id"), X.fingerprint_words(F.col(text)).alias("w")).where(F.size("w") > 0)
 
 
-def _whole_keys(words: Column) -> Column:
-    """Keys of all windows of 4 to 7 words."""
-    parts = [A.kgrams(words, k) for k in range(SHORT_LOW, SHORT_HIGH + 1)]
-    return F.array_distinct(F.transform(F.concat(*parts), H.key60))
+def _whole_keys(words: Column, lengths: list[int]) -> Column:
+    """Keys of all windows of so many words."""
+    parts = [A.kgrams(words, k) for k in lengths]
+    return F.array_distinct(F.transform(F.concat(*parts), H.key60)) if parts else F.array().cast("array<bigint>")
 
 
 def query_index(protected: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, key) of protected queries: exact, gram and whole."""
+    """(kind, key) of protected queries: exact, gram, and whole with its number of words."""
     w = protected.select(X.fingerprint_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     exact = w.select(F.lit("exact").alias("kind"), H.text_key(F.col("w")).alias("key"))
     gram = w.select(F.lit("gram"), F.explode(A.query_gram_keys(F.col("w"))))
-    whole = w.where(F.size("w").between(SHORT_LOW, SHORT_HIGH)).select(F.lit("whole"), H.text_key(F.col("w")))
+    whole = w.where(F.size("w").between(SHORT_LOW, SHORT_HIGH)).select(F.concat(F.lit("whole"), F.size("w").cast("string")), H.text_key(F.col("w")))
     return exact.union(gram).union(whole).distinct()
 
 
 def query_hits(rows: DataFrame, index: DataFrame, ident: str, text: str = "text") -> DataFrame:
-    """(id, reason): 'exact', 'near' or 'contains', the first that holds; rows without a hit are absent."""
+    """(id, reason): 'exact', 'near' or 'contains', the first that holds; rows without a hit are absent.
+
+    Windows are looked up only of lengths that a protected text has.
+    """
+    index = stage(index, "index")
+    lengths = [k for k in range(SHORT_LOW, SHORT_HIGH + 1) if (f"whole{k}",) in {tuple(r) for r in index.where(F.startswith("kind", F.lit("whole"))).select("kind").distinct().collect()}]  # 4 at most
     w = _words(rows, ident, text)
-    keys = F.array(
-        F.struct(F.lit("exact").alias("kind"), F.array(H.text_key(F.col("w"))).alias("k")),
-        F.struct(F.lit("gram").alias("kind"), A.query_gram_keys(F.col("w")).alias("k")),
-        F.struct(F.lit("whole").alias("kind"), _whole_keys(F.col("w")).alias("k")),
-    )
+    kinds = [("exact", F.array(H.text_key(F.col("w")))), ("gram", A.query_gram_keys(F.col("w"))), *[(f"whole{k}", _whole_keys(F.col("w"), [k])) for k in lengths]]
+    keys = F.array(*[F.struct(F.lit(n).alias("kind"), k.alias("k")) for n, k in kinds])
     probe = w.select("id", F.explode(keys).alias("e")).select("id", "e.kind", F.explode("e.k").alias("key"))
-    hit = probe.join(bounded_broadcast(index), ["kind", "key"], "left_semi")
+    hit = probe.join(bounded_broadcast(index, BROADCAST_BYTES // UNPACKED), ["kind", "key"], "left_semi")
     order = F.when(F.col("kind") == "exact", 1).when(F.col("kind") == "gram", 2).otherwise(3)
     best = hit.groupBy("id").agg(F.min(order).alias("o"))
     return best.select("id", F.when(F.col("o") == 1, "exact").when(F.col("o") == 2, "near").otherwise("contains").alias("reason"))
@@ -58,7 +60,7 @@ def query_hits(rows: DataFrame, index: DataFrame, ident: str, text: str = "text"
 def contains_short(rows: DataFrame, short: DataFrame, ident: str, text: str = "text") -> DataFrame:
     """(id, short_id): texts that hold a whole text of 4 to 7 words; ``short`` is (short_id, text)."""
     s = short.select("short_id", X.fingerprint_words(F.col("text")).alias("w")).where(F.size("w").between(SHORT_LOW, SHORT_HIGH)).select("short_id", H.text_key(F.col("w")).alias("key"))
-    probe = _words(rows, ident, text).select("id", F.explode(_whole_keys(F.col("w"))).alias("key"))
+    probe = _words(rows, ident, text).select("id", F.explode(_whole_keys(F.col("w"), list(range(SHORT_LOW, SHORT_HIGH + 1)))).alias("key"))
     return probe.join(bounded_broadcast(s), "key").select("id", "short_id").distinct()
 
 
@@ -70,11 +72,12 @@ def document_index(protected: DataFrame, ident: str, text: str = "text") -> Data
 
 def document_hits(rows: DataFrame, index: DataFrame, ident: str, text: str = "text", shared: int = SHARED_DECONTAM) -> DataFrame:
     """(id, exact, near): documents equal to a protected one, or sharing at least ``shared`` sketch keys with a single one."""
+    index = stage(index, "index")
     w = _words(rows, ident, text)
     items = index.select("exact").distinct()
-    exact = w.select("id", H.text_key(F.col("w")).alias("exact")).join(bounded_broadcast(items), "exact", "left_semi").select("id", F.lit(1).alias("e"), F.lit(0).alias("n"))
+    exact = w.select("id", H.text_key(F.col("w")).alias("exact")).join(bounded_broadcast(items, BROADCAST_BYTES // UNPACKED), "exact", "left_semi").select("id", F.lit(1).alias("e"), F.lit(0).alias("n"))
     probe = w.select("id", F.explode(A.bottom(A.gram_keys(F.col("w")), SKETCH)).alias("key"))
-    near = probe.join(bounded_broadcast(index.select("item", "key")), "key").groupBy("id", "item").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= shared).select("id", F.lit(0).alias("e"), F.lit(1).alias("n")).distinct()
+    near = probe.join(bounded_broadcast(index.select("item", "key"), BROADCAST_BYTES // UNPACKED), "key").groupBy("id", "item").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= shared).select("id", F.lit(0).alias("e"), F.lit(1).alias("n")).distinct()
     return exact.union(near).groupBy("id").agg((F.max("e") == 1).alias("exact"), (F.max("n") == 1).alias("near"))
 
 

@@ -67,8 +67,11 @@ def _placed(sets: DataFrame) -> DataFrame:
     """(set_id, gram, i, n): the grams of each set with their place, rare first, then by gram, and the set's size. Grams of one set alone count for the places but are left out, as they can't be shared."""
     posted = sets.select("set_id", "n", F.explode("grams").alias("gram"))
     df = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("set_id").orderBy("df", "gram")
-    return salted_join(posted, df, ["gram"], ["set_id"]).withColumn("i", F.row_number().over(w)).where("df > 1").select("set_id", "gram", "i", "n")
+    every = Window.partitionBy("set_id")
+    # grams that no other set has come first in the order: how many there are is known without sorting them
+    shared = salted_join(posted, df.where("df > 1"), ["gram"], ["set_id"])
+    place = F.col("n") - F.count(F.lit(1)).over(every) + F.row_number().over(every.orderBy("df", "gram"))
+    return shared.select("set_id", "gram", place.alias("i"), "n")
 
 
 def similar_sets(sets: DataFrame, prefix: Column, enough: Column, compatible: Column | None = None, least: Column | None = None, smaller_first: bool = False) -> DataFrame:

@@ -480,3 +480,11 @@ def character_features(spark: SparkSession, d: str) -> DataFrame:
     g = spark.createDataFrame([("ed", 1), ("ing", 2), ("in", 3)], "gram string, token int")
     r = dense.character_rows(table(spark, d, "part").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text")), g)
     return r.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_BM25} SELECT qid, doc_id, score, rank FROM bmr WHERE rank <= 10")
+def kept_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """An index of postings that is written, opened again and searched."""
+    path = scratch(spark, "postings")
+    lexical.build_index(documents(spark, d), path)
+    return lexical.search_index(lexical.open_index(spark, path), searches(spark, d), 10)
