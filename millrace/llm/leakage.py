@@ -274,7 +274,7 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, broadcast_by
     # only classes that some item is of are looked for
     there = sorted(r[0] for r in of_items.select("class").distinct().collect())  # at most log2(span) + 1
     if not there:
-        return of_items.join(docs.select("doc_id"), F.lit(False)).select("doc_id", "item_id")
+        return spark.createDataFrame([], f"doc_id {kind(documents, 'doc_id')}, item_id {kind(items, 'item_id')}")
     of_items = of_items.withColumn("class", F.array_position(F.lit(there), F.col("class")).cast("int") - 1)
     bitmap = spark.sparkContext.broadcast(_bitmap(of_items))
     rows, common = with_repairs(doc_texts, table, "doc_id")

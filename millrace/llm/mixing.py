@@ -44,7 +44,8 @@ def exchange(gap: int, more: dict[int, int], less: dict[int, int], window: int)
     size = gap + 2 * window + 1
     reach = np.zeros(size, bool)
     reach[window] = True
-    took = np.zeros(size, np.int64)
+    steps = sum(k.bit_length() for held in (more, less) for k in held.values())
+    took = np.zeros(size, np.int16 if steps < 1 << 15 else np.int32)  # the item that first reached a sum
     items: list[tuple[int, int]] = []
     goal = window + gap
     for length in sorted({*more, *less}):
