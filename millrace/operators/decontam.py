@@ -143,6 +143,27 @@ def exposure(items: DataFrame, streams: DataFrame, ident: str, text: str = "text
     return items.select(F.col(ident).alias("id")).distinct().join(best, "id", "left").select("id", F.when(F.col("o") == 1, "exact").when(F.col("o") == 2, "near").otherwise("clean").alias("label"))
 
 
+def leakage_shares(items: DataFrame, streams: DataFrame, ident: str, group: str, text: str = "text") -> DataFrame:
+    """(group, items, exact, near): the shares of each group of held-out items that ``exposure`` labels exact and near."""
+    e = exposure(items, streams, ident, text)
+    j = items.select(F.col(ident).alias("id"), group).join(e, "id")
+    share = lambda n: F.round(F.count_if(F.col("label") == n) / F.count(F.lit(1)), 9).alias(n)
+    return j.groupBy(group).agg(F.count(F.lit(1)).alias("items"), share("exact"), share("near"))
+
+
+def keep_mask(pool: DataFrame, doc_index: DataFrame, q_index: DataFrame, ident: str, text: str = "text") -> DataFrame:
+    """(id, keep) for every row of a pool: not banned by ``ban_mask``."""
+    banned = ban_mask(pool, doc_index, q_index, ident, text).select("id", F.lit(True).alias("__b"))
+    return pool.select(F.col(ident).alias("id")).join(banned, "id", "left").select("id", F.col("__b").isNull().alias("keep"))
+
+
+def mask_identity(pool: DataFrame, protected: DataFrame) -> str:
+    """A name for the mask of a pool by protected texts: another pool or other texts have another name."""
+    from millrace.sources.sinks import table_identity  # noqa: PLC0415
+
+    return "-".join(table_identity(x).first().identity[:16] for x in (pool, protected))
+
+
 def copied_span(query: Column, source: Column, k: int = 5, excluded: Column | None = None) -> Column:
     """Whether the query shares a k-gram of words with its source.
 

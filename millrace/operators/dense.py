@@ -246,7 +246,7 @@ def character_rows(texts: DataFrame, grams: DataFrame) -> DataFrame:
         x = w.select("qid", "w", F.explode(at).alias("i")).select("qid", F.substr("w", F.col("i"), F.lit(n)).alias("gram"))
         found = x if found is None else found.union(x)
     if found is None:
-        return texts.join(grams, F.lit(False)).select("qid", "token")
+        return texts.sparkSession.createDataFrame([], f"qid {texts.schema['qid'].dataType.simpleString()}, token {grams.schema['token'].dataType.simpleString()}")
     return found.join(bounded_broadcast(grams.select("gram", "token")), "gram").select("qid", "token")
 
 

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays as A
 from millrace.functions import text as X
-from millrace.operators import aggregates, ann, decisions, dense, fusion, integrity, joins, judgments, lexical, metrics, mining, sampling, stats, vocabulary
+from millrace.operators import aggregates, ann, decisions, decontam, dense, fusion, graph, integrity, joins, judgments, lexical, metrics, mining, sampling, stats, vocabulary
 from millrace.session import scratch, stage, table
 from millrace.sources import readers, sinks
 
 from . import sql as S
 from .inference import _PAIRS, _UNITS, paired_scores
 from .registry import query
+from .corpus import _DI, _QI, _hits_sql, items
 from .retrieval import _BM25, _KNN, _LABELS, _TWO, _label_qrels, _labelled_items, _scores, _two, _vector_run, documents, qrels, scores_sql, searches, system_run, vectors
 
 _POSITIVES = "(SELECT DISTINCT qid, unnest(positive_ids) AS doc_id FROM query_spec WHERE qid IS NOT NULL)"
@@ -488,3 +489,93 @@ def kept_index_search(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "postings")
     lexical.build_index(documents(spark, d), path)
     return lexical.search_index(lexical.open_index(spark, path), searches(spark, d), 10)
+
+
+@query(f"WITH {_DELTAS} SELECT rep, round(delta, 9) AS delta FROM de")
+def planned_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Replicates by a plan of draws that is kept and could serve other contrasts of the same units."""
+    p = paired_scores(spark, d)
+    plan = stage(stats.draw_plan(stats.numbered(p, "domain", "qid"), "domain", stats.BOOTSTRAP, "b"), "plan")
+    return stats.planned_deltas(plan, p, "domain", "qid").withColumn("delta", F.round("delta", 9))
+
+
+_MODES = {"mean": "n", "presence": "1.0", "cap2": "least(2.0, n)", "sqrt": "sqrt(n)"}
+
+
+@query("""WITH t AS (SELECT vec_id AS token, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT l_orderkey AS q, l_suppkey % (SELECT count(*) FROM embeddings) AS token, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2), """ + ", ".join(f"{m} AS (SELECT q, i, sum({w} * x) / sum({w}) AS x FROM (SELECT q, n, unnest(range(0, 64)) AS i, unnest(v) AS x FROM c JOIN t USING (token)) GROUP BY q, i)" for m, w in _MODES.items())
+       + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, count(DISTINCT q) AS queries, round(sum(x / l), 3) AS total FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY q)) AS l FROM {m}) WHERE l > 1e-12" for m in _MODES) + ")")
+def pool_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Every way to weigh a token that occurs several times."""
+    e = vectors(spark, d)
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    tok = table(spark, d, "lineitem").crossJoin(F.broadcast(n)).select(F.col("l_orderkey").alias("qid"), F.expr("l_suppkey % n").alias("token"))  # one row
+    out = None
+    for mode in _MODES:
+        v = dense.lookup_encode(tok, e.select(F.col("doc_id").alias("token"), "vector"), mode).where("vector is not null")
+        one = v.agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("queries"), F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 3).alias("total"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"""WITH {_KNN}, t AS (SELECT qid, doc_id AS passage_id, dl AS artifact_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS n FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY qid, artifact_id ORDER BY score DESC, passage_id) AS m FROM t WHERE n <= 50)
+SELECT qid, artifact_id, passage_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, artifact_id) AS rank FROM b WHERE m = 1""")
+def dense_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact search over passages, then the best passage of each artifact."""
+    p = vectors(spark, d).select(F.col("doc_id").alias("passage_id"), F.col("label").alias("artifact_id"), F.lit(None).cast("string").alias("text_hash"))
+    return fusion.collapse_passages(_vector_run(spark, d, 50).select("qid", F.col("doc_id").alias("passage_id"), "score"), p, passage_depth=50)
+
+
+_SHAPE = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '\b(?:v?\d+(?:\.\d+){1,3}|backport|cherry[- ]pick)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH RECURSIVE k AS (SELECT doc_id::VARCHAR AS n, 'a:' || artifact_id AS k FROM documents WHERE artifact_id IS NOT NULL UNION SELECT doc_id::VARCHAR, 't:' || md5(text) FROM documents WHERE trim(text) <> '' UNION SELECT doc_id::VARCHAR, 's:' || {_SHAPE} FROM documents WHERE {_SHAPE} <> '' UNION SELECT doc_id::VARCHAR, 'u:' || unnest(list_distinct(regexp_extract_all(text, 'https?://[^\s)>"''\]]+'))) FROM documents),
+e AS (SELECT DISTINCT a.k AS x, b.k AS y FROM k a JOIN k b USING (n)), r(x, y) AS (SELECT DISTINCT k, k FROM k UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+m AS (SELECT DISTINCT n, y FROM k JOIN c ON c.x = k.k), root AS (SELECT y, min(n) AS root FROM m GROUP BY y) SELECT d.doc_id::VARCHAR AS node, coalesce(root.root, d.doc_id::VARCHAR) AS root FROM documents d LEFT JOIN m ON m.n = d.doc_id::VARCHAR LEFT JOIN root USING (y)""")
+def thread_families(spark: SparkSession, d: str) -> DataFrame:
+    """Units tied by thread, equal text, restated title or a link that they share."""
+    shape = X.title_shape(F.col("title"))
+    x = documents(spark, d).select("doc_id", "artifact_id", F.when(F.trim("text") != "", F.md5("text")).alias("t"), F.when(shape != "", shape).alias("s"), X.urls(F.col("text")).alias("u"))
+    links = graph.star_edges(x.select("doc_id", F.explode("u").alias("k")), "doc_id", "k")
+    return graph.families(x, "doc_id", ["artifact_id", "t", "s"], extra=links)
+
+
+@query(f"""WITH i AS (SELECT item_id, role, {S.words("text")} AS w FROM eval_item), d AS (SELECT DISTINCT {S.words("text")} AS w FROM documents), ex AS (SELECT item_id FROM i WHERE len(w) > 0 AND array_to_string(w, ' ') IN (SELECT array_to_string(w, ' ') FROM d)),
+a AS (SELECT item_id, unnest({S.query_gram_keys("w")}) AS k FROM i WHERE len(w) > 0), b AS (SELECT array_to_string(w, ' ') AS s, unnest({S.query_gram_keys("w")}) AS k FROM d WHERE len(w) > 0), ne AS (SELECT DISTINCT item_id FROM (SELECT item_id, s FROM a JOIN b USING (k) GROUP BY 1, 2 HAVING count(*) >= 4))
+SELECT role, count(*) AS items, round(count(*) FILTER (WHERE item_id IN (SELECT item_id FROM ex)) / count(*), 9) AS exact, round(count(*) FILTER (WHERE item_id NOT IN (SELECT item_id FROM ex) AND item_id IN (SELECT item_id FROM ne)) / count(*), 9) AS near FROM i GROUP BY role""")
+def leakage_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What share of the held-out items of each role the corpus holds, whole or nearly."""
+    return decontam.leakage_shares(items(spark, d), documents(spark, d), "item_id", "role")
+
+
+@query(f"WITH {_QI}, {_hits_sql('documents', 'doc_id')}, {_DI} SELECT doc_id AS id, doc_id NOT IN (SELECT id FROM dh UNION SELECT id FROM hit) AS keep FROM documents")
+def keep_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows of the pool stay, made once for these tables and read again."""
+    docs, it = documents(spark, d), items(spark, d)
+    root = scratch(spark, "masks")
+    doc_index, q_index = decontam.document_index(it.where("role = 'passage'"), "item_id"), decontam.query_index(it.where("role = 'query'"))
+    make = lambda: decontam.keep_mask(docs, doc_index, q_index, "doc_id")
+    name = decontam.mask_identity(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    sinks.cached(spark, root, name, make, "mask")
+    return sinks.cached(spark, root, name, lambda: 1 / 0, "mask")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS code FROM documents")
+def encoded_shards(spark: SparkSession, d: str) -> DataFrame:
+    """A corpus encoded shard by shard, broken off after a few and gone on with."""
+    root, done = scratch(spark, "shards"), []
+
+    def encode(part: DataFrame, shard: int) -> DataFrame:
+        if shard == 3 and 3 not in done:
+            done.append(3)
+            raise ConnectionError("broken off")
+        done.append(shard)
+        return part.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("code"))
+
+    docs = documents(spark, d).select("doc_id", "text")
+    try:
+        sinks.encode_shards(docs, "doc_id", root, 6, encode)
+    except ConnectionError:
+        sinks.encode_shards(docs, "doc_id", root, 6, encode)
+    if sorted(done) != [0, 1, 2, 3, 3, 4, 5]:
+        raise AssertionError("a finished shard was encoded again")
+    return spark.read.parquet(*[f"{root}/shard={i}" for i in range(6)])

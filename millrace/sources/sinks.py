@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -194,3 +194,27 @@ def cached(spark: SparkSession, root: str, identity: str, build, name: str = "ta
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def encode_shards(rows: DataFrame, ident: str, root: str, shards: int, encode: Callable[[DataFrame, int], DataFrame]) -> list[int]:
+    """Encode ``rows`` in shards by a hash of their id, each written once below ``root``; returns the shards that were written now.
+
+    A shard is done when its table was committed, so a broken-off run goes on at
+    the first one missing. The number of shards and the rows' identity are kept
+    with them; other rows or another number are refused.
+    """
+    spark = rows.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    where = at("x").getFileSystem(conf)
+    plan = f"plan-{shards}-{table_identity(rows).first().identity[:24]}"
+    if where.exists(at("")) and not where.exists(at(plan)):
+        raise ValueError("the shards below this folder are of other rows or of another number")
+    where.mkdirs(at(plan))
+    written = []
+    part = F.pmod(F.xxhash64(F.col(ident).cast("string")), F.lit(shards))
+    for i in range(shards):
+        if not where.exists(at(f"shard={i}/_SUCCESS")):
+            encode(rows.where(part == i), i).write.mode("overwrite").parquet(f"{root}/shard={i}")
+            written.append(i)
+    return written
