@@ -283,6 +283,25 @@ def segment_rows(sequences: DataFrame, merges: list[tuple[int, int, int]]) -> Da
     return sequences.select("qid", F.col("tokens").cast("array<long>").alias("tokens")).mapInArrow(run, f"qid {kind}, tokens array<long>")
 
 
+def unseen_policy(rows: DataFrame, policy: str, least: int = 1) -> DataFrame:
+    """(token, vector) of (token, vector, start, updates): rows with fewer than ``least`` updates get by ``policy`` their 'start', the 'mean' of the others or 'zero'.
+
+    The mean runs over elements of rows that were updated often enough; without any it is 0. Null updates are none.
+    """
+    seen = F.coalesce("updates", F.lit(0)) >= least
+    if policy == "start":
+        return rows.select("token", F.when(seen, F.col("vector")).otherwise(F.col("start")).cast("array<double>").alias("vector"))
+    zero = F.transform("vector", lambda x: F.lit(0.0))
+    if policy == "zero":
+        return rows.select("token", F.when(seen, F.col("vector").cast("array<double>")).otherwise(zero).alias("vector"))
+    if policy != "mean":
+        raise ValueError(f"no policy {policy}")
+    one = rows.where(seen).select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = one.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("__m"))  # one element a dimension
+    x = rows.crossJoin(F.broadcast(mean))  # one row
+    return x.select("token", F.when(seen, F.col("vector").cast("array<double>")).when(F.size("__m") > 0, F.col("__m")).otherwise(zero).alias("vector"))
+
+
 def prf(queries: DataFrame, docs: DataFrame, k: int = 3, alpha: float = 0.4, beta: float = 0.6) -> DataFrame:
     """(qid, vector): alpha * query + beta * mean of its k best documents, of unit length."""
     near = knn(queries, docs, k).select("qid", "doc_id").join(docs, "doc_id").select("qid", F.posexplode("vector").alias("i", "x"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ def constraint_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])).alias("e")).select("e.*")
 
 
+def screened(df: DataFrame, predicates: Mapping[str, Callable[[DataFrame], Column]]) -> DataFrame:
+    """``rejected``: the name of the first predicate of the caller that holds for a row, else null; a null result does not hold."""
+    out = F.when(F.lit(False), None)
+    for name, holds in predicates.items():
+        out = out.when(F.coalesce(holds(df), F.lit(False)), name)
+    return df.withColumn("rejected", out)
+
+
 def config_differences(arms: DataFrame, base: str, allowed: tuple[str, ...] = ()) -> DataFrame:
     """(arm, key, value, base_value) of (arm, key, value) where an arm differs from the base on a key that may not."""
     b = arms.where(F.col("arm") == base).select("key", F.col("value").alias("base_value"))

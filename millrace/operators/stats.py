@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -171,6 +171,16 @@ def inverted_cdf(deltas: DataFrame, q: float, value: str = "delta") -> Column:
     return F.expr(f"percentile_disc({q}) within group (order by {value})")
 
 
+def statistic_replicates(units: DataFrame, stratum: str, unit: str, values: list[str], statistic: Callable[[dict[str, Column], Column], Column], replicates: int = BOOTSTRAP, seed: str = "b") -> DataFrame:
+    """(rep, stratum, value): any statistic of resampled sums.
+
+    ``statistic`` gets the sum of each value over the slots of a replicate, by name, and the number of slots, and makes one Column of them.
+    """
+    x = numbered(units, stratum, unit)
+    m = resampled(x, stratum, stratum, values, replicates, seed)
+    return m.select("rep", stratum, statistic({v: F.col(v) for v in values}, F.col("n")).alias("value"))
+
+
 def one_sided_bounds(deltas: DataFrame, level: float = 0.975, margin: float = 0.005, digits: int = 6) -> DataFrame:
     """One row: the order statistics of the deltas at 1 - level and level, and whether the upper one is below ``margin``."""
     up = inverted_cdf(deltas, level)

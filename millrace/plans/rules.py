@@ -579,3 +579,30 @@ def encoded_shards(spark: SparkSession, d: str) -> DataFrame:
     if sorted(done) != [0, 1, 2, 3, 3, 4, 5]:
         raise AssertionError("a finished shard was encoded again")
     return spark.read.parquet(*[f"{root}/shard={i}" for i in range(6)])
+
+
+@query("""WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id % 5 AS n FROM embeddings), x AS (SELECT vec_id, n, unnest(range(0, 64)) AS i, unnest(v) AS x FROM r), m AS (SELECT i, avg(x) AS m FROM x WHERE n >= 2 GROUP BY i)
+SELECT 'mean' AS policy, vec_id % 8 AS part, round(sum(CASE WHEN n >= 2 THEN x ELSE m END), 5) AS total FROM x JOIN m USING (i) GROUP BY 2 UNION ALL SELECT 'zero', vec_id % 8, round(sum(CASE WHEN n >= 2 THEN x ELSE 0 END), 5) FROM x GROUP BY 2 UNION ALL SELECT 'start', vec_id % 8, round(sum(CASE WHEN n >= 2 THEN x ELSE -x END), 5) FROM x GROUP BY 2""")
+def unseen_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What rows of a lookup table become that were seldom updated."""
+    e = vectors(spark, d).select(F.col("doc_id").alias("token"), "vector", F.transform("vector", lambda x: -x).alias("start"), (F.col("doc_id") % 5).alias("updates"))
+    out = None
+    for policy in ("mean", "zero", "start"):
+        v = dense.unseen_policy(e, policy, 2)
+        one = v.groupBy((F.col("token") % 8).alias("part")).agg(F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 5).alias("total")).select(F.lit(policy).alias("policy"), "part", "total")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"SELECT doc_id, CASE WHEN len({S.plain_words('text')}) < 3 THEN 'short' WHEN regexp_matches(text, '[?]') THEN 'asks' WHEN source = 'code' THEN 'code' END AS rejected FROM documents")
+def screened_texts(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"short": lambda t: X.word_count(t["text"]) < 3, "asks": lambda t: F.contains(t["text"], F.lit("?")), "code": lambda t: t["source"] == "code"}
+    return integrity.screened(documents(spark, d), rules).select("doc_id", "rejected")
+
+
+@query(f"""WITH {_UNITS}, kk AS (SELECT domain, a, b, row_number() OVER (PARTITION BY domain ORDER BY md5(qid), qid) - 1 AS k FROM p), dr AS ({S.picks("sz", stats.BOOTSTRAP, "ratio", "domain")}),
+v AS (SELECT rep, dr.domain, CASE WHEN sum(b) > 0 THEN sum(a) / sum(b) END AS value FROM dr JOIN kk ON kk.domain = dr.domain AND kk.k = dr.k GROUP BY 1, 2) SELECT domain, count(value) AS n, round(quantile_disc(value, 0.5), 6) AS middle FROM v GROUP BY domain""")
+def ratio_replicates(spark: SparkSession, d: str) -> DataFrame:
+    """Replicates of a statistic that the caller gives: the ratio of two sums."""
+    r = stats.statistic_replicates(paired_scores(spark, d), "domain", "qid", ["a", "b"], lambda s, n: F.when(s["b"] > 0, s["a"] / s["b"]), stats.BOOTSTRAP, "ratio")
+    return r.groupBy("domain").agg(F.count("value").alias("n"), F.round(F.expr("percentile_disc(0.5) within group (order by value)"), 6).alias("middle"))

@@ -305,6 +305,13 @@ def stream_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, "documents", lambda s: ingest.admitted(s, "created_at", "2025-06-01 00:00:00").select("doc_id", "created_at"))
 
 
+@query("""WITH e AS (SELECT user_id::VARCHAR AS job, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after, max(ts) OVER () AS last FROM events)
+SELECT job, 'up' AS status, ts AS at FROM e WHERE before IS NULL OR ts - before > INTERVAL 6 HOUR UNION ALL SELECT job, 'silent', ts + INTERVAL 6 HOUR FROM e WHERE after - ts > INTERVAL 6 HOUR OR after IS NULL AND last - ts > INTERVAL 6 HOUR""")
+def heartbeats(spark: SparkSession, d: str) -> DataFrame:
+    """Users as jobs that are to be heard of every six hours, as a stream with state."""
+    return _streamed(spark, d, "events", lambda s: ingest.heartbeat_monitor(s, "user_id", "ts", 6 * 3600)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
     x = ingest.tumbling(table(spark, d, "events"), "ts", "1 day", "event_type", "value")

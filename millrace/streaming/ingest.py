@@ -92,7 +92,8 @@ def heartbeat_monitor(stream: DataFrame, job: str, time: str, silent: int) -> Da
         deadline = (last + silent * 1_000_000) // 1000
         if deadline > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(deadline)
-        yield pd.DataFrame(rows, columns=["job", "status", "at"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["job", "status", "at"])
 
-    x = stream.select(F.col(job).cast("string").alias("job"), F.col(time).alias("t")).withWatermark("t", "0 seconds")
+    x = stream.select(F.col(job).cast("string").alias("job"), F.col(time).cast("timestamp").alias("t")).withWatermark("t", "0 seconds")
     return x.groupBy("job").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays as A
 from millrace.functions import hashing as H
 from millrace.functions import text as X
-from millrace.operators import aggregates, ann, decisions, dedup, dense, fusion, harvest, joins, lexical, metrics, ranking, sampling
+from millrace.operators import aggregates, ann, decisions, decontam, dedup, dense, fusion, harvest, integrity, joins, lexical, metrics, ranking, sampling, stats
 from millrace.session import bounded_broadcast, scratch
 from millrace.sources import readers, sinks
 from tests.conftest import rows
@@ -292,3 +292,44 @@ def test_top_grams_costs_and_drafts(spark):
     assert sum(r.kind == "m" for r in got) >= 1
     p = harvest.placeholder_collisions(spark.createDataFrame([("at 0x0123456789", "a"), ("at 0xabcdef0123", "b"), ("plain", "a")], "t string, g string"), "t", "g").collect()
     assert len(p) == 1 and (p[0].texts, p[0].groups, p[0].fails) == (2, 2, False)
+
+
+def test_rows_that_were_seldom_updated(spark):
+    x = spark.createDataFrame([("a", [1.0, 3.0], [9.0, 9.0], 5), ("b", [5.0, 5.0], [7.0, 8.0], 1), ("c", [3.0, 1.0], [9.0, 9.0], 2), ("d", [6.0, 6.0], [0.5, 0.5], None)], "token string, vector array<float>, start array<float>, updates int")
+    got = {p: {r.token: list(r.vector) for r in dense.unseen_policy(x, p, 2).collect()} for p in ("mean", "zero", "start")}
+    assert got["mean"] == {"a": [1, 3], "b": [2, 2], "c": [3, 1], "d": [2, 2]}
+    assert got["zero"]["b"] == [0, 0] == got["zero"]["d"] and got["start"]["b"] == [7, 8] and got["start"]["d"] == [0.5, 0.5]
+    assert dense.unseen_policy(x.where("token = 'b'"), "mean", 2).first().vector == [0, 0]
+    with pytest.raises(ValueError, match="no policy"):
+        dense.unseen_policy(x, "best")
+
+
+def test_predicates_of_the_caller_and_any_statistic(spark):
+    x = spark.createDataFrame([(1, "ab"), (2, None), (3, "abcd")], "i int, t string")
+    got = integrity.screened(x, {"long": lambda d: F.length(d["t"]) > 3, "odd": lambda d: d["i"] % 2 == 1})
+    assert {r.i: r.rejected for r in got.collect()} == {1: "odd", 2: None, 3: "long"}
+    u = spark.createDataFrame([("s", f"q{i}", float(i), 2.0) for i in range(9)], "s string, q string, a double, b double")
+    r = stats.statistic_replicates(u, "s", "q", ["a", "b"], lambda v, n: v["b"] / n, 30).collect()
+    assert len(r) == 30 and all(x.value == 2.0 for x in r)
+    m = [x.value for x in stats.statistic_replicates(u, "s", "q", ["a"], lambda v, n: v["a"] / n, 200).collect()]
+    assert abs(np.mean(m) - 4) < 0.3 and len(set(m)) > 20
+
+
+def test_masks_and_shares_of_leaks(spark):
+    pool = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "nothing of it"), (2, "nothing of it"), (3, None)], "doc_id int, text string")
+    held = spark.createDataFrame([(7, "query", "one two three four five six seven eight nine"), (8, "query", "some other words here that nobody says at all"), (9, "passage", None)], "item_id int, role string, text string")
+    q, d = decontam.query_index(held.where("role = 'query'")), decontam.document_index(held.where("role = 'passage'"), "item_id")
+    assert sorted((r.id, r.keep) for r in decontam.keep_mask(pool, d, q, "doc_id").collect()) == [(1, False), (2, True), (2, True), (3, True)]
+    assert {r.role: (r["items"], r.exact, r.near) for r in decontam.leakage_shares(held, pool, "item_id", "role").collect()} == {"query": (2, 0.5, 0.0), "passage": (1, 0.0, 0.0)}
+    one = decontam.mask_identity(pool, held)
+    assert one == decontam.mask_identity(pool.repartition(3), held) != decontam.mask_identity(pool.where("doc_id < 3"), held)
+
+
+def test_shards_are_written_once_and_refuse_other_rows(spark, tmp_path):
+    x = spark.createDataFrame([(i,) for i in range(40)], "doc_id int")
+    keep = lambda df, i: df
+    assert sinks.encode_shards(x, "doc_id", str(tmp_path / "s"), 4, keep) == [0, 1, 2, 3]
+    assert sinks.encode_shards(x, "doc_id", str(tmp_path / "s"), 4, keep) == []
+    with pytest.raises(ValueError, match="other rows"):
+        sinks.encode_shards(x.limit(3), "doc_id", str(tmp_path / "s"), 4, keep)
+    assert spark.read.parquet(*[str(tmp_path / "s" / f"shard={i}") for i in range(4)]).count() == 40
