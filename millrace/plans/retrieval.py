@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays as A
 from millrace.functions import text as X
 from millrace.operators import decisions, dense, fusion, judgments, lexical, metrics, mining
-from millrace.session import spread, stage, table
+from millrace.session import scratch, spread, stage, table
 
 from . import sql as S
 from .registry import query
@@ -84,8 +84,8 @@ def idf_weights(spark: SparkSession, d: str) -> DataFrame:
     return lexical.idf_table(lexical.postings(docs), docs.agg(F.count(F.lit(1)).alias("n")))
 
 
-def _sparse_search(spark: SparkSession, d: str, depth: int) -> DataFrame:
-    v = lexical.tfidf_vectors(documents(spark, d))
+def _sparse_search(spark: SparkSession, d: str, depth: int, vectors_: DataFrame | None = None) -> DataFrame:
+    v = lexical.tfidf_vectors(documents(spark, d)) if vectors_ is None else vectors_
     words = F.array_distinct(F.filter(X.fingerprint_words(F.col("text")), lambda w: F.length(w) >= 3))
     q = searches(spark, d).select("qid", F.explode(words).alias("token")).withColumn("w", F.lit(1.0))
     return lexical.sparse_dot(q, v, depth)
@@ -110,10 +110,13 @@ _DBSF = """
   FROM {run} WHERE rank <= {depth} WINDOW w AS (PARTITION BY qid))"""
 
 
-@query(f"""WITH {_BM25}, {_TFIDF}, {_SPARSE}, {_DBSF.format(name="b", run="bmr", depth=100)}, {_DBSF.format(name="s", run="spr", depth=100)},
+_HYBRID = f"""WITH {_BM25}, {_TFIDF}, {_SPARSE}, {_DBSF.format(name="b", run="bmr", depth=100)}, {_DBSF.format(name="s", run="spr", depth=100)},
 f AS (SELECT qid, doc_id, round(sum(x), 12) AS score FROM (SELECT * FROM bn UNION ALL SELECT * FROM sn) GROUP BY qid, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f)
-SELECT qid, doc_id, round(score, 6) AS score, rank, artifact_id, kind FROM r JOIN documents USING (doc_id) WHERE rank <= 10""")
+SELECT qid, doc_id, round(score, 6) AS score, rank, artifact_id, kind FROM r JOIN documents USING (doc_id) WHERE rank <= 10"""
+
+
+@query(_HYBRID)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: BM25 and TF-IDF search, each to depth 100, fused by their score distributions, with the documents' metadata."""
     docs = documents(spark, d)
@@ -122,6 +125,29 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "artifact_id", "kind").join(best, "doc_id").select("qid", "doc_id", F.round("score", 6).alias("score"), "rank", "artifact_id", "kind")
 
 
+def keep_hybrid(spark: SparkSession, d: str, path: str) -> None:
+    """Both indexes of hybrid search, kept below a path for any number of query sets."""
+    docs = documents(spark, d)
+    lexical.build_index(docs, f"{path}/postings")
+    lexical.build_vectors(docs, f"{path}/vectors")
+
+
+def search_kept(spark: SparkSession, d: str, path: str) -> DataFrame:
+    """``hybrid_search`` over indexes that ``keep_hybrid`` made."""
+    index = lexical.open_index(spark, f"{path}/postings")
+    runs = {"bm25": lexical.search_index(index, searches(spark, d), 100), "sparse": _sparse_search(spark, d, 100, spark.read.parquet(f"{path}/vectors"))}
+    best = fusion.dbsf(runs, 100).where("rank <= 10")
+    return documents(spark, d).select("doc_id", "artifact_id", "kind").join(best, "doc_id").select("qid", "doc_id", F.round("score", 6).alias("score"), "rank", "artifact_id", "kind")
+
+
+@query(_HYBRID)
+def hybrid_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search over indexes that are written and opened again."""
+    path = scratch(spark, "hybrid")
+    keep_hybrid(spark, d, path)
+    return search_kept(spark, d, path)
+
+
 _KNN = """
 v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 s AS (SELECT a.doc_id AS qid, a.label AS ql, b.doc_id, b.label AS dl, round(list_inner_product(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id),
