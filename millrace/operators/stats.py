@@ -81,16 +81,28 @@ def draw_plan(units: DataFrame, stratum: str, replicates: int, seed: str) -> Dat
     sizes = units.groupBy(stratum).agg(F.max("n").alias("n"))
     reps = spark.range(0, replicates, 1, max(1, min(replicates // 50, 4 * spark.sparkContext.defaultParallelism)))
 
+    def rows(parts: list[tuple[int, object, np.ndarray, np.ndarray]], of: pa.DataType) -> Iterator[pa.RecordBatch]:
+        size = [len(p[2]) for p in parts]
+        reps_, names = np.repeat([p[0] for p in parts], size), [p[1] for p, n in zip(parts, size, strict=True) for _ in range(n)]
+        whole = pa.RecordBatch.from_arrays([pa.array(reps_, pa.int64()), pa.array(names, of), pa.array(np.concatenate([p[2] for p in parts])), pa.array(np.concatenate([p[3] for p in parts]))], ["rep", stratum, "k", "times"])
+        for i in range(0, whole.num_rows, 50_000):
+            yield whole.slice(i, 50_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            parts, held = [], 0
             for rep, s, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 times = np.zeros(n, np.int64)
                 for k in picks(seed, rep, s, n):
                     times += np.bincount(k, minlength=n)
                 k = np.flatnonzero(times)
-                for i in range(0, len(k), 50_000):
-                    q = k[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), rep)), pa.array([s] * len(q), b.column(1).type), pa.array(q), pa.array(times[q])], ["rep", stratum, "k", "times"])
+                parts.append((rep, s, k, times[k]))
+                held += len(k)
+                if held >= 50_000:
+                    yield from rows(parts, b.column(1).type)
+                    parts, held = [], 0
+            if parts:
+                yield from rows(parts, b.column(1).type)
 
     return reps.crossJoin(bounded_broadcast(sizes)).select("id", stratum, "n").mapInArrow(run, f"rep long, {stratum} {kind}, k long, times long")
 
