@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.session import bounded_broadcast
 
 
 def discover(queries: DataFrame, min_length: int = 2, set_aside: DataFrame | None = None) -> DataFrame:
@@ -79,11 +80,11 @@ def inventory(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, occurrences, witnesses, artifacts, titles, kinds) of given terms in (doc_id, artifact_id, kind, title, text).
 
     A witness is a distinct title and text. Terms meet texts by an equi-join on
-    lexical tokens.
+    lexical tokens; the texts are never the side that is broadcast.
     """
     toks = X.lexical_tokens(F.concat_ws(" ", "title", "text"))
     x = docs.select("doc_id", "artifact_id", "kind", F.md5(F.concat_ws("\u001f", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("witness"), X.lexical_tokens(F.col("title")).alias("t"), F.explode(toks).alias("term"))
-    x = x.join(terms.select(F.lower("term").alias("term")).distinct(), "term")
+    x = x.join(bounded_broadcast(terms.select(F.lower("term").alias("term")).distinct()), "term")
     return x.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("witness").alias("witnesses"), F.count_distinct("artifact_id").alias("artifacts"), F.count_distinct(F.when(F.array_contains("t", F.col("term")), F.col("artifact_id"))).alias("titles"), F.count_distinct("kind").alias("kinds"))
 
 

@@ -254,3 +254,12 @@ def test_families_are_tied_by_positives_of_up_to_50_records(spark, tmp_path):
     spark.createDataFrame(rows_, "qid string, positive_ids array<string>").write.parquet(str(tmp_path / "query_spec.parquet"))
     got = {r.node: r.root for r in queries()["hub_pruned_families"](spark, str(tmp_path)).collect()}
     assert got == {q: q if q[0] in "cd" else q[0] + "00" for q, _ in rows_}
+
+
+def test_terms_are_broadcast_and_texts_are_not(spark, tmp_path):
+    cols = "doc_id long, artifact_id string, kind string, title string, text string"
+    spark.createDataFrame([(1, "a", "k", "Index", "the index"), (2, "b", "k", None, "an index, a vector"), (3, None, "l", "x", None)], cols).write.parquet(str(tmp_path / "d"))
+    found = vocabulary.inventory(spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame([("INDEX",), ("vector",)], "term string"))
+    assert rows(found) == [("index", 3, 2, 2, 1, 1), ("vector", 1, 1, 1, 0, 1)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
