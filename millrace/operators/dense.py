@@ -237,7 +237,7 @@ def gram_rows(tokens: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def character_rows(texts: DataFrame, grams: DataFrame) -> DataFrame:
-    """(qid, token) for every place where a character gram of ``grams`` (gram, token) occurs inside a word of (qid, text), in lower case."""
+    """(qid, token) for every place where a character gram of ``grams`` (gram, token) occurs inside a word of (qid, text), in lower case. The grams are the side that is broadcast."""
     lengths = sorted(r[0] for r in grams.select(F.length("gram").alias("n")).distinct().collect())  # a few lengths
     w = texts.select("qid", F.explode(X.words(F.lower("text"))).alias("w"))
     found = None

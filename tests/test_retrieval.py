@@ -213,3 +213,11 @@ def test_judgements(spark):
     assert judgments.pool(r, cap=3).count() == 3
     with pytest.raises(Exception, match="cap"):
         judgments.pool(r, cap=2).collect()
+
+
+def test_grams_are_broadcast_and_characters_are_not(spark, tmp_path):
+    spark.createDataFrame([(1, "Singing in"), (2, "x"), (3, None)], "qid long, text string").write.parquet(str(tmp_path / "t"))
+    found = dense.character_rows(spark.read.parquet(str(tmp_path / "t")), spark.createDataFrame([("ing", 1), ("in", 2)], "gram string, token int"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 1), (1, 2), (1, 2), (1, 2)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
