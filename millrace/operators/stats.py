@@ -75,44 +75,24 @@ def picks(seed: str, rep: int, stratum: str, n: int, part: int = 1 << 14) -> Ite
 
 
 def draw_plan(units: DataFrame, stratum: str, replicates: int, seed: str) -> DataFrame:
-    """(rep, stratum, k, times): how often replicate ``rep`` takes unit ``k`` of a stratum. Save it to use one plan for several contrasts."""
-    spark = units.sparkSession
-    kind = units.schema[stratum].dataType.simpleString()
-    sizes = units.groupBy(stratum).agg(F.max("n").alias("n"))
-    reps = spark.range(0, replicates, 1, max(1, min(replicates // 50, 4 * spark.sparkContext.defaultParallelism)))
-
-    def rows(parts: list[tuple[int, object, np.ndarray, np.ndarray]], of: pa.DataType) -> Iterator[pa.RecordBatch]:
-        size = [len(p[2]) for p in parts]
-        reps_, names = np.repeat([p[0] for p in parts], size), [p[1] for p, n in zip(parts, size, strict=True) for _ in range(n)]
-        whole = pa.RecordBatch.from_arrays([pa.array(reps_, pa.int64()), pa.array(names, of), pa.array(np.concatenate([p[2] for p in parts])), pa.array(np.concatenate([p[3] for p in parts]))], ["rep", stratum, "k", "times"])
-        for i in range(0, whole.num_rows, 50_000):
-            yield whole.slice(i, 50_000)
+    """(stratum, n, replicates, seed): what names every draw of all replicates. Save it to use one plan for several contrasts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts, held = [], 0
-            for rep, s, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                times = np.zeros(n, np.int64)
-                for k in picks(seed, rep, s, n):
-                    times += np.bincount(k, minlength=n)
-                k = np.flatnonzero(times)
-                parts.append((rep, s, k, times[k]))
-                held += len(k)
-                if held >= 50_000:
-                    yield from rows(parts, b.column(1).type)
-                    parts, held = [], 0
-            if parts:
-                yield from rows(parts, b.column(1).type)
-
-    return reps.crossJoin(bounded_broadcast(sizes)).select("id", stratum, "n").mapInArrow(run, f"rep long, {stratum} {kind}, k long, times long")
+    The draws follow from these and are made anew where they are used (``picks``): written out they would be replicates times units.
+    """
+    return units.groupBy(stratum).agg(F.max("n").alias("n")).select(stratum, "n", F.lit(replicates).alias("replicates"), F.lit(seed).alias("seed"))
 
 
 def planned_deltas(plan: DataFrame, pairs: DataFrame, stratum: str, unit: str) -> DataFrame:
     """(rep, delta): macro difference of each replicate of a saved plan. A plan that was drawn for other units is an error."""
     x = numbered(pairs, stratum, unit).select(stratum, "k", "n", (F.col("a") - F.col("b")).alias("d"))
-    g = plan.join(x, [stratum, "k"], "left").groupBy("rep", stratum).agg(F.sum(F.col("times") * F.col("d")).alias("__s"), F.sum("times").alias("__drawn"), F.max("n").alias("__n"), F.count_if(F.col("n").isNull()).alias("__lost"))
-    ok = F.assert_true((F.col("__lost") == 0) & (F.col("__drawn") == F.col("__n")), F.lit("the plan was drawn for other units"))
-    return g.withColumn("ok", ok).where("ok is null").groupBy("rep").agg(F.round(F.avg(F.col("__s") / F.col("__n")), 12).alias("delta"))
+    drawn = plan.select("replicates", "seed").limit(1).collect()
+    if not drawn:
+        raise ValueError("the plan is empty")
+    sizes = x.groupBy(stratum).agg(F.max("n").alias("__n")).join(plan.select(stratum, F.col("n").alias("__drawn")), stratum, "full")
+    other = sizes.agg(F.count_if(~F.col("__n").eqNullSafe(F.col("__drawn"))).alias("__other"))
+    m = resampled(x, stratum, stratum, ["d"], drawn[0].replicates, drawn[0].seed).select("rep", (F.col("d") / F.col("n")).alias("m")).crossJoin(F.broadcast(other))  # one row
+    ok = F.assert_true(F.col("__other") == 0, F.lit("the plan was drawn for other units"))
+    return m.withColumn("ok", ok).where("ok is null").groupBy("rep").agg(F.round(F.avg("m"), 12).alias("delta"))
 
 
 def resampled(units: DataFrame, stratum: str, label: str, values: list[str], replicates: int, seed: str, held: int = HELD_ROWS) -> DataFrame:

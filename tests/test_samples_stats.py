@@ -337,3 +337,12 @@ def test_draws_equal_the_sql_definition(spark):
     mean = lambda r: np.mean([np.mean([(x[2] - x[3]) * (sign(r, f"{s}|{x[1]}") if r >= 0 else 1) for x in data if x[0] == s]) for s in by])
     f = stats.sign_flip(p, "s", "q", 70, "s").first()
     assert f.p == pytest.approx((1 + sum(abs(mean(r)) >= abs(mean(-1)) - 1e-12 for r in range(70))) / 71, abs=1e-8)
+
+
+def test_a_plan_of_draws_is_as_small_as_its_strata(spark):
+    p = spark.createDataFrame(paired(spark), "s string, q string, a double, b double")
+    plan = stats.draw_plan(stats.numbered(p, "s", "q"), "s", 500, "b")
+    assert plan.count() == 3
+    assert rows(stats.planned_deltas(plan, p, "s", "q")) == rows(stats.bootstrap_deltas(p, "s", "q", 500, "b"))
+    with pytest.raises(Exception, match="drawn for other units"):
+        stats.planned_deltas(plan.where("s <> 's1'"), p, "s", "q").collect()
