@@ -221,3 +221,13 @@ def test_grams_are_broadcast_and_characters_are_not(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 1), (1, 2), (1, 2), (1, 2)]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_own_sources_never_meet_all_units_of_a_query(spark):
+    run = spark.createDataFrame([("q", "a", 2.0), ("q", "b", 1.0), ("r", "a", 3.0), ("r", "z", 1.0), ("s", "b", 1.0)], "qid string, doc_id string, score double")
+    own = spark.createDataFrame([("q", 1), ("r", 2), ("t", 1)], "qid string, object_id int")
+    units = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2), *[(f"u{i}", 1) for i in range(20)]], "doc_id string, object_id int")
+    left = fusion.exclude_sources(run, own, units)
+    assert rows(left) == [("q", "b", 1.0), ("r", "a", 3.0), ("r", "z", 1.0), ("s", "b", 1.0)]
+    joins_ = [x for x in left._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert sum("LeftSemi" in x for x in joins_) == 1 and sum("Inner" in x and "doc_id" in x for x in joins_) == 1
