@@ -12,13 +12,14 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import arrays as A
 from millrace.functions import text as X
-from millrace.session import bounded_broadcast
+from millrace.session import BROADCAST_BYTES, bounded_broadcast
 
 #: Queries in one matrix product, and bytes of queries that one pass over the documents takes.
 QUERY_BLOCK, PASS_BYTES = 8192, 256 << 20
@@ -203,18 +204,90 @@ def weighted_mean(rows: DataFrame, key: str, weight: Column | None = None, fallb
     return unit.crossJoin(F.broadcast(fallback.select(F.col("vector").alias("__f")).limit(1))).select(key, F.coalesce("vector", "__f").alias("vector"))
 
 
+def _held_lookup(lookup: DataFrame) -> tuple[DataFrame, np.ndarray] | None:
+    """((token, row), matrix) of a lookup table that a worker may hold; None if it is larger than ``BROADCAST_BYTES``, or of vectors of several lengths or with nulls."""
+    rows = lookup.select("token", F.col("vector").cast("array<double>").alias("vector")).where("token is not null and vector is not null")
+    nulls = F.exists("vector", lambda x: x.isNull())
+    c = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high"), F.count_if(nulls).alias("nulls")).first()
+    if not c.n or c.low != c.high or not c.low or c.nulls or c.n * c.low * 8 > BROADCAST_BYTES:
+        return None
+    held = rows.toArrow()  # bounded
+    matrix = held["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(held.num_rows, c.low)
+    kind = T.StructType([T.StructField("token", lookup.schema["token"].dataType), T.StructField("row", T.IntegerType())])
+    return lookup.sparkSession.createDataFrame(list(zip(held["token"].to_pylist(), range(held.num_rows), strict=True)), kind), matrix
+
+
+def pooled(tokens: DataFrame, lookup: DataFrame, modes: list[str]) -> DataFrame:
+    """(qid, mode, vector): ``lookup_encode`` by several modes in one pass over the tokens; vectors of no length are null.
+
+    Of a lookup table that a worker may hold only the numbers of its rows travel with the tokens, which
+    come sorted by query, and the vectors are added up in Arrow batches. A larger one is joined.
+    """
+    held = _held_lookup(lookup)
+    if held is None:
+        counted = tokens.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("c"))
+        out = None
+        for mode in modes:
+            hit = counted.join(lookup, "token").select("qid", "vector", A.pool_weight(F.col("c"), mode).alias("w"))
+            one = weighted_mean(hit, "qid", F.col("w")).select("qid", F.lit(mode).alias("mode"), "vector")
+            out = one if out is None else out.union(one)
+        return out
+    ids, matrix = held
+    spark = tokens.sparkSession
+    rows_of = spark.sparkContext.broadcast(matrix)
+    counted = tokens.join(F.broadcast(ids), "token").groupBy("qid", "row").agg(F.count(F.lit(1)).alias("c"))  # as many as BROADCAST_BYTES have vectors
+    counted = counted.select("qid", "row", *[A.pool_weight(F.col("c"), m).alias(f"w{i}") for i, m in enumerate(modes)])
+    kind = tokens.schema["qid"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = rows_of.value
+
+        def told(keys: pa.Array, sums: list[np.ndarray], weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for mode, s, w in zip(modes, sums, weights, strict=True):
+                v = s / w[:, None]
+                length = np.sqrt((v * v).sum(axis=1))
+                none = length <= 1e-12
+                v /= np.where(none, 1.0, length)[:, None]
+                at = pa.array(np.arange(len(v) + 1, dtype=np.int32) * m.shape[1])
+                yield pa.RecordBatch.from_arrays([keys, pa.array([mode] * len(v), pa.string()), pa.ListArray.from_arrays(at, pa.array(v.ravel()), mask=pa.array(none))], ["qid", "mode", "vector"])
+
+        key = sums = weights = None  # of the query that may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            runs = pc.run_end_encode(b.column(0))
+            keys, ends = runs.values, runs.run_ends.to_numpy()
+            starts = np.concatenate([[0], ends[:-1]])
+            x = m[b.column(1).to_numpy()]
+            w = [b.column(2 + i).to_numpy() for i in range(len(modes))]
+            s, t = [np.add.reduceat(x * y[:, None], starts, axis=0) for y in w], [np.add.reduceat(y, starts) for y in w]
+            if key is not None:
+                if keys[0].as_py() == key[0].as_py():
+                    for i in range(len(modes)):
+                        s[i][0] += sums[i][0]
+                        t[i][0] += weights[i][0]
+                else:
+                    yield from told(key, sums, weights)
+            yield from told(keys[:-1], [y[:-1] for y in s], [y[:-1] for y in t])
+            key, sums, weights = keys[-1:], [y[-1:] for y in s], [y[-1:] for y in t]
+        if key is not None:
+            yield from told(key, sums, weights)
+
+    return counted.repartition("qid").sortWithinPartitions("qid").mapInArrow(run, f"qid {kind}, mode string, vector array<double>")
+
+
 def lookup_encode(tokens: DataFrame, lookup: DataFrame, mode: str = "sqrt", fallback: DataFrame | None = None) -> DataFrame:
     """(qid, vector): pooled rows of a lookup table (token, vector) for (qid, token).
 
     A token that occurs c times weighs f(c) by ``mode``. Queries none of whose
-    tokens has a row are absent unless ``fallback`` gives their vector. The
-    table is joined, as vocabularies may be large.
+    tokens has a row are absent unless ``fallback`` gives their vector. A table
+    that no worker may hold is joined, as vocabularies may be large.
     """
-    counted = tokens.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("c"))
-    hit = counted.join(lookup, "token").select("qid", "vector", A.pool_weight(F.col("c"), mode).alias("w"))
-    enc = weighted_mean(hit, "qid", F.col("w"), fallback)
+    enc = pooled(tokens, lookup, [mode]).select("qid", "vector")
     if fallback is None:
         return enc
+    one = F.broadcast(fallback.select(F.col("vector").alias("__f")).limit(1))
+    enc = enc.crossJoin(one).select("qid", F.coalesce("vector", "__f").alias("vector"))
     lost = tokens.select("qid").distinct().join(enc.select("qid"), "qid", "left_anti")
     return enc.union(lost.crossJoin(F.broadcast(fallback.select("vector").limit(1))))
 

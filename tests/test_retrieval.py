@@ -231,3 +231,21 @@ def test_own_sources_never_meet_all_units_of_a_query(spark):
     assert rows(left) == [("q", "b", 1.0), ("r", "a", 3.0), ("r", "z", 1.0), ("s", "b", 1.0)]
     joins_ = [x for x in left._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
     assert sum("LeftSemi" in x for x in joins_) == 1 and sum("Inner" in x and "doc_id" in x for x in joins_) == 1
+
+
+def test_pooling_by_held_rows_equals_the_join(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g.normal(size=(9, 4)))] + [(9, [0.0] * 4)], "token int, vector array<float>")
+    tok = [(f"q{i % 7}", int(x)) for i, x in enumerate(g.integers(0, 12, 300))] + [("z", 9), ("n", 11), (None, 2)]
+    tok = spark.createDataFrame(tok, "qid string, token int").repartition(3)
+    modes = ["mean", "presence", "cap2", "sqrt"]
+    take = lambda: {(r.qid, r.mode): r.vector for r in dense.pooled(tok, t, modes).collect()}
+    held = dense.pooled(tok, t, modes)
+    assert "Generate" not in held._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # queries go on in the next batch
+    one = take()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", 8)
+    two = take()
+    assert one.keys() == two.keys() and ("z", "mean") in one and ("n", "mean") not in one and (None, "sqrt") in one
+    assert all(one[k] is two[k] is None or np.allclose(one[k], two[k], atol=1e-12) for k in one) and one["z", "mean"] is None
