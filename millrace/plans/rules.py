@@ -509,12 +509,10 @@ def pool_modes(spark: SparkSession, d: str) -> DataFrame:
     e = vectors(spark, d)
     n = e.agg(F.count(F.lit(1)).alias("n"))
     tok = table(spark, d, "lineitem").crossJoin(F.broadcast(n)).select(F.col("l_orderkey").alias("qid"), F.expr("l_suppkey % n").alias("token"))  # one row
-    out = None
-    for mode in _MODES:
-        v = dense.lookup_encode(tok, e.select(F.col("doc_id").alias("token"), "vector"), mode).where("vector is not null")
-        one = v.agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("queries"), F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 3).alias("total"))
-        out = one if out is None else out.union(one)
-    return out
+    v = dense.pooled(tok, e.select(F.col("doc_id").alias("token"), "vector"), list(_MODES)).where("vector is not null")
+    x = v.select("mode", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("x"))
+    of = lambda m: F.struct(F.lit(m).alias("mode"), F.count_if(F.col("mode") == m).alias("queries"), F.round(F.sum(F.when(F.col("mode") == m, F.col("x"))), 3).alias("total"))
+    return x.agg(F.array(*[of(m) for m in _MODES]).alias("m")).select(F.inline("m"))
 
 
 @query(f"""WITH {_KNN}, t AS (SELECT qid, doc_id AS passage_id, dl AS artifact_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS n FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY qid, artifact_id ORDER BY score DESC, passage_id) AS m FROM t WHERE n <= 50)

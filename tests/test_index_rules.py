@@ -333,3 +333,13 @@ def test_shards_are_written_once_and_refuse_other_rows(spark, tmp_path):
     with pytest.raises(ValueError, match="other rows"):
         sinks.encode_shards(x.limit(3), "doc_id", str(tmp_path / "s"), 4, keep)
     assert spark.read.parquet(*[str(tmp_path / "s" / f"shard={i}") for i in range(4)]).count() == 40
+
+
+def test_pool_modes_takes_one_pass_and_explodes_no_vector(spark, tmp_path):
+    from millrace.plans.registry import queries
+
+    spark.createDataFrame([(0, [3.0, 4.0], 1), (1, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(7, 2), (7, 4), (8, 3)], "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = queries()["pool_modes"](spark, str(tmp_path))
+    assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.mode, r.queries, r.total) for r in df.collect()] == [(m, 2, 2.4) for m in ("mean", "presence", "cap2", "sqrt")]
