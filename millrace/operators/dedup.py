@@ -129,11 +129,16 @@ def near_duplicate_classes(docs: DataFrame, ident: str = "doc_id", text: str = "
 
 
 def diversity_gate(rows: DataFrame, ident: str, text: str, shared: int = SHARED_GATE, share: float = SHORT_SHARE) -> DataFrame:
+    """The gate at one ``share``, see ``diversity_gates``."""
+    return diversity_gates(rows, ident, text, [share], shared)[0]
+
+
+def diversity_gates(rows: DataFrame, ident: str, text: str, shares: list[float], shared: int = SHARED_GATE) -> list[DataFrame]:
     """(id, status): 'exact' for repeats of an earlier text, 'near' for near duplicates of any earlier one, else 'kept'; earlier is a smaller id.
 
     Near: at least ``shared`` of 32 sketch keys of the 8-grams, or for texts under
-    39 words ``share`` of the smaller set of 4-grams. Earlier texts count even if they
-    are near duplicates themselves.
+    39 words a share of the smaller set of 4-grams, one result for each of ``shares``.
+    Earlier texts count even if they are near duplicates themselves.
     """
     w = X.fingerprint_words(F.col(text))
     x = stage(rows.select(F.col(ident).alias("id"), w.alias("w")).withColumn("key", H.text_key(F.col("w"))), "words")
@@ -141,8 +146,8 @@ def diversity_gate(rows: DataFrame, ident: str, text: str, shared: int = SHARED_
     x = salted_join(x, first, ["key"], ["id"])
     order = stage(x.where("id = first").drop("first", "key"), "order")
 
-    def hits(source: DataFrame, grams: Column, prefix: Column, enough: Column, least: Column, smaller_first: bool = False) -> tuple[DataFrame, Column, Column]:
-        members, sets = gram_classes(source, "id", grams)
+    def hits(classes: tuple[DataFrame, DataFrame], prefix: Column, enough: Column, least: Column, smaller_first: bool = False) -> tuple[DataFrame, Column, Column]:
+        members, sets = classes
         pairs = similar_sets(sets, prefix, enough, None, least, smaller_first)
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.join(sets.select(F.col("set_id").alias("b"), "first_id"), "b").groupBy(F.col("a").alias("set_id")).agg(F.min("first_id").alias("other"))
@@ -150,14 +155,20 @@ def diversity_gate(rows: DataFrame, ident: str, text: str, shared: int = SHARED_
         j = salted_join(members, known, ["set_id"], ["id"])
         return j, (F.col("other") < F.col("id")), (F.col("first_id") < F.col("id"))
 
-    j, near, same = hits(order, A.bottom(A.gram_keys(F.col("w")), SKETCH), F.greatest(F.lit(1), F.col("n") - shared + 1), F.col("shared") >= shared, F.lit(shared))
+    long = gram_classes(order, "id", A.bottom(A.gram_keys(F.col("w")), SKETCH))
+    j, near, same = hits(long, F.greatest(F.lit(1), F.col("n") - shared + 1), F.col("shared") >= shared, F.lit(shared))
     long_hits = j.where(near | (same & (F.col("n") >= shared))).select("id")
-    short = order.where(F.size("w") < SHORT_WORDS)
-    fewest = F.ceil(F.least("n", "m") * share - 1e-9)
-    j, near, same = hits(short, A.gram_keys(F.col("w"), SHORT_K), F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1, F.col("shared") >= F.least("n", "m") * share, fewest, True)
-    dup = long_hits.union(j.where(near | same).select("id")).distinct().withColumn("near", F.lit(True))
-    known = order.select("id").join(dup, "id", "left").select("id", F.when(F.col("near"), "near").otherwise("kept").alias("status"))
-    return known.union(x.where("id <> first").select("id", F.lit("exact")))
+    if len(shares) > 1:
+        long_hits = stage(long_hits, "long")
+    short = gram_classes(order.where(F.size("w") < SHORT_WORDS), "id", A.gram_keys(F.col("w"), SHORT_K))
+    out = []
+    for share in shares:
+        fewest = F.ceil(F.least("n", "m") * share - 1e-9)
+        j, near, same = hits(short, F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1, F.col("shared") >= F.least("n", "m") * share, fewest, True)
+        dup = long_hits.union(j.where(near | same).select("id")).distinct().withColumn("near", F.lit(True))
+        known = order.select("id").join(dup, "id", "left").select("id", F.when(F.col("near"), "near").otherwise("kept").alias("status"))
+        out.append(known.union(x.where("id <> first").select("id", F.lit("exact"))))
+    return out
 
 
 def gate_report(status: DataFrame, max_rate: float = MAX_RATE, min_kept: int = MIN_KEPT) -> DataFrame:

@@ -318,8 +318,8 @@ def diversity_curve(spark: SparkSession, d: str) -> DataFrame:
 def diversity_shares(spark: SparkSession, d: str) -> DataFrame:
     """The rate of near duplicates by the share of 4-grams that short texts must have in common."""
     out = None
-    for x in SHARES:
-        c = _gate(spark, d, x).agg((F.count_if(F.col("status") == "near") / F.count_if(F.col("status") != "exact")).alias("r"))
+    for x, gate in zip(SHARES, dedup.diversity_gates(documents(spark, d), "doc_id", "text", list(SHARES)), strict=True):
+        c = gate.agg((F.count_if(F.col("status") == "near") / F.count_if(F.col("status") != "exact")).alias("r"))
         one = c.select(F.lit(x).alias("share"), F.round("r", 9).alias("rate"))
         out = one if out is None else out.union(one)
     return out

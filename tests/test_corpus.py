@@ -263,3 +263,15 @@ def test_terms_are_broadcast_and_texts_are_not(spark, tmp_path):
     assert rows(found) == [("index", 3, 2, 2, 1, 1), ("vector", 1, 1, 1, 0, 1)]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_salted_joins_broadcast_no_copies_and_gates_share_their_work(spark, tmp_path):
+    from millrace.session import salted_join
+
+    small = spark.range(4).withColumn("v", F.lit(1))
+    j = salted_join(spark.range(20).withColumn("s", F.col("id")), small, ["id"], ["s"])
+    assert "BroadcastHashJoin" not in j._jdf.queryExecution().sparkPlan().toString() and j.count() == 4
+    x = docs(spark, ["a b c d e f g h", "a b c d e f x y", "a b c d e f g h", "p q r s t u"])
+    gates = dedup.diversity_gates(x, "doc_id", "text", [0.2, 0.9])
+    assert [{r.status for r in g.collect()} for g in gates] == [{"kept", "near", "exact"}, {"kept", "exact"}]
+    assert rows(gates[0]) == rows(dedup.diversity_gate(x, "doc_id", "text", share=0.2))
