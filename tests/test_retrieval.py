@@ -249,3 +249,39 @@ def test_pooling_by_held_rows_equals_the_join(spark, monkeypatch):
     two = take()
     assert one.keys() == two.keys() and ("z", "mean") in one and ("n", "mean") not in one and (None, "sqrt") in one
     assert all(one[k] is two[k] is None or np.allclose(one[k], two[k], atol=1e-12) for k in one) and one["z", "mean"] is None
+
+
+def test_tfidf_neighbours_never_make_pairs_and_equal_brute_force(spark, monkeypatch):
+    g = random.Random(3)
+    vocab = [f"w{i:03d}" for i in range(60)]
+    data = [(i, " ".join(g.choices(vocab, [1 / (1 + j) for j in range(60)], k=g.randint(1, 25)))) for i in range(150)]
+    data += [(i, data[i - 200][1]) for i in range(200, 212)]  # equal scores
+    data += [(3, "w001 w050 again"), (3, "again"), (None, "w002 w059"), (None, "w002 only"), (300, None), (301, "a b"), (302, "alone")]
+    words = defaultdict(list)
+    for i, t in data:
+        words[i] += [x for x in (t or "").split() if len(x) >= 3]
+    df = Counter(x for t in words.values() for x in set(t))
+    vec = {}
+    for i, t in words.items():
+        w = {x: (1 + math.log(c)) * math.log(len(data) / (1 + df[x])) for x, c in Counter(t).items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        vec[i] = {x: y / size for x, y in w.items()}
+    want = {}
+    for a in range(0, 303, 3):
+        near = sorted((-round(sum(y * vec[b].get(x, 0) for x, y in vec[a].items()), 9), b) for b in vec if b not in (a, None)) if a in vec else []
+        want |= {(a, b, n): -s for n, (s, b) in enumerate(near[:5], 1) if s < 0}
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    found = lambda: lexical.tfidf_neighbours(docs, docs.where("doc_id % 3 = 0"), 5)
+    tree = found()._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in tree and "Join" not in tree and "Generate" not in tree  # no rows of documents by query
+    take = lambda df: {(r.qid, r.doc_id, r["rank"]): r.score for r in df.collect()}
+    one = take(found())
+    assert one.keys() == want.keys() and all(abs(one[x] - want[x]) < 2e-9 for x in want)
+    monkeypatch.setattr(lexical, "QUERY_TOKENS", 100)
+    monkeypatch.setattr(lexical, "CHUNK_TOKENS", 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    assert take(found()) == one
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 8)  # terms are joined
+    two = take(found())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert two.keys() == one.keys() and all(abs(one[x] - two[x]) < 2e-9 for x in one)
